@@ -31,7 +31,7 @@ class Quarantine:
 
 
 def _key_collisions(rows: DataFrame, spec: TableSpec, batch: str, target: DataFrame | None) -> DataFrame | None:
-    """(key, batch, copies, in_target, constraint) for key values that occur more than once.
+    """(key, batch, copies, in_target, constraint) for key values that occur more than once, or None if none do.
 
     First pass: key columns only, counted map-side. Second pass: the rows that hold one of the (few) repeated keys.
     """
@@ -50,6 +50,8 @@ def _key_collisions(rows: DataFrame, spec: TableSpec, batch: str, target: DataFr
             .filter("copies > 1 OR (copies = 1 AND in_target = 1)")
         )
         repeated = stage(repeated.select(*columns, "in_target"), "repeated")
+        if repeated.isEmpty():
+            continue
         held_by = (
             keyed.select("key.*", "batch")
             .join(repeated, list(columns))
@@ -154,8 +156,9 @@ def quarantine(
         for condition, reason in (("copies > 1", "duplicate"), ("in_target = 1", "exists")):
             named = F.concat(F.lit(f"{reason}:"), F.col("constraint"))
             verdicts.append(collisions.filter(condition).select("batch", named.alias("reason")).distinct())
-    verdict = stage(reduce(DataFrame.union, verdicts), "verdicts")
+    verdict = reduce(DataFrame.union, verdicts)
     if collisions is not None:
+        verdict = stage(verdict, "verdicts")
         open_pairs = collisions.select("key", "batch").join(verdict.select("batch"), "batch", "left_anti")
         for late in _later_claims(open_pairs, small_remainder):
             verdict = verdict.union(late.select("batch", F.lit("key_taken").alias("reason")))

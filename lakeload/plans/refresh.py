@@ -39,7 +39,8 @@ def load_dumps(
             rows = dump_scan(spark, dumps[spec.name], spec, "file" if spec.name in whole_files else "statement")
             split = quarantine(rows, spec, parents=loaded)
             snapshot_overwrite(split.good.select(*spec.column_names), f"{root}/{spec.name}")
-            snapshot_overwrite(split.bad, f"{root}/_rejected/{spec.name}")
+            if not split.rejected.isEmpty():
+                snapshot_overwrite(split.bad, f"{root}/_rejected/{spec.name}")
             external_table(spark, name, spec.schema, f"{root}/{spec.name}", partitions=())
             spark.catalog.refreshTable(name)
             summaries.append(batch_summary(spec.name, rows, split.rejected))

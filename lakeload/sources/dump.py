@@ -20,11 +20,13 @@ from lakeload.workspace import stage
 # Possessive quantifiers: no backtracking and no deep recursion on long text.
 QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
 COMMENT_LINES = rf"(?s)({QUOTED})|(?m:^[ \t]*--[^\n]*$)"
-INSERT = (
-    r"(?is)(?:^|\n)\s*INSERT\s+INTO\s+(?:`?\w+`?\s*\.\s*)?`?(\w+)`?\s*(?:\(([^)']*)\)\s*)?VALUES?\s*(\(.*)$"
-)
-TUPLE = rf"(?s)\(((?:{QUOTED}|[^'()]++)*+)\)"
-FIELD = rf"(?s)({QUOTED}|[^,'\s][^,']*+)"
+INSERT = r"(?is)(?:^|\n)\s*INSERT\s+INTO\s+(?:`?\w+`?\s*\.\s*)?`?(\w+)`?"
+HEADER = INSERT + r"\s*(?:\(([^)']*)\)\s*)?VALUES?\s*"
+STATEMENT = HEADER + r"(.*)$"
+# One item each, tied to the end of the item before; the first needs no comma.
+TUPLE = rf"(?s)\G(?:^|(?!^),)\s*\((?:{QUOTED}|[^'()]++)*+\)\s*"
+FIELD = rf"(?s)\G(?:^|(?!^),)\s*(?:{QUOTED}|[^,'\s][^,']*+)\s*"
+SPACE = " \t\r\n"
 # What a backslash and the character after it stand for.
 ESCAPES = {"\\n": "\n", "\\r": "\r", "\\t": "\t", "\\0": "\0", "\\b": "\b", "\\Z": "\x1a"}
 
@@ -58,18 +60,20 @@ def dump_statements(spark: SparkSession, parts: Sequence[str], line_sep: str = "
         .select(
             "batch",
             F.regexp_extract("text", INSERT, 1).alias("table_name"),
-            F.nullif(F.regexp_extract("text", INSERT, 2), F.lit("")).alias("column_list"),
-            F.rtrim(F.regexp_extract("text", INSERT, 3), F.lit("; \t\r\n")).alias("body"),
+            F.regexp_extract("text", HEADER, 2).alias("column_list"),
+            F.rtrim(F.regexp_extract("text", STATEMENT, 3), F.lit(";" + SPACE)).alias("body"),
         )
     )
 
 
-def _split_exactly(text: SparkColumn, pattern: str) -> tuple[SparkColumn, SparkColumn]:
-    """All matches of ``pattern``, and whether the text is nothing but matches with one comma between each two."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    outline = F.regexp_replace(F.regexp_replace(text, pattern, "#"), r"\s+", "")
-    expected = F.concat(F.repeat(F.lit("#,"), F.size(matches) - 1), F.lit("#"))
-    return matches, outline == expected
+def _covers(items: str, text: str) -> SparkColumn:
+    """Whether the matched items, each beginning where the one before ended, make up the whole text."""
+    return F.length(F.array_join(items, "")) == F.length(text)
+
+
+def _bare(item: SparkColumn) -> SparkColumn:
+    """An item without the comma before it and the space around it."""
+    return F.rtrim(F.ltrim(item, F.lit("," + SPACE)), F.lit(SPACE))
 
 
 def _unescape(text: SparkColumn) -> SparkColumn:
@@ -86,9 +90,8 @@ def _unescape(text: SparkColumn) -> SparkColumn:
 
 
 def _value(token: SparkColumn) -> SparkColumn:
-    bare = F.trim(token, F.lit(" \t\r\n"))
     quoted = _unescape(F.substring(token, F.lit(2), F.length(token) - 2))
-    return F.when(token.startswith("'"), quoted).when(F.upper(bare) != "NULL", bare)
+    return F.when(token.startswith("'"), quoted).when(F.upper(token) != "NULL", token)
 
 
 def dump_rows(statements: DataFrame, spec: TableSpec, unit: str = "statement") -> DataFrame:
@@ -98,33 +101,40 @@ def dump_rows(statements: DataFrame, spec: TableSpec, unit: str = "statement") -
     not well formed yields one row with the error ``syntax``, a tuple with the wrong number of fields one with
     ``field_count``; neither is shifted into other columns.
     """
-    wanted = statements.filter(F.lower("table_name") == spec.name.lower())
-    names = F.transform(F.split("column_list", ","), lambda n: F.trim(n, F.lit("` \t\r\n")))
-    tuples, well_formed = _split_exactly(F.col("body"), TUPLE)
+    columns = spec.column_names
     batch = F.col("batch") if unit == "statement" else F.struct("batch.part", "batch.file")
-    exploded = wanted.select(
+    names = F.when(F.col("column_list") != "", F.split("column_list", ","))
+    cut = statements.filter(F.lower("table_name") == spec.name.lower()).select(
         batch.alias("batch"),
-        names.alias("names"),
-        F.explode(F.when(well_formed, tuples).otherwise(F.array(F.lit(None).cast("string")))).alias("tuple"),
+        F.transform(names, lambda n: F.trim(n, F.lit("`" + SPACE))).alias("names"),
+        "body",
+        F.regexp_extract_all("body", F.lit(TUPLE), F.lit(0)).alias("tuples"),
     )
-    fields, fields_ok = _split_exactly(F.col("tuple"), FIELD)
-    cut = exploded.select("batch", "names", "tuple", fields.alias("fields"), fields_ok.alias("fields_ok"))
-    declared = F.array(*[F.lit(c) for c in spec.column_names])
-    expected = F.when(F.col("names").isNull(), F.lit(len(spec.columns))).otherwise(F.size("names"))
-    unknown = F.size(F.array_except(F.coalesce("names", declared), declared)) > 0
+    malformed = F.array(F.lit(None).cast("string"))
+    items = F.when((F.size("tuples") > 0) & _covers("tuples", "body"), F.col("tuples")).otherwise(malformed)
+    exploded = cut.select("batch", "names", F.explode(items).alias("item")).withColumn("tuple", _bare(F.col("item")))
+    inner = exploded.withColumn("tuple", F.substring("tuple", F.lit(2), F.length("tuple") - 2))
+    fields = inner.withColumn("fields", F.regexp_extract_all("tuple", F.lit(FIELD), F.lit(0)))
+    declared = F.array(*[F.lit(c) for c in columns])
     misread = (
-        F.when(F.col("tuple").isNull() | ~F.col("fields_ok"), "syntax")
-        .when(unknown, "unknown_column")
-        .when(F.size("fields") != expected, "field_count")
+        F.when(F.col("tuple").isNull() | ~_covers("fields", "tuple"), "syntax")
+        .when(F.size(F.array_except("names", declared)) > 0, "unknown_column")
+        .when(F.size("fields") != F.coalesce(F.size("names"), F.lit(len(columns))), "field_count")
+    )
+    placed = [
+        F.when(F.col("names").isNull(), F.get("fields", F.lit(i)))
+        .otherwise(F.get("fields", F.array_position("names", F.lit(c)).cast("int") - 1))
+        .alias(c)
+        for i, c in enumerate(columns)
+    ]
+    tokens = fields.select("batch", misread.alias("misread"), *placed)
+    tokens = tokens.select("batch", "misread", *[_bare(F.col(c)).alias(c) for c in columns])
+    values = tokens.select(
+        "batch", "misread", *[F.when(F.col("misread").isNull(), _value(F.col(c))).alias(c) for c in columns]
     )
-    raw = []
-    for i, column in enumerate(spec.columns):
-        place = F.coalesce(F.array_position("names", F.lit(column.name)) - 1, F.lit(i)).cast("int")
-        raw.append(F.when(F.col("misread").isNull(), _value(F.get("fields", place))).alias(column.name))
-    values = cut.withColumn("misread", misread).select("batch", "misread", *raw)
     typed = typed_projection(values, spec, keep=("batch", "misread"))
     errors = F.when(F.col("misread").isNotNull(), F.array("misread")).otherwise(F.col("errors"))
-    return typed.select(*spec.column_names, "batch", errors.alias("errors"))
+    return typed.select(*columns, "batch", errors.alias("errors"))
 
 
 def dump_scan(spark: SparkSession, parts: Sequence[str], spec: TableSpec, unit: str = "statement") -> DataFrame:
@@ -137,10 +147,11 @@ def dump_scan(spark: SparkSession, parts: Sequence[str], spec: TableSpec, unit:
 
 def dump_format_check(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
     """Per file: ``ok``, ``unterminated`` (its last line does not end a statement) or ``unexpected_format``."""
-    files = spark.read.format("binaryFile").load(list(parts)).select(F.col("_metadata.file_path").alias("file"))
+    text = spark.read.text(list(parts))
+    files = spark.createDataFrame([(f,) for f in text.inputFiles()], "file string")  # empty ones too, unlike a scan
     line = F.trim("value", F.lit(" \t\r"))
-    lines = spark.read.text(list(parts)).select(
-        F.col("_metadata.file_path").alias("file"),
+    lines = text.select(
+        F.input_file_name().alias("file"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
         line.alias("line"),
     )

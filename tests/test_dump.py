@@ -1,0 +1,178 @@
+"""The dump source against its edge cases."""
+
+from datetime import date
+from urllib.parse import unquote
+
+import pytest
+
+from lakeload.sources.dump import dump_format_check, dump_rows, dump_scan, dump_statements
+from lakeload.specs import CUSTOMERS, DEPARTMENTS, EMPLOYEES, SALARIES, Column, TableSpec
+
+EMPLOYEE = "({0},'1960-01-02','Ann','Lee','F','1990-05-06')"
+NOTES = TableSpec("notes", (Column("id", "int", True), Column("body", "string")))
+
+
+def write(folder, name, text):
+    path = folder / name
+    path.write_text(text)
+    return str(path)
+
+
+def scan(spark, folder, text, spec=NOTES, **kwargs):
+    return dump_scan(spark, [write(folder, "load.dump", text)], spec, **kwargs)
+
+
+def by_id(df):
+    return {r["id"]: r["body"] for r in df.collect()}
+
+
+def test_several_statements_lines_and_comments(spark, tmp_path):
+    text = (
+        "-- it's a dump;\n-- INSERT INTO `employees` VALUES (99,'1960-01-02','No','No','F','1990-05-06');\n\n"
+        "/*!40000 ALTER TABLE x */;\nSELECT 'LOADING' as 'INFO';\n"
+        f"INSERT INTO `employees` VALUES {EMPLOYEE.format(1)},\n-- between\n{EMPLOYEE.format(2)};\n"
+        f"INSERT INTO employees VALUES {EMPLOYEE.format(3)};\n"
+        f"insert into `db`.`employees` values {EMPLOYEE.format(4)},{EMPLOYEE.format(5)};"
+    )
+    loaded = scan(spark, tmp_path, text, EMPLOYEES)
+    assert [r["emp_no"] for r in loaded.orderBy("emp_no").collect()] == [1, 2, 3, 4, 5]
+    assert loaded.filter("size(errors) > 0").isEmpty()
+    assert loaded.select("batch").distinct().count() == 3
+    first = loaded.filter("emp_no = 1").first()
+    assert (first["birth_date"], first["gender"]) == (date(1960, 1, 2), "F")
+
+
+@pytest.mark.parametrize(
+    ("literal", "value"),
+    [
+        (r"'plain'", "plain"),
+        (r"'O\'Neil'", "O'Neil"),
+        (r"'O''Neil'", "O'Neil"),
+        (r"'\'''\''", "'''"),
+        (r"'\'\''", "''"),
+        (r"'c:\\new'", r"c:\new"),
+        (r"'\\\\n'", r"\\n"),
+        (r"'\\\n'", "\\\n"),
+        (r"'end\\'", "end\\"),
+        (r"'a\tb\r\0\Z\%\"'", 'a\tb\r\0\x1a%"'),
+        (r"'a),(b'", "a),(b"),
+        (r"'x;y'", "x;y"),
+        (r"'(1,2)'", "(1,2)"),
+        (r"''", ""),
+        (r"NULL", None),
+        (r"null", None),
+        (r"'NULL'", "NULL"),
+        (r"' padded '", " padded "),
+        ("'two\nlines'", "two\nlines"),
+        (r"'INSERT INTO x VALUES (1)'", "INSERT INTO x VALUES (1)"),
+        (r"'naïve – ☃'", "naïve – ☃"),
+    ],
+)
+def test_literals(spark, tmp_path, literal, value):
+    loaded = scan(spark, tmp_path, f"INSERT INTO `notes` VALUES (1,{literal}) , ( 2 , {literal} ) ;\n")
+    assert by_id(loaded) == {1: value, 2: value}
+    assert loaded.filter("size(errors) > 0").isEmpty()
+
+
+@pytest.mark.parametrize(
+    "body",
+    ["(1,'a') (2,'b')", "(1,'a'),,(2,'b')", "(1,'a'),", ",(1,'a')", "(1,'a'),(2,'open", "(1 'a')", "(1,,'a')", "(1,f())", "", "x"],
+)
+def test_malformed_statement_is_one_bad_batch(spark, tmp_path, body):
+    loaded = scan(spark, tmp_path, f"INSERT INTO notes VALUES (7,'ok');\nINSERT INTO notes VALUES {body};\n")
+    good, bad = loaded.filter("size(errors) = 0"), loaded.filter("size(errors) > 0")
+    assert by_id(good).get(7) == "ok"
+    assert bad.select("batch").distinct().count() == 1
+    assert good.join(bad, "batch", "left_semi").filter("id <> 1").isEmpty()
+
+
+def test_insert_without_values_is_not_lost(spark, tmp_path):
+    loaded = scan(spark, tmp_path, "INSERT INTO notes SELECT * FROM others;\nINSERT INTO notes VALUES (1,'a');\n")
+    assert by_id(loaded.filter("size(errors) = 0")) == {1: "a"}
+    assert loaded.filter("size(errors) > 0").first()["errors"] == ["syntax"]
+
+
+def test_field_count_and_column_list(spark, tmp_path):
+    text = (
+        "INSERT INTO notes VALUES (1);\nINSERT INTO notes VALUES (2,'a','b');\n"
+        "INSERT INTO notes (body, `id`) VALUES ('swapped',3);\nINSERT INTO notes (id) VALUES (4);\n"
+        "INSERT INTO notes (id, other) VALUES (5,'x');\nINSERT INTO notes VALUES ();\n"
+    )
+    loaded = scan(spark, tmp_path, text).collect()
+    assert {r["id"]: r["body"] for r in loaded if not r["errors"]} == {3: "swapped", 4: None}
+    assert sorted(r["errors"][0] for r in loaded if r["errors"]) == ["field_count"] * 3 + ["unknown_column"]
+
+
+def test_type_and_rule_errors_are_named(spark, tmp_path):
+    text = (
+        "INSERT INTO employees VALUES (1,'1961-02-30','Ann','Lee','F','1990-05-06');\n"
+        "INSERT INTO employees VALUES (99999999999,'1961-02-20','Ann','Lee','F','1990-05-06');\n"
+        "INSERT INTO employees VALUES (3,'1961-02-20','Ann Elizabeth Mary','Lee','X','1990-05-06');\n"
+        "INSERT INTO employees VALUES (4,NULL,'Ann','Lee','F','1990');\n"
+        "INSERT INTO employees VALUES ('','0000-00-00','Ann','Lee','F','1990-05-06');\n"
+    )
+    loaded = scan(spark, tmp_path, text, EMPLOYEES).orderBy("batch").collect()
+    assert [r["errors"] for r in loaded] == [
+        ["birth_date:type"],
+        ["emp_no:type"],
+        ["first_name:length", "gender:enum"],
+        ["birth_date:null", "hire_date:type"],
+        ["emp_no:type", "birth_date:type"],
+    ]
+
+
+def test_unterminated_tail_still_counts_and_is_reported(spark, tmp_path):
+    whole = write(tmp_path, "whole.dump", "INSERT INTO notes VALUES (1,'a');\nINSERT INTO notes VALUES (2,'b')")
+    cut = write(tmp_path, "cut.dump", "INSERT INTO notes VALUES (3,'a');\nINSERT INTO notes VALUES (4,'b'),(5,'c")
+    fine = write(tmp_path, "fi ne%.dump", "INSERT INTO notes VALUES (6,\n'a');\n\n-- done\n")
+    other = write(tmp_path, "other.dump", "1,a\n2,b\n")
+    empty = write(tmp_path, "em pt%y.dump", "")
+    loaded = dump_scan(spark, [whole, cut, fine], NOTES)
+    assert sorted(by_id(loaded.filter("size(errors) = 0"))) == [1, 2, 3, 6]
+    assert loaded.filter("size(errors) > 0").first()["errors"] == ["syntax"]
+    report = dump_format_check(spark, [whole, cut, fine, other, empty]).collect()
+    assert {unquote(r["file"]).rsplit("/", 1)[1]: r["status"] for r in report} == {
+        "whole.dump": "unterminated",
+        "cut.dump": "unterminated",
+        "fi ne%.dump": "ok",
+        "other.dump": "unexpected_format",
+        "em pt%y.dump": "unexpected_format",
+    }
+
+
+def test_parts_append_in_order_without_dedup(spark, tmp_path):
+    row = "INSERT INTO `salaries` VALUES ({},60117,'1986-06-26','1987-06-26'),({},62102,'1987-06-26','1988-06-25');\n"
+    parts = [write(tmp_path, f"salaries{i}.dump", row.format(n, n)) for i, n in ((3, 7), (1, 8), (2, 7))]
+    loaded = dump_scan(spark, parts, SALARIES)
+    assert loaded.count() == 6
+    assert [r["emp_no"] for r in loaded.orderBy("batch", "from_date").collect()] == [7, 7, 8, 8, 7, 7]
+
+
+def test_file_as_unit_and_other_tables_left_out(spark, tmp_path):
+    text = (
+        "INSERT INTO departments VALUES ('d001','Marketing');\nINSERT INTO other VALUES (1);\n"
+        "INSERT INTO departments VALUES ('d002','Finance'),('d3  ','Sales');\n"
+    )
+    loaded = scan(spark, tmp_path, text, DEPARTMENTS, unit="file")
+    assert loaded.select("batch").distinct().count() == 1
+    assert sorted(r["dept_no"] for r in loaded.collect()) == ["d001", "d002", "d3"]
+
+
+@pytest.mark.parametrize("line_sep", [";\n", ";\r\n"])
+def test_carriage_returns(spark, tmp_path, line_sep):
+    path = tmp_path / "dos.dump"
+    path.write_bytes(b"-- dos\r\nINSERT INTO notes VALUES (1,'a'),\r\n(2,'b');\r\nINSERT INTO notes VALUES (3,'c');\r\n")
+    loaded = dump_rows(dump_statements(spark, [str(path)], line_sep), NOTES)
+    assert by_id(loaded) == {1: "a", 2: "b", 3: "c"}
+    assert loaded.select("batch").distinct().count() == 2
+
+
+def test_statement_order_survives_file_splits(spark, tmp_path):
+    text = "".join(f"INSERT INTO customers VALUES ({i},'{'x' * 80}',NULL,'2023-01-15');\n" for i in range(2000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        loaded = scan(spark, tmp_path, text, CUSTOMERS)
+        assert loaded.select("batch.block").distinct().count() > 10
+        assert [r["customer_id"] for r in loaded.orderBy("batch").collect()] == list(range(2000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
