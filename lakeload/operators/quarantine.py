@@ -149,6 +149,8 @@ def quarantine(
     for fk in spec.foreign_keys:
         if parents and fk.parent in parents:
             orphans = orphan_keys(rows, fk, parents[fk.parent])
+            if orphans.isEmpty():
+                continue
             lacking = rows.join(orphans, list(fk.columns), "left_semi")
             verdicts.append(lacking.select(batch_id, F.lit(fk.name).alias("reason")).distinct())
     collisions = _key_collisions(rows, spec, batch, target)

@@ -164,9 +164,9 @@ def q_load_dumps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
-    """Half the customers are known by name; all of them come in, twice."""
+    """Customers with credit are known by name; all of them come in, twice."""
     customer = table(spark, sf, "customer")
-    target = customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("customer_id"), "c_name")
+    target = customer.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("customer_id"), "c_name")
     once = customer.select("c_name", "c_mktsegment", F.lit(0).alias("copy"), F.col("c_custkey").alias("position"))
     incoming = once.union(once.withColumn("copy", F.lit(1)).withColumn("c_mktsegment", F.lit("LATE")))
     return insert_ignore(target, incoming, ["c_name"], "customer_id", order_by=["copy", "position"])
@@ -311,9 +311,9 @@ ORACLE = {
                    AS status, row_count
         FROM counted""",
     "insert_ignore": """
-        SELECT (SELECT max(c_custkey) FROM customer WHERE c_custkey % 2 = 0)
+        SELECT (SELECT max(c_custkey) FROM customer WHERE c_acctbal >= 0)
                    + row_number() OVER (ORDER BY c_custkey) AS customer_id, c_name, c_mktsegment
-        FROM customer WHERE c_custkey % 2 = 1""",
+        FROM customer WHERE c_acctbal < 0""",
     "latest_dates": f"""
         SELECT emp_no, max(from_date) AS from_date, max(to_date) AS to_date
         FROM ({ASSIGNMENTS_SQL}) a GROUP BY emp_no""",

@@ -31,15 +31,20 @@ SPACE = " \t\r\n"
 ESCAPES = {"\\n": "\n", "\\r": "\r", "\\t": "\t", "\\0": "\0", "\\b": "\b", "\\Z": "\x1a"}
 
 
-def dump_statements(spark: SparkSession, parts: Sequence[str], line_sep: str = ";\n") -> DataFrame:
-    """INSERT statements of the files in ``parts``: batch, table, column list (or NULL) and text after VALUES.
+def _record_end(spark: SparkSession, part: str) -> str:
+    """A semicolon and the line end of the part's first line; without it a whole file would be one record."""
+    first = spark.read.text(part, lineSep="\n").first()
+    return ";\r\n" if first and first["value"].endswith("\r") else ";\n"
 
-    ``batch`` orders statements as a client would apply them: part, file, place in the file. Its last member counts rows
-    of one scan, so stage the result before using it twice. Files that end their lines with CR LF need
-    ``line_sep=";\\r\\n"`` to be split into records; other white space after the semicolon is handled either way.
+
+def dump_statements(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
+    """INSERT statements of the files in ``parts``: batch, table, column list (or empty) and text after VALUES.
+
+    ``batch`` orders statements as a client would apply them: part, file, place in the file. It counts rows of one scan,
+    so stage the result before using it twice.
     """
     read = [
-        spark.read.text(part, lineSep=line_sep).select(
+        spark.read.text(part, lineSep=_record_end(spark, part)).select(
             F.struct(
                 F.lit(number).alias("part"),
                 F.col("_metadata.file_path").alias("file"),

@@ -167,6 +167,17 @@ CUSTOMERS = TableSpec(
     ),
     primary_key=("customer_id",),
 )
+CUSTOMERS_BY_EMAIL = TableSpec(
+    "customers",
+    (
+        Column("customer_id", "int", True),
+        Column("name", "varchar(100)"),
+        Column("email", "varchar(100)"),
+        Column("registration_date", "date"),
+    ),
+    primary_key=("customer_id",),
+    unique=(("email",),),
+)
 ORDERS = TableSpec(
     "orders",
     (
