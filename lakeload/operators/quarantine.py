@@ -19,7 +19,8 @@ from lakeload.operators.typed import typed_projection
 from lakeload.specs import TableSpec
 from lakeload.workspace import stage
 
-SMALL_REMAINDER = 200_000
+BLOCK = 200_000
+FEW_KEYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class Quarantine:
 def _key_collisions(rows: DataFrame, spec: TableSpec, batch: str, target: DataFrame | None) -> DataFrame | None:
     """(key, batch, copies, in_target, constraint) for key values that occur more than once, or None if none do.
 
-    First pass: key columns only, counted map-side. Second pass: the rows that hold one of the (few) repeated keys.
+    First pass: key columns only, counted map-side. Second pass: the rows that hold one of the repeated keys.
     """
     found = []
     for constraint, columns in spec.keys.items():
@@ -52,13 +53,13 @@ def _key_collisions(rows: DataFrame, spec: TableSpec, batch: str, target: DataFr
         repeated = stage(repeated.select(*columns, "in_target"), "repeated")
         if repeated.isEmpty():
             continue
-        held_by = (
-            keyed.select("key.*", "batch")
-            .join(repeated, list(columns))
-            .groupBy(*columns, "batch", "in_target")
-            .agg(F.count(F.lit(1)).alias("copies"))
-        )
-        label = F.concat(F.lit(f"{constraint}="), F.to_json(F.struct(*columns)))
+        pairs, copies = keyed.select("key.*", "batch"), F.count(F.lit(1)).alias("copies")
+        if repeated.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+            held = pairs.join(F.broadcast(repeated), list(columns))
+            held_by = held.groupBy(*columns, "batch", "in_target").agg(copies)
+        else:  # merged before the join, so that a key repeated within a batch arrives once
+            held_by = pairs.groupBy(*columns, "batch").agg(copies).join(repeated, list(columns))
+        label = F.concat(F.lit(f"{constraint}="), F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns])))
         found.append(
             held_by.select(
                 label.alias("key"), "batch", "copies", "in_target", F.lit(constraint).alias("constraint")
@@ -70,58 +71,82 @@ def _key_collisions(rows: DataFrame, spec: TableSpec, batch: str, target: DataFr
 
 
 def _contested(pairs: DataFrame) -> DataFrame:
-    """Pairs whose key is held by more than one batch."""
+    """Pairs whose key is held by more than one batch.
+
+    The keys are staged: a join straight on top of an aggregate of its own key is one that Spark cannot split for skew.
+    """
     shared = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    return stage(pairs.join(shared.select("key"), "key", "left_semi"), "contested")
+    return stage(pairs.join(stage(shared.select("key"), "shared"), "key", "left_semi"), "contested")
+
+
+def _first_of_all(pairs: DataFrame) -> DataFrame:
+    """Batches that are the first holder of every key they contest."""
+    first = stage(pairs.groupBy("key").agg(F.min("batch").alias("first")), "first")
+    return (
+        pairs.join(first, "key")
+        .groupBy("batch")
+        .agg(F.bool_and(F.col("batch") == F.col("first")).alias("first_of_all"))
+        .filter("first_of_all")
+        .select("batch")
+    )
 
 
-def _settle_in_order(pairs: DataFrame) -> DataFrame:
-    """Walk a small remainder in batch order; returns the batches that find a key already taken."""
+def _walk(pairs: DataFrame, size: int, whole: bool) -> DataFrame:
+    """Apply the first ``size`` pairs in batch order in one task; returns the batches accepted.
+
+    Unless ``pairs`` are ``whole``, the last batch seen may lack pairs and is left undecided.
+    """
 
     def walk(chunks):
-        taken = set()
+        taken, accepted, current, keys, kind = set(), [], None, [], None
+
+        def close():
+            if keys and taken.isdisjoint(keys):
+                taken.update(keys)
+                accepted.append(current)
+
         for chunk in chunks:
-            lost = []
-            for keys in chunk.column("keys").to_pylist():
-                clash = any(k in taken for k in keys)
-                if not clash:
-                    taken.update(keys)
-                lost.append(clash)
-            yield chunk.select(["batch"]).filter(pa.array(lost, pa.bool_()))
-
-    by_batch = pairs.groupBy("batch").agg(F.collect_set("key").alias("keys"))
-    ordered = by_batch.repartition(1).sortWithinPartitions("batch")
-    return ordered.mapInArrow(walk, pairs.select("batch").schema)
-
-
-def _later_claims(pairs: DataFrame, small: int) -> list[DataFrame]:
-    """Batches refused because an accepted earlier batch took one of their keys.
-
-    Each round accepts every batch that is the first holder of all its contested keys and refuses the others that hold
-    a key so taken; the first undecided batch is always decided, so it ends, and the outcome equals applying the batches
-    one by one. A chain of batches, each overlapping the next, needs many rounds; once no more than ``small`` pairs are
-    left they are walked in order in one task instead.
+            kind = chunk.schema.field("batch").type
+            for batch, key in zip(chunk.column("batch").to_pylist(), chunk.column("key").to_pylist(), strict=True):
+                if batch != current:
+                    close()
+                    current, keys = batch, []
+                keys.append(key)
+        if whole:
+            close()
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(accepted, kind)], names=["batch"])
+
+    first = pairs.select("batch", "key").orderBy("batch").limit(size)
+    in_order = first.repartition(1).sortWithinPartitions("batch")
+    return in_order.mapInArrow(walk, pairs.select("batch").schema)
+
+
+def _later_claims(pairs: DataFrame, block: int) -> list[DataFrame]:
+    """Batches refused because an accepted earlier batch took one of their keys; equals applying them one by one.
+
+    A round accepts the batches that are first at all their keys and refuses the others that hold a key so taken. That
+    decides nearly all at once, and always the first batch. A long chain, in which each batch overlaps the next, yields
+    one batch per round only; a round that decided less than half is therefore followed by one that walks the next
+    ``block`` pairs in order. The rounds are thus bounded by the pairs divided by half a block.
     """
-    refused = []
+    refused, slow = [], False
     pairs = _contested(pairs)
-    while (left := pairs.count()) > 0:
-        if left <= small:
-            refused.append(stage(_settle_in_order(pairs), "refused"))
+    left = pairs.count()
+    while left > 0:
+        whole = left <= block
+        walked = whole or slow
+        accepted = stage(_walk(pairs, block, whole) if walked else _first_of_all(pairs), "accepted")
+        if whole:
+            refused.append(stage(pairs.select("batch").distinct().join(accepted, "batch", "left_anti"), "refused"))
             break
-        first = pairs.groupBy("key").agg(F.min("batch").alias("first"))
-        accepted = (
-            pairs.join(first, "key")
-            .groupBy("batch")
-            .agg(F.bool_and(F.col("batch") == F.col("first")).alias("first_of_all"))
-            .filter("first_of_all")
-            .select("batch")
-        )
-        accepted = stage(accepted, "accepted")
-        taken = pairs.join(accepted, "batch", "left_semi").select("key").distinct()
+        taken = stage(pairs.join(accepted, "batch", "left_semi").select("key").distinct(), "taken")
         late = pairs.join(taken, "key", "left_semi").join(accepted, "batch", "left_anti")
         late = stage(late.select("batch").distinct(), "refused")
         refused.append(late)
         pairs = _contested(pairs.join(accepted, "batch", "left_anti").join(late, "batch", "left_anti"))
+        before, left = left, pairs.count()
+        slow = not walked and left > before / 2
     return refused
 
 
@@ -131,7 +156,7 @@ def quarantine(
     batch: str = "batch",
     parents: dict[str, DataFrame] | None = None,
     target: DataFrame | None = None,
-    small_remainder: int = SMALL_REMAINDER,
+    block: int = BLOCK,
 ) -> Quarantine:
     """Split ``rows`` into accepted and refused batches.
 
@@ -162,7 +187,7 @@ def quarantine(
     if collisions is not None:
         verdict = stage(verdict, "verdicts")
         open_pairs = collisions.select("key", "batch").join(verdict.select("batch"), "batch", "left_anti")
-        for late in _later_claims(open_pairs, small_remainder):
+        for late in _later_claims(open_pairs, block):
             verdict = verdict.union(late.select("batch", F.lit("key_taken").alias("reason")))
     reasons = F.array_join(F.array_sort(F.collect_set("reason")), ",")
     rejected = stage(verdict.groupBy("batch").agg(reasons.alias("reasons")), "rejected")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lakeload.operators import quarantine as module
 from lakeload.operators.quarantine import batch_summary, quarantine
 from lakeload.specs import Column, ForeignKey, TableSpec
 
@@ -45,9 +46,10 @@ def frames(spark, batches, parents, target):
     )
 
 
-@pytest.mark.parametrize("small", [0, 1_000])
-@pytest.mark.parametrize("seed", range(4))
-def test_random_batches(spark, seed, small):
+@pytest.mark.parametrize(("small", "few"), [(0, 0), (7, 1_000), (1_000, 1_000)])
+@pytest.mark.parametrize("seed", range(2))
+def test_random_batches(spark, monkeypatch, seed, small, few):
+    monkeypatch.setattr(module, "FEW_KEYS", few)
     rng = random.Random(seed)
     parents, target = [1, 2, 3], [(90, "t90", 1), (91, None, None)]
     batches = [
@@ -65,7 +67,7 @@ def test_random_batches(spark, seed, small):
         for n in range(60)
     ]
     rows, parent_frames, target_frame = frames(spark, batches, parents, target)
-    split = quarantine(rows, SPEC, parents=parent_frames, target=target_frame, small_remainder=small)
+    split = quarantine(rows, SPEC, parents=parent_frames, target=target_frame, block=small)
     expected = one_by_one(batches, parents, target)
     assert sorted(r["batch"] for r in split.good.select("batch").distinct().collect()) == expected
     assert split.good.count() + split.bad.count() == rows.count()
@@ -73,13 +75,13 @@ def test_random_batches(spark, seed, small):
     assert (summary["batches"], summary["loaded"]) == (60, len(expected))
 
 
-@pytest.mark.parametrize("small", [0, 4])
+@pytest.mark.parametrize("small", [0, 5, 100])
 def test_chain_of_overlapping_batches(spark, small):
     """Every batch repeats a key of the one before: each second one is refused."""
-    batches = [(n, [(100 + n, None, None), (101 + n, None, None)]) for n in range(9)]
+    batches = [(n, [(100 + n, None, None), (101 + n, None, None)]) for n in range(13)]
     rows, parents, target = frames(spark, batches, [1], [(1, None, None)])
-    split = quarantine(rows, SPEC, parents=parents, target=target, small_remainder=small)
-    assert sorted(r["batch"] for r in split.good.select("batch").distinct().collect()) == [0, 2, 4, 6, 8]
+    split = quarantine(rows, SPEC, parents=parents, target=target, block=small)
+    assert sorted(r["batch"] for r in split.good.select("batch").distinct().collect()) == list(range(0, 13, 2))
     assert {r["reasons"] for r in split.rejected.collect()} == {"key_taken"}
 
 
