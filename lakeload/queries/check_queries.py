@@ -258,7 +258,7 @@ ORACLE = {
             FROM orders)
         SELECT CAST(o_orderkey AS INTEGER) AS order_id, CAST(o_custkey AS INTEGER) AS customer_id,
                CAST(o_orderdate AS DATE) AS order_date,
-               CASE WHEN price < 1000000 THEN CAST(price AS DECIMAL(18,2)) END AS total_amount,
+               TRY_CAST(price AS DECIMAL(8,2)) AS total_amount,
                CASE WHEN price < 1000000 THEN '' ELSE 'total_amount:type' END AS errors
         FROM priced""",
     "row_rule_violations": """

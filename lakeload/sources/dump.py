@@ -22,7 +22,7 @@ QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
 COMMENT_LINES = rf"(?s)({QUOTED})|(?m:^[ \t]*--[^\n]*$)"
 INSERT = r"(?is)(?:^|\n)\s*INSERT\s+INTO\s+(?:`?\w+`?\s*\.\s*)?`?(\w+)`?"
 HEADER = INSERT + r"\s*(?:\(([^)']*)\)\s*)?VALUES?\s*"
-STATEMENT = HEADER + r"(.*)$"
+STATEMENT_END = r";[ \t\r]*\r?\n"
 # One item each, tied to the end of the item before; the first needs no comma.
 TUPLE = rf"(?s)\G(?:^|(?!^),)\s*\((?:{QUOTED}|[^'()]++)*+\)\s*"
 FIELD = rf"(?s)\G(?:^|(?!^),)\s*(?:{QUOTED}|[^,'\s][^,']*+)\s*"
@@ -43,6 +43,7 @@ def dump_statements(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
     ``batch`` orders statements as a client would apply them: part, file, place in the file. It counts rows of one scan,
     so stage the result before using it twice.
     """
+    pieces = F.when(F.contains("value", F.lit(";")), F.split("value", STATEMENT_END)).otherwise(F.array("value"))
     read = [
         spark.read.text(part, lineSep=_record_end(spark, part)).select(
             F.struct(
@@ -51,29 +52,29 @@ def dump_statements(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("place"),
             ).alias("record"),
-            F.posexplode(F.split("value", r";[ \t\r]*\r?\n")).alias("piece", "text"),
+            F.posexplode(pieces).alias("piece", "text"),
         )
         for number, part in enumerate(parts)
     ]
     records = reduce(DataFrame.union, read)
-    has_comment = F.col("text").rlike(r"(?m)^[ \t]*--")
+    has_comment = F.contains("text", F.lit("--")) & F.col("text").rlike(r"(?m)^[ \t]*--")
     text = F.when(has_comment, F.regexp_replace("text", COMMENT_LINES, "$1")).otherwise(F.col("text"))
     batch = F.struct("record.part", "record.file", "record.block", "record.place", "piece")
-    return (
-        records.select(batch.alias("batch"), text.alias("text"))
-        .filter(F.col("text").rlike(INSERT))
-        .select(
-            "batch",
-            F.regexp_extract("text", INSERT, 1).alias("table_name"),
-            F.regexp_extract("text", HEADER, 2).alias("column_list"),
-            F.rtrim(F.regexp_extract("text", STATEMENT, 3), F.lit(";" + SPACE)).alias("body"),
-        )
+    inserts = records.select(batch.alias("batch"), text.alias("text")).filter(F.col("text").rlike(INSERT))
+    headed = inserts.withColumn("header", F.regexp_extract("text", HEADER, 0))
+    # The header is the leftmost match, so its text occurs nowhere before it.
+    body = F.substr("text", F.instr("text", F.col("header")) + F.length("header"))
+    return headed.select(
+        "batch",
+        F.regexp_extract(F.coalesce(F.nullif("header", F.lit("")), "text"), INSERT, 1).alias("table_name"),
+        F.regexp_extract("header", HEADER, 2).alias("column_list"),
+        F.when(F.col("header") == "", "").otherwise(F.rtrim(body, F.lit(";" + SPACE))).alias("body"),
     )
 
 
 def _covers(items: str, text: str) -> SparkColumn:
     """Whether the matched items, each beginning where the one before ended, make up the whole text."""
-    return F.length(F.array_join(items, "")) == F.length(text)
+    return F.array_join(items, "") == F.col(text)
 
 
 def _bare(item: SparkColumn) -> SparkColumn:
