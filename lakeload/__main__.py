@@ -1,4 +1,4 @@
-"""The two jobs, for spark-submit or ``python -m lakeload``.
+"""The two jobs, for ``python -m lakeload`` or, through ``job.py``, for spark-submit.
 
     export      every table of a database (or those named) to the lake and the catalog
     load-dumps  the employee database from SQL dump files, with quarantine
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from functools import partial
 
 from pyspark.sql import SparkSession
 
@@ -19,14 +18,14 @@ from lakeload.functions.audit import run_time_label
 from lakeload.plans.export import Target, export_tables, failed
 from lakeload.plans.refresh import load_dumps
 from lakeload.plans.reports import post_export_check
-from lakeload.sources.jdbc import JdbcSource, jdbc_scan, source_table_list
+from lakeload.sources.jdbc import JdbcSource, jdbc_reader, source_table_list
 from lakeload.specs import EMPLOYEE_DATABASE
 
 JDBC = "spark.lakeload.jdbc."
 
 
 def jdbc_source(spark: SparkSession) -> JdbcSource:
-    settings = {k.removeprefix(JDBC): v for k, v in spark.sparkContext.getConf().getAll() if k.startswith(JDBC)}
+    settings = {k.removeprefix(JDBC): v for k, v in spark.conf.getAll.items() if k.startswith(JDBC)}
     return JdbcSource(settings.pop("url"), settings)
 
 
@@ -36,7 +35,8 @@ def export(spark: SparkSession, args: argparse.Namespace) -> bool:
     absent = [r["wanted"] for r in listed if r["resolved"] is None]
     tables = [r["resolved"] for r in listed if r["resolved"] is not None]
     target = Target(args.root, args.database, run_time_label(), args.source_database)
-    summary = export_tables(spark, partial(jdbc_scan, spark, source), tables, target, args.max_attempts)
+    read = jdbc_reader(spark, source, dict(pair.split("=", 1) for pair in args.keys), args.partitions)
+    summary = export_tables(spark, read, tables, target, args.max_attempts)
     summary.show(len(tables), truncate=False)
     post_export_check(spark, args.database, tables).show(len(tables), truncate=False)
     if absent:
@@ -48,7 +48,7 @@ def load(spark: SparkSession, args: argparse.Namespace) -> bool:
     parts = {spec.name: [f"{args.dumps}/load_{spec.name}.dump"] for spec in EMPLOYEE_DATABASE}
     parts["salaries"] = [f"{args.dumps}/load_salaries{i}.dump" for i in (1, 2, 3)]
     whole = ("departments", "dept_manager")
-    summary = load_dumps(spark, EMPLOYEE_DATABASE, parts, args.root, args.database, whole).cache()
+    summary = load_dumps(spark, EMPLOYEE_DATABASE, parts, args.root, args.database, whole)
     summary.show(truncate=False)
     return summary.filter("status <> 'loaded'").isEmpty()
 
@@ -62,6 +62,8 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("--tables", nargs="*", default=[])
     one.add_argument("--exclude", nargs="*", default=[])
     one.add_argument("--strip-prefix", default="")
+    one.add_argument("--keys", nargs="*", default=[], metavar="TABLE=COLUMN", help="integer keys to read in parallel")
+    one.add_argument("--partitions", type=int, default=16)
     one.add_argument("--max-attempts", type=int, default=3)
     two = jobs.add_parser("load-dumps")
     two.set_defaults(run=load)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +41,23 @@ def orphan_keys(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFram
     return stage(values.join(parents, list(fk.columns), "left_anti"), "orphans")
 
 
+def _with_key_in(df: DataFrame, keys: DataFrame) -> DataFrame:
+    return df.join(keys, keys.columns, "left_semi").select(*df.columns)
+
+
+def _without_key_in(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is not among ``keys``; a NULL key is among none."""
+    return df.join(keys, keys.columns, "left_anti").select(*df.columns)
+
+
 def fk_violations(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
     """Child rows whose parent is missing; a NULL in the key refers to nothing and is no violation."""
-    return child.join(orphan_keys(child, fk, parent), list(fk.columns), "left_semi")
+    return _with_key_in(child, orphan_keys(child, fk, parent))
 
 
 def fk_clean(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
     """Child rows without a violation."""
-    return child.join(orphan_keys(child, fk, parent), list(fk.columns), "left_anti")
+    return _without_key_in(child, orphan_keys(child, fk, parent))
 
 
 def cascade_delete(
@@ -58,9 +68,8 @@ def cascade_delete(
     ``specs`` come parents first. The rows that go are followed downwards by key, and every child loses those that
     refer to them; ``keys`` holds columns of ``table``.
     """
-    gone = {table: tables[table].join(keys, keys.columns, "left_semi")}
-    left = dict(tables)
-    left[table] = tables[table].join(keys, keys.columns, "left_anti")
+    gone = {table: _with_key_in(tables[table], keys)}
+    left = tables | {table: _without_key_in(tables[table], keys)}
     for spec in specs:
         if spec.name == table or spec.name not in tables:
             continue
@@ -69,15 +78,10 @@ def cascade_delete(
         for fk in spec.foreign_keys:
             if fk.parent not in gone:
                 continue
-            columns = list(fk.columns)
-            dead = gone[fk.parent].select(
-                *[F.col(p).alias(c) for c, p in zip(columns, fk.parent_columns, strict=True)]
-            )
-            dead = stage(dead.distinct(), "deleted")
-            lost.append(rows.join(dead, columns, "left_semi"))
-            left[spec.name] = left[spec.name].join(dead, columns, "left_anti")
+            named = [F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns, strict=True)]
+            dead = stage(gone[fk.parent].select(*named).distinct(), "deleted")
+            lost.append(_with_key_in(rows, dead))
+            left[spec.name] = _without_key_in(left[spec.name], dead)
         if lost:
-            gone[spec.name] = lost[0]
-            for more in lost[1:]:
-                gone[spec.name] = gone[spec.name].unionByName(more)
+            gone[spec.name] = reduce(DataFrame.union, lost)
     return left

@@ -27,26 +27,26 @@ def _convert(raw: SparkColumn, raw_type: DataType, column: Column) -> SparkColum
 
 
 def _column_errors(raw: SparkColumn, converted: SparkColumn, column: Column, ignore_case: bool) -> list[SparkColumn]:
-    found = []
+    broken = {}
     if column.required:
-        found.append(F.when(raw.isNull(), F.lit(f"{column.name}:null")))
+        broken["null"] = raw.isNull()
     if column.max_length:
-        too_long = F.length(F.rtrim(raw.cast("string"))) > column.max_length
-        found.append(F.when(too_long, F.lit(f"{column.name}:length")))
+        broken["length"] = F.length(F.rtrim(raw.cast("string"))) > column.max_length
     elif column.allowed:
         text, allowed = raw.cast("string"), column.allowed
         if ignore_case:
             text, allowed = F.lower(text), [a.lower() for a in allowed]
-        found.append(F.when(~text.isin(allowed), F.lit(f"{column.name}:enum")))
+        broken["enum"] = ~text.isin(allowed)
     elif column.spark_type != "string":
-        found.append(F.when(raw.isNotNull() & converted.isNull(), F.lit(f"{column.name}:type")))
-    return found
+        broken["type"] = raw.isNotNull() & converted.isNull()
+    return [F.when(condition, f"{column.name}:{rule}").otherwise("") for rule, condition in broken.items()]
 
 
 def _named(errors: list[SparkColumn]) -> SparkColumn:
+    """The errors that are not empty; without a lambda, so that the projection stays in generated code."""
     if not errors:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*errors))
+    return F.array_remove(F.array(*errors), "")
 
 
 def typed_projection(df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -65,7 +65,7 @@ def typed_projection(df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ())
     typed = df.select(
         *[v.alias(n) for n, v in converted.items()], *keep, _named(column_errors).alias("_column_errors")
     )
-    checks = [F.when(~F.expr(rule), F.lit(f"check:{name}")) for name, rule in spec.checks.items()]
+    checks = [F.when(~F.expr(rule), f"check:{name}").otherwise("") for name, rule in spec.checks.items()]
     return typed.withColumn("errors", F.concat("_column_errors", _named(checks))).drop("_column_errors")
 
 

@@ -9,7 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
+from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeload.functions.audit import audit_columns
@@ -46,13 +48,22 @@ def export_table(spark: SparkSession, read: Reader, table: str, target: Target)
     return "ok", rows
 
 
+def _kind(error: Exception) -> str:
+    """What went wrong without its text, which may hold connection details."""
+    if isinstance(error, Py4JJavaError):
+        return error.java_exception.getClass().getName()
+    if isinstance(error, PySparkException) and error.getCondition():
+        return error.getCondition()
+    return type(error).__name__
+
+
 def _attempt(spark: SparkSession, read: Reader, table: str, target: Target, max_attempts: int) -> tuple:
     for attempt in range(1, max_attempts + 1):
         try:
             status, rows = export_table(spark, read, table, target)
             return (table, status, rows, None)
-        except Exception as error:  # any failure belongs in the summary; its text may hold connection details
-            kind = type(error).__name__
+        except Exception as error:  # any failure belongs in the summary and must not stop the other tables
+            kind = _kind(error)
             log.warning("export of %s failed (%s), attempt %d of %d", table, kind, attempt, max_attempts)
             if attempt < max_attempts:
                 time.sleep(2 ** (attempt - 1))

@@ -7,6 +7,7 @@ from functools import partial
 
 import pytest
 
+from lakeload.__main__ import main
 from lakeload.operators.load import (
     incremental_extract,
     insert_ignore,
@@ -132,6 +133,23 @@ def test_source_to_lake_reconciles(spark, source, tmp_path):
     assert spark.table(f"{database}.customers").select(*CUSTOMERS.column_names).count() == 5
 
 
+def test_export_job(spark, source, tmp_path):
+    for name in ("employees", "customers"):
+        jdbc_write(seed(spark), source, name, column_types="name VARCHAR(100), email VARCHAR(100)")
+    settings = {"url": source.url, **source.properties}
+    for key, value in settings.items():
+        spark.conf.set(f"spark.lakeload.jdbc.{key}", value)
+    database = "db_" + uuid.uuid4().hex
+    where = ["--root", str(tmp_path), "--database", database, "--source-database", "hr", "--max-attempts", "1"]
+    try:
+        assert main(["export", "--exclude", "customers", "--keys", "employees=customer_id", *where]) == 0
+        assert main(["export", "--tables", "customers", "absent", *where]) == 1
+    finally:
+        for key in settings:
+            spark.conf.unset(f"spark.lakeload.jdbc.{key}")
+    assert spark.table(f"{database}.EMPLOYEES").count() == 5 and spark.table(f"{database}.CUSTOMERS").count() == 5
+
+
 def test_increment_starts_after_the_lake(spark, source, rows):
     jdbc_write(seed(spark), source, "customers")
     scan = jdbc_scan(spark, source, "customers").select("customer_id")
