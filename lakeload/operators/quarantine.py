@@ -200,16 +200,15 @@ def quarantine(
 
 
 def batch_summary(table: str, rows: DataFrame, rejected: DataFrame, batch: str = "batch") -> DataFrame:
-    """Batches seen, loaded and refused, and whether the table is loaded, partial or failed."""
+    """Batches seen, loaded and refused, and whether the table is loaded, partial or failed (no batch at all is too)."""
     seen = rows.select(batch).distinct().select(F.lit(1).alias("seen"), F.lit(0).alias("refused"))
     refused = rejected.select(F.lit(0).alias("seen"), F.lit(1).alias("refused"))
     totals = seen.union(refused).agg(
         F.coalesce(F.sum("seen"), F.lit(0)).alias("batches"),
         F.coalesce(F.sum("refused"), F.lit(0)).alias("refused"),
     )
-    status = (
-        F.when(F.col("refused") == 0, "loaded").when(F.col("refused") < F.col("batches"), "partial").otherwise("failed")
-    )
+    none_loaded = F.col("batches") == F.col("refused")
+    status = F.when(none_loaded, "failed").when(F.col("refused") == 0, "loaded").otherwise("partial")
     return totals.select(
         F.lit(table).alias("table_name"),
         "batches",

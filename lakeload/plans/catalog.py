@@ -12,8 +12,13 @@ from lakeload.functions.audit import RUN_KEYS
 CHANGES = "column_name string, change string, table_type string, file_type string"
 
 
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def create_database(spark: SparkSession, name: str, location: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{location}'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION {_text(location)}")
 
 
 def external_table(
@@ -27,7 +32,7 @@ def external_table(
     columns += [f"`{p}` STRING" for p in partitions]
     by = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)}) USING parquet {by} LOCATION '{location}'"
+        f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)}) USING parquet {by} LOCATION {_text(location)}"
     )
 
 
@@ -40,27 +45,21 @@ def add_run(spark: SparkSession, table: str, run_time: str, source_database: str
     """Register the one folder a run wrote, without listing the table."""
     spark.sql(
         f"ALTER TABLE {table} ADD IF NOT EXISTS "
-        f"PARTITION (processing_time = '{run_time}', source_database = '{source_database}')"
+        f"PARTITION (processing_time = {_text(run_time)}, source_database = {_text(source_database)})"
     )
     spark.catalog.refreshTable(table)
 
 
-def schema_diff(spark: SparkSession, table: str, path: str, one_write: bool = False) -> DataFrame:
-    """Columns of the files under ``path`` (say, one new snapshot) against the table: added, removed, type_changed.
+def file_schema(spark: SparkSession, path: str) -> StructType:
+    """The schema of all Parquet files under ``path``, merged; the files are read for it as a Spark job."""
+    return spark.read.option("mergeSchema", True).parquet(path).schema
 
-    Every file's schema is read and merged, as a job; ``one_write`` says that one write made them all, so that one
-    file's schema will do.
-    """
-    return spark.createDataFrame(_differences(spark, table, path, one_write), CHANGES)
 
+def _changes(spark: SparkSession, table: str, schema: StructType) -> list[tuple[str, str, str | None, str | None]]:
+    def types(declared: StructType) -> dict[str, str]:
+        return {f.name: f.dataType.simpleString() for f in declared.fields if f.name not in RUN_KEYS}
 
-def _differences(
-    spark: SparkSession, table: str, path: str, one_write: bool
-) -> list[tuple[str, str, str | None, str | None]]:
-    files = spark.read.option("mergeSchema", not one_write).parquet(path).schema
-    in_files = {f.name: f.dataType.simpleString() for f in files.fields}
-    in_table = {f.name: f.dataType.simpleString() for f in spark.table(table).schema.fields if f.name not in RUN_KEYS}
-    in_files = {n: t for n, t in in_files.items() if n not in RUN_KEYS}
+    in_table, in_files = types(spark.table(table).schema), types(schema)
     changes = []
     for name in sorted(in_files | in_table):
         old, new = in_table.get(name), in_files.get(name)
@@ -70,13 +69,18 @@ def _differences(
     return changes
 
 
-def schema_evolution(spark: SparkSession, table: str, path: str, one_write: bool = False) -> DataFrame:
-    """Add the columns new in ``path`` to the table and return the full report.
+def schema_diff(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """The columns of a new snapshot against those of the table: added, removed, type_changed."""
+    return spark.createDataFrame(_changes(spark, table, schema), CHANGES)
+
+
+def schema_evolution(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """Add the columns that are new in ``schema`` to the table and return the full report.
 
     Columns that are gone or changed type are reported only: earlier snapshots still hold them.
     """
-    changes = _differences(spark, table, path, one_write)
-    new = ", ".join(f"`{name}` {file_type}" for name, change, _, file_type in changes if change == "added")
+    changes = _changes(spark, table, schema)
+    new = ", ".join(f"`{name}` {new_type}" for name, change, _, new_type in changes if change == "added")
     if new:
         spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({new})")
     return spark.createDataFrame(changes, CHANGES)

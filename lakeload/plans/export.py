@@ -42,8 +42,7 @@ def export_table(spark: SparkSession, read: Reader, table: str, target: Target)
     if rows == 0:
         empty_marker(spark, source.schema, target.root, table, target.run_time, target.source_database)
         return "empty", 0
-    run = f"{location}/processing_time={target.run_time}/source_database={target.source_database}"
-    schema_evolution(spark, name, run, one_write=True)
+    schema_evolution(spark, name, stamped.schema)
     add_run(spark, name, target.run_time, target.source_database)
     return "ok", rows
 

@@ -58,7 +58,7 @@ ASSIGNMENTS_SQL = """
 
 def scratch_source(spark: SparkSession, sf: str, *names: str) -> JdbcSource:
     """A fresh embedded database holding the named tables. It lives in this JVM, so it needs a local master."""
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("the embedded database is seen by one process only: run this query with a local master")
     source = JdbcSource(
         f"jdbc:derby:memory:{uuid.uuid4().hex};create=true",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeload.functions.audit import RUN_KEYS, audit_columns
 from lakeload.operators.load import load_if_unpopulated, seed_if_empty
-from lakeload.plans.catalog import external_table, partition_repair, schema_diff, schema_evolution
+from lakeload.plans.catalog import external_table, file_schema, partition_repair, schema_diff, schema_evolution
 from lakeload.plans.export import Target, export_tables
 from lakeload.plans.refresh import full_refresh
 from lakeload.plans.reports import post_export_check, reconcile, table_counts
@@ -124,12 +124,13 @@ def _changed_orders(spark: SparkSession, sf: str) -> tuple[str, str]:
 
 
 def q_schema_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return schema_diff(spark, *_changed_orders(spark, sf))
+    name, new_files = _changed_orders(spark, sf)
+    return schema_diff(spark, name, file_schema(spark, new_files))
 
 
 def q_schema_evolution(spark: SparkSession, sf: str) -> DataFrame:
     name, new_files = _changed_orders(spark, sf)
-    schema_evolution(spark, name, new_files)
+    schema_evolution(spark, name, file_schema(spark, new_files))
     partition_repair(spark, name)
     return spark.table(name).select("processing_time", "o_orderkey", "o_orderstatus", "o_orderpriority")
 
