@@ -57,11 +57,13 @@ def comparisons(spark: SparkSession, sf: str) -> dict:
     spec = spec_of(lineitem, "lineitem", checks={"quantity": "l_quantity <= 45"})
 
     def count_then_write():
-        lineitem.count()
-        snapshot_overwrite(lineitem, new_folder(spark, "bench"))
+        from_database = jdbc_scan(spark, source, "orders")
+        from_database.count()
+        snapshot_overwrite(from_database, new_folder(spark, "bench"))
 
     def count_while_writing():
-        write_with_metrics(lineitem, partial(snapshot_overwrite, path=new_folder(spark, "bench")))
+        from_database = jdbc_scan(spark, source, "orders")
+        write_with_metrics(from_database, partial(snapshot_overwrite, path=new_folder(spark, "bench")))
 
     return {
         "jdbc_1_partition": lambda: consume(jdbc_scan(spark, source, "orders")),

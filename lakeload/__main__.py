@@ -17,7 +17,8 @@ from pyspark.sql import SparkSession
 from lakeload.functions.audit import run_time_label
 from lakeload.plans.export import Target, export_tables, failed
 from lakeload.plans.refresh import load_dumps
-from lakeload.plans.reports import post_export_check
+from lakeload.plans.reports import post_export_check, table_counts
+from lakeload.plans.views import sample_join
 from lakeload.sources.jdbc import JdbcSource, jdbc_reader, source_table_list
 from lakeload.specs import EMPLOYEE_DATABASE
 
@@ -48,8 +49,11 @@ def load(spark: SparkSession, args: argparse.Namespace) -> bool:
     parts = {spec.name: [f"{args.dumps}/load_{spec.name}.dump"] for spec in EMPLOYEE_DATABASE}
     parts["salaries"] = [f"{args.dumps}/load_salaries{i}.dump" for i in (1, 2, 3)]
     whole = ("departments", "dept_manager")
-    summary = load_dumps(spark, EMPLOYEE_DATABASE, parts, args.root, args.database, whole)
+    summary = load_dumps(spark, EMPLOYEE_DATABASE, parts, args.root, args.database, whole, args.refresh)
     summary.show(truncate=False)
+    tables = {spec.name: spark.table(f"{args.database}.{spec.name}") for spec in EMPLOYEE_DATABASE}
+    table_counts(tables).show(truncate=False)
+    sample_join(tables["employees"], tables["dept_emp"], tables["departments"], tables["titles"], n=5).show()
     return summary.filter("status <> 'loaded'").isEmpty()
 
 
@@ -68,6 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     two = jobs.add_parser("load-dumps")
     two.set_defaults(run=load)
     two.add_argument("--dumps", required=True)
+    two.add_argument("--refresh", action="store_true", help="drop and reload tables that already hold rows")
     for job in (one, two):
         job.add_argument("--root", required=True)
         job.add_argument("--database", required=True)

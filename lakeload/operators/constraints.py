@@ -29,16 +29,22 @@ def unique_violations(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return pk_duplicates(df.filter(all_present(key)), key)
 
 
-def orphan_keys(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
+def orphan_keys(child: DataFrame, fk: ForeignKey, parent: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Distinct child key values without a parent, named as the child columns and written to the shared folder.
 
     Only the key columns are read and shuffled, and equal keys merge before the shuffle. Normally few or none are left,
     so that the child rows themselves need no shuffle when they meet this table: Catalyst broadcasts it if its written
     size is under the session's threshold, and sort-merges otherwise.
     """
+    text = [c for c, kind in child.dtypes if kind == "string"] if ignore_case else []
+
+    def same(column: str):
+        held, referred = F.col(column), F.col(f"parent_{column}")
+        return F.lower(held) == F.lower(referred) if column in text else held == referred
+
     values = child.select(*fk.columns).filter(all_present(fk.columns)).distinct()
-    parents = parent.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns, strict=True)])
-    return stage(values.join(parents, list(fk.columns), "left_anti"), "orphans")
+    named = [F.col(p).alias(f"parent_{c}") for c, p in zip(fk.columns, fk.parent_columns, strict=True)]
+    return stage(values.join(parent.select(*named), [same(c) for c in fk.columns], "left_anti"), "orphans")
 
 
 def _with_key_in(df: DataFrame, keys: DataFrame) -> DataFrame:

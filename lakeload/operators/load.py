@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeload.operators.constraints import all_present
+from lakeload.specs import CUSTOMER_SEED, CUSTOMERS
 from lakeload.workspace import stage
 
 
@@ -59,6 +60,12 @@ def insert_ignore(
     return number_rows(fresh, order_by, id_column, start=highest + 1).drop(*order_by)
 
 
+def customer_seed(spark: SparkSession) -> DataFrame:
+    """The rows an empty customers table starts with."""
+    seed = spark.createDataFrame(CUSTOMER_SEED, "customer_id int, name string, email string, day string")
+    return seed.withColumn("day", F.to_date("day")).toDF(*CUSTOMERS.column_names)
+
+
 def seed_if_empty(target: DataFrame, seed: DataFrame, append: Callable[[DataFrame], None]) -> bool:
     """Append ``seed`` only when ``target`` holds no row; tells whether it did. Reads at most one row."""
     if not target.isEmpty():
@@ -83,14 +90,10 @@ def load_if_unpopulated(
     return spark.createDataFrame(outcome, "table_name string, action string")
 
 
-def above(column: str, mark) -> Column:
-    return F.col(column) > F.lit(mark)
-
-
 def incremental_extract(source: DataFrame, lake: DataFrame | None, key: str) -> DataFrame:
     """Source rows beyond the highest key in the lake.
 
     The mark is one value, so it goes into the filter as a literal, which Spark pushes to the database or into Parquet.
     """
     mark = lake.agg(F.max(key)).first()[0] if lake is not None else None
-    return source if mark is None else source.filter(above(key, mark))
+    return source if mark is None else source.filter(F.col(key) > F.lit(mark))

@@ -131,14 +131,17 @@ def _later_claims(pairs: DataFrame, block: int) -> list[DataFrame]:
     ``block`` pairs in order. The rounds are thus bounded by the pairs divided by half a block.
     """
     refused, slow = [], False
-    pairs = _contested(pairs)
+    pairs = stage(pairs, "open")
     left = pairs.count()
+    if left > block:
+        pairs = _contested(pairs)
+        left = pairs.count()
     while left > 0:
         whole = left <= block
         walked = whole or slow
         accepted = stage(_walk(pairs, block, whole) if walked else _first_of_all(pairs), "accepted")
         if whole:
-            refused.append(stage(pairs.select("batch").distinct().join(accepted, "batch", "left_anti"), "refused"))
+            refused.append(pairs.select("batch").distinct().join(accepted, "batch", "left_anti"))
             break
         taken = stage(pairs.join(accepted, "batch", "left_semi").select("key").distinct(), "taken")
         late = pairs.join(taken, "key", "left_semi").join(accepted, "batch", "left_anti")
@@ -173,7 +176,7 @@ def quarantine(
     verdicts = [rows.select(batch_id, F.explode("errors").alias("reason")).distinct()]
     for fk in spec.foreign_keys:
         if parents and fk.parent in parents:
-            orphans = orphan_keys(rows, fk, parents[fk.parent])
+            orphans = orphan_keys(rows, fk, parents[fk.parent], spec.ignore_case)
             if orphans.isEmpty():
                 continue
             lacking = rows.join(orphans, list(fk.columns), "left_semi")

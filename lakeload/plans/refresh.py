@@ -18,6 +18,14 @@ from lakeload.specs import TableSpec, load_order
 VIEWS = ("current_dept_emp", "dept_emp_latest_date")
 
 
+def drop_all(spark: SparkSession, specs: Sequence[TableSpec], database: str) -> None:
+    """Drop the views, then the tables, children first. The files of external tables stay until overwritten."""
+    for view in VIEWS:
+        spark.sql(f"DROP VIEW IF EXISTS {database}.{view}")
+    for spec in reversed(load_order(specs)):
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{spec.name}")
+
+
 def load_dumps(
     spark: SparkSession,
     specs: Sequence[TableSpec],
@@ -25,13 +33,17 @@ def load_dumps(
     root: str,
     database: str,
     whole_files: Sequence[str] = (),
+    refresh: bool = False,
 ) -> DataFrame:
     """Load each table's dump files into external tables, parents first; returns the batch summary per table.
 
     Refused batches go to ``<root>/_rejected/<table>`` with their reasons. A table that already holds rows is left as it
-    is, each judged by itself. Tables named in ``whole_files`` load or fail by the file, the others by the statement.
+    is, each judged by itself, unless ``refresh`` drops them all first. Tables named in ``whole_files`` load or fail by
+    the file, the others by the statement.
     """
     create_database(spark, database, f"{root}/_database")
+    if refresh:
+        drop_all(spark, specs, database)
     loaded, summaries = {}, []
     for spec in load_order(specs):
         name = f"{database}.{spec.name}"
@@ -68,10 +80,7 @@ def full_refresh(
     """
     create_database(spark, database, f"{root}/_database")
     ordered = load_order(specs)
-    for view in VIEWS:
-        spark.sql(f"DROP VIEW IF EXISTS {database}.{view}")
-    for spec in reversed(ordered):
-        spark.sql(f"DROP TABLE IF EXISTS {database}.{spec.name}")
+    drop_all(spark, ordered, database)
     for spec in ordered:
         location = f"{root}/{spec.name}"
         snapshot_overwrite(read(spec.name).select(*spec.column_names), location)

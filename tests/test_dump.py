@@ -76,7 +76,19 @@ def test_literals(spark, tmp_path, literal, value):
 
 @pytest.mark.parametrize(
     "body",
-    ["(1,'a') (2,'b')", "(1,'a'),,(2,'b')", "(1,'a'),", ",(1,'a')", "(1,'a'),(2,'open", "(1 'a')", "(1,,'a')", "(1,f())", "", "x"],
+    [
+        "(1,'a') (2,'b')",
+        "(1,'a'),,(2,'b')",
+        "(1,'a'),",
+        ",(1,'a')",
+        "(1,'a'),(2,'open",
+        "(1 'a')",
+        "(1,,'a')",
+        "(1,f())",
+        "(,1)",
+        "",
+        "x",
+    ],
 )
 def test_malformed_statement_is_one_bad_batch(spark, tmp_path, body):
     loaded = scan(spark, tmp_path, f"INSERT INTO notes VALUES (7,'ok');\nINSERT INTO notes VALUES {body};\n")

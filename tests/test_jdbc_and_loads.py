@@ -9,6 +9,7 @@ import pytest
 
 from lakeload.__main__ import main
 from lakeload.operators.load import (
+    customer_seed,
     incremental_extract,
     insert_ignore,
     load_if_unpopulated,
@@ -27,7 +28,7 @@ from lakeload.sources.jdbc import (
     key_ranges,
     source_table_list,
 )
-from lakeload.specs import CUSTOMER_SEED, CUSTOMERS, ORDERS, Column, TableSpec
+from lakeload.specs import CUSTOMERS, ORDERS, Column, TableSpec
 
 
 @pytest.fixture
@@ -37,12 +38,6 @@ def source():
     )
 
 
-def seed(spark):
-    return spark.createDataFrame(CUSTOMER_SEED, "customer_id int, name string, email string, day string").selectExpr(
-        "customer_id", "name", "email", "CAST(day AS DATE) AS registration_date"
-    )
-
-
 def test_round_trip_of_types(spark, source, rows):
     day = datetime.date(2023, 4, 10)
     df = spark.createDataFrame([(1, 2, day, Decimal("99.99")), (2, None, None, None)], ORDERS.schema)
@@ -85,7 +80,7 @@ def test_null_keys_are_read_once(spark, source):
 
 
 def test_filters_and_columns_reach_the_database(spark, source):
-    jdbc_write(seed(spark), source, "customers", column_types="name VARCHAR(100), email VARCHAR(100)")
+    jdbc_write(customer_seed(spark), source, "customers", column_types="name VARCHAR(100), email VARCHAR(100)")
     scan = jdbc_scan(spark, source, "customers").filter("customer_id > 3").select("name")
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(customer_id,3)" in plan and "ReadSchema: struct<name:string>" in plan
@@ -93,7 +88,7 @@ def test_filters_and_columns_reach_the_database(spark, source):
 
 def test_table_selection(spark, source):
     for name in ("employees", "titles", "customers"):
-        jdbc_write(seed(spark), source, name)
+        jdbc_write(customer_seed(spark), source, name)
     listed = source_table_list(spark, source, deny=["customers"])
     assert sorted(r["resolved"] for r in listed.collect()) == ["EMPLOYEES", "TITLES"]
     wanted = ["x_Employees", "TITLES", "x_x_titles", "customers", "absent"]
@@ -107,22 +102,22 @@ def test_table_selection(spark, source):
 
 
 def test_catalogued_source(spark, source):
-    jdbc_write(seed(spark), source, "customers")
+    jdbc_write(customer_seed(spark), source, "customers")
     name = "jdbc_" + uuid.uuid4().hex
     jdbc_catalog_table(spark, source, "customers", name)
     assert spark.table(name).count() == 5
 
 
 def test_write_can_be_repeated(spark, source):
-    half = seed(spark).filter("customer_id <= 2")
+    half = customer_seed(spark).filter("customer_id <= 2")
     jdbc_write(half, source, "customers", key=["customer_id"])
     for _ in range(2):
-        jdbc_write(seed(spark), source, "customers", key=["customer_id"])
+        jdbc_write(customer_seed(spark), source, "customers", key=["customer_id"])
     assert jdbc_scan(spark, source, "customers").count() == 5
 
 
 def test_source_to_lake_reconciles(spark, source, tmp_path):
-    jdbc_write(seed(spark), source, "customers", column_types="name VARCHAR(100), email VARCHAR(100)")
+    jdbc_write(customer_seed(spark), source, "customers", column_types="name VARCHAR(100), email VARCHAR(100)")
     database = "db_" + uuid.uuid4().hex
     target = Target(str(tmp_path), database, "20240101T000000Z", "crm")
     read = partial(jdbc_scan, spark, source)
@@ -135,7 +130,7 @@ def test_source_to_lake_reconciles(spark, source, tmp_path):
 
 def test_export_job(spark, source, tmp_path):
     for name in ("employees", "customers"):
-        jdbc_write(seed(spark), source, name, column_types="name VARCHAR(100), email VARCHAR(100)")
+        jdbc_write(customer_seed(spark), source, name, column_types="name VARCHAR(100), email VARCHAR(100)")
     settings = {"url": source.url, **source.properties}
     for key, value in settings.items():
         spark.conf.set(f"spark.lakeload.jdbc.{key}", value)
@@ -151,7 +146,7 @@ def test_export_job(spark, source, tmp_path):
 
 
 def test_increment_starts_after_the_lake(spark, source, rows):
-    jdbc_write(seed(spark), source, "customers")
+    jdbc_write(customer_seed(spark), source, "customers")
     scan = jdbc_scan(spark, source, "customers").select("customer_id")
     lake = scan.filter("customer_id <= 3")
     increment = incremental_extract(scan, lake, "customer_id")
@@ -183,8 +178,8 @@ def test_seed_only_when_empty(spark, tmp_path):
     path = str(tmp_path / "customers")
     spark.createDataFrame([], CUSTOMERS.schema).write.parquet(path)
     append = lambda rows: rows.write.mode("append").parquet(path)
-    assert seed_if_empty(spark.read.parquet(path), seed(spark), append)
-    assert not seed_if_empty(spark.read.parquet(path), seed(spark), append)
+    assert seed_if_empty(spark.read.parquet(path), customer_seed(spark), append)
+    assert not seed_if_empty(spark.read.parquet(path), customer_seed(spark), append)
     assert spark.read.parquet(path).count() == 5
 
 

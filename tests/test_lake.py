@@ -5,6 +5,7 @@ from functools import partial
 
 import pytest
 
+from lakeload.__main__ import main
 from lakeload.functions.audit import audit_columns, run_time_label
 from lakeload.plans.catalog import external_table, file_schema, partition_repair, schema_diff, schema_evolution
 from lakeload.plans.export import Target, export_tables, failed
@@ -136,12 +137,14 @@ def test_views_keep_the_independent_maxima(spark, tmp_path, database, rows):
 
 def test_sample_join_fans_out(spark):
     employees = spark.createDataFrame([(1, "Ann", "Lee"), (2, "Bo", "Ray")], "emp_no int, first_name string, last_name string")
-    dept_emp = periods(spark, [(1, "d1", "2000-01-01", "9999-01-01"), (1, "d2", "2000-01-01", "9999-01-01"), (2, "d1", "2000-01-01", "2001-01-01")])
+    opened, closed = ("2000-01-01", "9999-01-01"), ("1990-01-01", "2000-01-01")
+    dept_emp = periods(spark, [(1, "d1", *opened), (1, "d2", *opened), (2, "d1", *closed)])
     departments = spark.createDataFrame([("d1", "Sales"), ("d2", "Legal")], "dept_no string, dept_name string")
-    titles = periods(spark, [(1, "Clerk", "2000-01-01", "9999-01-01"), (1, "Head", "2000-01-01", "9999-01-01"), (1, "Boy", "1990-01-01", "2000-01-01")])
-    joined = sample_join(employees, dept_emp, departments, titles.withColumnRenamed("dept_no", "title"))
+    titles = periods(spark, [(1, "Clerk", *opened), (1, "Head", *opened), (1, "Aide", *closed), (2, "Head", *opened)])
+    titles = titles.withColumnRenamed("dept_no", "title")
+    joined = sample_join(employees, dept_emp, departments, titles)
     assert joined.count() == 4 and joined.columns == ["first_name", "last_name", "dept_name", "title"]
-    assert sample_join(employees, dept_emp, departments, titles.withColumnRenamed("dept_no", "title"), n=3).count() == 3
+    assert sample_join(employees, dept_emp, departments, titles, n=3).count() == 3
 
 
 def test_counts_and_samples(spark, rows):
@@ -212,7 +215,10 @@ FILES = {
         f"INSERT INTO employees VALUES {EMPLOYEE.format(3)},{EMPLOYEE.format(2)};\n"
         f"INSERT INTO employees VALUES {EMPLOYEE.format(3)};\n"
     ),
-    "dept_manager": "INSERT INTO dept_manager VALUES (1,'d001','1990-01-01','9999-01-01'),(9,'d001','1990-01-01','9999-01-01');\n",
+    "dept_manager": (
+        "INSERT INTO dept_manager VALUES (1,'d001','1990-01-01','9999-01-01');\n"
+        "INSERT INTO dept_manager VALUES (9,'d001','1990-01-01','9999-01-01');\n"
+    ),
     "dept_emp": (
         "INSERT INTO dept_emp VALUES (1,'d001','1990-01-01','9999-01-01'),(2,'d002','1990-01-01','9999-01-01');\n"
         "INSERT INTO dept_emp VALUES (3,'d003','1990-01-01','9999-01-01');\n"
@@ -246,6 +252,12 @@ def test_whole_database_from_dumps_then_refresh(spark, tmp_path):
     again = load_dumps(spark, EMPLOYEE_DATABASE, parts, root, database, whole)
     assert [r["table_name"] for r in again.collect()] == ["dept_manager"]  # the only table still empty
 
+    where = ["--dumps", str(tmp_path), "--root", root, "--database", database]
+    for name in FILES:
+        (tmp_path / f"load_{name}.dump").write_text(FILES[name])
+    assert main(["load-dumps", "--refresh", *where]) == 1  # some batches are refused again
+    assert spark.table(f"{database}.employees").count() == 3
+
     kept = {"departments": DEPARTMENTS, "employees": EMPLOYEES, "dept_emp": DEPT_EMP}
     copies = {n: spark.createDataFrame(spark.table(f"{database}.{n}").collect(), s.schema) for n, s in kept.items()}
     counts = full_refresh(spark, list(kept.values()), copies.__getitem__, root, database, create_views)

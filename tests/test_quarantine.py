@@ -116,3 +116,7 @@ def test_case_insensitive_keys(spark):
     rows = spark.createDataFrame([("ab", 0), ("AB", 1)], "code string, batch int")
     assert quarantine(rows, binary).good.count() == 2
     assert quarantine(rows, folded).good.collect()[0]["code"] == "ab"
+    refers = {"foreign_keys": (ForeignKey(("code",), "p", ("c",)),)}
+    parents = {"p": spark.createDataFrame([("AB",)], "c string")}
+    assert quarantine(rows, TableSpec("t", columns, **refers), parents=parents).good.count() == 1
+    assert quarantine(rows, TableSpec("t", columns, ignore_case=True, **refers), parents=parents).good.count() == 2
