@@ -50,6 +50,20 @@ def add_run(spark: SparkSession, table: str, run_time: str, source_database: str
     spark.catalog.refreshTable(table)
 
 
+def empty_run(spark: SparkSession, table: str, run_time: str, source_database: str) -> None:
+    """Make the run's snapshot an empty one, whatever an earlier try of the run wrote.
+
+    Writing no rows by dynamic partition touches no folder, and the snapshot before would still be the latest.
+    """
+    data = ", ".join(f"CAST(NULL AS {kind})" for c, kind in spark.table(table).dtypes if c not in RUN_KEYS)
+    spark.sql(
+        f"INSERT OVERWRITE {table} "
+        f"PARTITION (processing_time = {_text(run_time)}, source_database = {_text(source_database)}) "
+        f"SELECT {data} WHERE false"
+    )
+    add_run(spark, table, run_time, source_database)
+
+
 def file_schema(spark: SparkSession, path: str) -> StructType:
     """The schema of all Parquet files under ``path``, merged; the files are read for it as a Spark job."""
     return spark.read.option("mergeSchema", True).parquet(path).schema

@@ -15,7 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeload.functions.audit import audit_columns
-from lakeload.plans.catalog import add_run, create_database, external_table, schema_evolution
+from lakeload.plans.catalog import add_run, create_database, empty_run, external_table, schema_evolution
 from lakeload.sinks.lake import empty_marker, snapshot_append, write_with_metrics
 
 log = logging.getLogger(__name__)
@@ -40,6 +40,7 @@ def export_table(spark: SparkSession, read: Reader, table: str, target: Target)
     rows = write_with_metrics(stamped, partial(snapshot_append, path=location))
     external_table(spark, name, stamped.schema, location)
     if rows == 0:
+        empty_run(spark, name, target.run_time, target.source_database)
         empty_marker(spark, source.schema, target.root, table, target.run_time, target.source_database)
         return "empty", 0
     schema_evolution(spark, name, stamped.schema)

@@ -11,7 +11,7 @@ from lakeload.plans.catalog import external_table, file_schema, partition_repair
 from lakeload.plans.export import Target, export_tables, failed
 from lakeload.plans.refresh import full_refresh, load_dumps
 from lakeload.plans.reports import post_export_check, reconcile, table_counts
-from lakeload.plans.views import create_views, current_assignment, latest_dates, sample_join
+from lakeload.plans.views import create_views, current_assignment, latest_dates, open_rows, sample_join
 from lakeload.sinks.lake import empty_marker, marker_path, snapshot_append, snapshot_overwrite, write_with_metrics
 from lakeload.sources.lake import latest_snapshot, sample_rows
 from lakeload.specs import DEPARTMENTS, DEPT_EMP, EMPLOYEE_DATABASE, EMPLOYEES
@@ -136,7 +136,8 @@ def test_views_keep_the_independent_maxima(spark, tmp_path, database, rows):
 
 
 def test_sample_join_fans_out(spark):
-    employees = spark.createDataFrame([(1, "Ann", "Lee"), (2, "Bo", "Ray")], "emp_no int, first_name string, last_name string")
+    names = "emp_no int, first_name string, last_name string"
+    employees = spark.createDataFrame([(1, "Ann", "Lee"), (2, "Bo", "Ray")], names)
     opened, closed = ("2000-01-01", "9999-01-01"), ("1990-01-01", "2000-01-01")
     dept_emp = periods(spark, [(1, "d1", *opened), (1, "d2", *opened), (2, "d1", *closed)])
     departments = spark.createDataFrame([("d1", "Sales"), ("d2", "Legal")], "dept_no string, dept_name string")
@@ -199,6 +200,31 @@ def test_export_goes_on_after_a_failure_and_can_be_repeated(spark, tmp_path):
     assert spark.read.parquet(marker_path(root, "none")).count() == 0
 
 
+def test_empty_run_is_the_latest_snapshot(spark, tmp_path):
+    database, rows_now = "db_" + tmp_path.name.replace("-", "_"), [3]
+
+    def export(run):
+        target = Target(str(tmp_path), database, run, "h'r")
+        return export_tables(spark, lambda name: numbers(spark, rows_now[0]), ["a"], target).first()["status"]
+
+    assert export(RUN_1) == "ok"
+    rows_now[0] = 0
+    assert export(RUN_2) == "empty"
+    assert latest_snapshot(spark, f"{database}.a").count() == 0 and spark.table(f"{database}.a").count() == 3
+    assert export(RUN_1) == "empty"
+    assert spark.table(f"{database}.a").count() == 0
+    rows_now[0] = 2
+    assert export(RUN_2) == "ok"
+    assert latest_snapshot(spark, f"{database}.a").count() == 2
+
+
+def test_open_rows_reach_the_scan(spark, tmp_path):
+    periods(spark, PERIODS).write.parquet(str(tmp_path / "p"))
+    found = open_rows(spark.read.parquet(str(tmp_path / "p")))
+    assert found.count() == 4
+    assert "PushedFilters: [IsNotNull(to_date), EqualTo(to_date,9999-01-01)]" in found._jdf.queryExecution().toString()
+
+
 def test_awkward_source_name(spark, tmp_path):
     database = "db_" + tmp_path.name.replace("-", "_")
     target = Target(str(tmp_path), database, RUN_1, "h'r +%1:\\/x")
