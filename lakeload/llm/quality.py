@@ -141,3 +141,36 @@ def clean_documents(documents: DataFrame) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_stats(table(spark, sf, "documents"))
+
+
+SQL3 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+parts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM d),
+l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS nr FROM parts),
+m AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) // 2
+        + (length(line) - length(replace(line, '!!', ''))) // 2 AS symbols,
+    length(line) - length(regexp_replace(line, '[|»›•·]', '', 'g')) AS seps,
+    length(line) - length(regexp_replace(line, '[\p{L}\p{N}]', '', 'g')) AS plain,
+    length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM l),
+j AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY nr) AS nth,
+    (symbols >= 3 AND symbols >= n) OR (seps >= 3 AND 3 * seps >= n) OR 2 * plain < chars OR regexp_matches(lower(line),
+        'all rights reserved|cookie policy|enable javascript|lorem ipsum|privacy policy|terms of service|terms of use|'
+        || 'use of cookies|uses cookies') AS fails FROM m WHERE n > 0),
+lines AS (SELECT doc_id, sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS dups, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost
+    FROM j GROUP BY doc_id),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM w),
+g AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 4], ' ') AS gram, len(words) AS n FROM p),
+r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS k FROM g WHERE pos + 4 <= n),
+c AS (SELECT doc_id, count(DISTINCT spot) AS covered
+    FROM (SELECT doc_id, unnest(range(pos, pos + 5)) AS spot FROM r WHERE k > 1) GROUP BY doc_id),
+q AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words
+    FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * n_lost_words <= 30 * n_words AS kept FROM q
+"""
