@@ -112,7 +112,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("n_bytes"),
     )
     narrow = records.where(full | (F.col("kind") == "revisit")).select(
-        canonical(F.col("uri")).alias("address"), "date", full.alias("full"), "record_id", "kind", "uri",
+        F.when(F.col("uri").contains("://"), canonical(F.col("uri"))).otherwise(F.col("uri")).alias("address"), "date", full.alias("full"), "record_id", "kind", "uri",
         F.when(F.col("kind") == "revisit", F.col("headers")).alias("mine"),
         F.when(full & F.col("date").isNotNull(), known).alias("base"),
     )
