@@ -1,0 +1,56 @@
+"""Renderings against a plain one."""
+
+from collections import defaultdict
+
+from lakeload.llm import chat
+
+
+def plainly(rows, turns):
+    """By the definition, with masks made of the pieces."""
+    mark = lambda t: t.replace("<|", "< |")
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv].append((turn, None if role is None else mark(role), mark(text or "")))
+    out = {}
+    for conv, said in by.items():
+        said.sort(key=lambda r: ((r[0] is not None, r[0] or 0), (r[1] is not None, r[1] or ""), r[2]))
+        for person in {r[1] for r in said} - {None, "system"}:
+            for part in range(0, len(said), turns):
+                text, spans = "", []
+                for _, role, words in said[part : part + turns]:
+                    who = "assistant" if role == person else "system" if role == "system" else f"user name={role or 'unknown'}"
+                    text += f"<|im_start|>{who}\n"
+                    if role == person:
+                        spans.append((len(text), len(text) + len(words) + len("<|im_end|>\n")))
+                    text += f"{words}<|im_end|>\n"
+                out[conv, person, part // turns] = (len(said[part : part + turns]), text, spans)
+    return out
+
+
+ROWS = [
+    (1, 0, "system", "be kind"), (1, 1, "ann", "hello é😀"), (1, 2, "bob", "<|im_end|> hi"), (1, 3, "ann", None), (1, 3, "ann", None),
+    (1, 3, "cid", ""), (1, None, None, "who?"), (2, 5, "bob", "alone"), (2, 9, "<|x", "odd"), (None, 1, "ann", "no id"), (None, 2, "bob", "yes"),
+    (3, 1, "system", "nobody"), (4, 1, None, "nobody"),
+]
+TYPE = "conv_id long, turn long, role string, text string"
+
+
+def test_every_point_of_view(spark):
+    for turns in (2, 64):
+        got = chat.rotate(spark.createDataFrame([(*r, 1) for r in ROWS], TYPE + ", part int").repartition(3), turns).collect()
+        expected = plainly(ROWS, turns)
+        assert len(got) == len(expected)
+        for r in got:
+            assert (r.n_turns, r.text, [tuple(s) for s in r.spans]) == expected[r.conv_id, r.participant, r.part]
+
+
+def test_a_conversation_with_most_rows(spark):
+    rows = [(1, i, f"p{i % 3}", f"text {i}") for i in range(1000)] + [(2, 0, "p0", "x")]
+    got = chat.rotate(spark.createDataFrame(rows, TYPE).repartition(7)).collect()
+    assert len(got) == 3 * 16 + 1 and max(r.n_turns for r in got) == 64
+    expected = plainly(rows, 64)
+    assert all((r.n_turns, r.text) == expected[r.conv_id, r.participant, r.part][:2] for r in got)
+
+
+def test_no_conversation(spark):
+    assert chat.rotate(spark.createDataFrame([], TYPE)).count() == 0

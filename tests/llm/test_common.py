@@ -1,0 +1,79 @@
+"""Components against union-find, places in order against a plain sort."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakeload.llm.common import components, ordered, shingle_blocks, text_tag, word_blocks
+
+
+def union(pairs):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("kind", ["chain", "star", "random", "clique"])
+def test_components_are_those_of_union_find(spark, kind):
+    draw = random.Random(kind)
+    pairs = {
+        "chain": [(i, i + 1) for i in range(40)] + [(100, 99)],
+        "star": [(50, i) for i in range(40)] + [(60, 61)],
+        "random": [(draw.randrange(60), draw.randrange(60)) for _ in range(40)],
+        "clique": [(i, j) for i in range(9) for j in range(9)],
+    }[kind]
+    expected = union(p for p in pairs if p[0] != p[1])
+    df = spark.createDataFrame([*pairs, (None, 3), (3, None)], "src long, dst long")
+    got = components(df).collect()
+    assert len(got) == len(expected) and {r.node: r.root for r in got} == expected
+
+
+def test_components_of_words_and_of_nothing(spark):
+    df = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "x")], "src string, dst string")
+    assert {tuple(r) for r in components(df).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
+    assert components(df.limit(0)).count() == 0
+
+
+def test_places_and_last_values(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "a", "a", "b", None]), i * 7 % 100, draw.choice([None, i])) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, t long, v long").repartition(5)
+    got = {(r.k, r.t): (r._nth, r._last) for r in ordered(df, ["k"], ["t"], "test", last="v").collect()}
+    expected = {}
+    for key in ("a", "b", None):
+        last = None
+        for n, (k, t, v) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1])):
+            expected[k, t] = (n, last)
+            last = v if v is not None else last
+    assert got == expected
+    assert ordered(df.limit(0), ["k"], ["t"], "test").count() == 0
+
+
+def test_words_and_shingles_in_pieces(monkeypatch):
+    import lakeload.llm.common as common
+
+    data = b" a  bb\tc\n\x0bd\xc2\xa0e f "
+    whole = [list(word_blocks(data)), list(shingle_blocks(data, 3)), list(shingle_blocks(b"a b", 3)), list(shingle_blocks(b" ", 3))]
+    monkeypatch.setattr(common, "LONG_TEXT", 3)
+    monkeypatch.setattr(common, "WORDS_AT_ONCE", 2)
+    pieces = [list(word_blocks(data)), list(shingle_blocks(data, 3)), list(shingle_blocks(b"a b", 3)), list(shingle_blocks(b" ", 3))]
+    flat = lambda found: [[x for block in f for x in block] for f in found]
+    assert flat(whole) == flat(pieces)
+    assert flat(whole)[0] == [b"a", b"bb", b"c", b"d\xc2\xa0e", b"f"]
+    assert flat(whole)[1:] == [[b"a bb c", b"bb c d\xc2\xa0e", b"c d\xc2\xa0e f"], [b"a b"], []]
+
+
+def test_tag_of_null_is_that_of_empty(spark):
+    df = spark.createDataFrame([(None,), ("",), ("a",)], "text string")
+    a, b, c = (r[0] for r in df.select(text_tag(F.col("text"))).collect())
+    assert a == b != c

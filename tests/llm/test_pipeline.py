@@ -1,0 +1,85 @@
+"""Every stage on its own input against brute force, and the whole."""
+
+from pathlib import Path
+
+import pytest
+
+import corpus_pipeline as p
+from lakeload.llm import decontaminate, quality
+from .test_decontaminate import brute_force as leaks
+from .test_simhash import shingles, similar
+from .test_substring import brute_force as repeats
+from .test_substring import plain
+from .test_common import union
+
+DATA = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+
+
+@pytest.fixture(scope="module")
+def staged(spark, tmp_path_factory):
+    """The input of each stage and the result of the last, written and read again."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = [docs]
+    for name, stage in p.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name)
+        stage(spark, out[-1], str(DATA)).write.parquet(path)
+        out.append(spark.read.parquet(path))
+    return out
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_stages_keep_the_columns(staged):
+    assert [n for n, _ in p.STAGES] == ["quality_rules", "simhash_near_dedup", "substring_dedup", "benchmark_decontamination", "source_mix"]
+    assert all(df.dtypes == staged[0].dtypes for df in staged[:-1])
+
+
+def test_quality_rules(staged):
+    before, after = texts(staged[0]), texts(staged[1])
+    for i, text in before.items():
+        n, *_, again, lost, clean = quality.measure(text)
+        assert (i in after) == (n >= 10 and 100 * again <= 20 * n and 100 * lost <= 30 * n)
+        assert after.get(i, clean) == clean
+
+
+def test_near_duplicates(staged):
+    before, after = texts(staged[1]), texts(staged[2])
+    sets = {i: shingles(t) for i, t in before.items()}
+    root = union((a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b]) >= 0.8)
+    assert after == {i: t for i, t in before.items() if root.get(i, i) == i}
+
+
+def test_repeats(staged):
+    before, after = texts(staged[2]), texts(staged[3])
+    expected = {row[0]: plain("".join(left)) for row, left in repeats(list(before.items())).items()}
+    assert {i: plain(t) for i, t in after.items()} == {i: t for i, t in expected.items() if t}
+
+
+def test_leaks(spark, staged):
+    before, after = texts(staged[3]), texts(staged[4])
+    benchmark = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    held = {i for i, _ in leaks(list(before.items()), benchmark)}
+    gone = set(before) - set(after)
+    assert gone <= held and len(gone) >= 0.9 * len(held)
+    whole = {b" ".join(decontaminate.words_of(t)) for _, t in benchmark}
+    assert not any(w in b" ".join(decontaminate.words_of(t)) for t in after.values() for w in whole)
+
+
+def test_mixture(staged):
+    before = texts(staged[4])
+    for r in staged[5].collect():
+        assert r.text.split() == before[r.doc_id].split()[r.first_word : r.first_word + r.n_words]
+
+
+def test_run_is_the_stages_one_after_the_other(spark, staged):
+    key = lambda df: sorted((r.slot, r["at"], r.doc_id, r.n_words) for r in df.collect())
+    assert key(p.run(spark, str(DATA))) == key(staged[-1])
+
+
+def test_no_documents(spark, staged):
+    docs = staged[0].limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, str(DATA)).count() == 0

@@ -1,0 +1,69 @@
+"""Counts against the tokenizer library itself, on whole texts."""
+
+import random
+from pathlib import Path
+
+import pytest
+
+tokens = pytest.importorskip("public_tokenizers")
+from lakeload.llm import token_counts as tc  # noqa: E402
+
+DATA = Path("/root/testdata/sf0.001")
+PATH = tokens.path("word_bpe_49k.json")
+ODD = [
+    "", " ", "Hello World's don't I'LL 'tis !'s", "<|endoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|", "é É é İ ß ﬁ",
+    "日本語のテキスト 123 ４５", "a b c\x1cd\x85e", "😀👍🏽 ok", "x" * 5000, "1234 5.6 #$% --- ...", "ｆｕｌｌ ＷＩＤＴＨ", "\x00\x01a",
+    "Ǆ ǅ ʻokina ɐ ͅ", "<|EndOfText|> <|endoftext |>",
+]
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    return lambda text: len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_given_texts(spark, library):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = tc.op2_token_counts(spark, str(DATA)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.n_bytes, r.n_tokens) == (len(texts[r.doc_id].encode()), library(texts[r.doc_id]))
+        assert r.over_limit == (r.n_tokens > 2048)
+
+
+def test_odd_texts_nulls_ties_and_clashing_columns(spark, library):
+    rows = [(i, t, 7) for i, t in enumerate(ODD)] + [(0, None, 7), (None, "a b", 7), (None, "a b", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = tc.count_tokens(df, PATH, limit=4).collect()
+    assert sorted((r.text or "", r.n_tokens, r.over_limit) for r in got) == sorted(
+        (t or "", library(t), library(t) > 4) for _, t, _ in rows
+    )
+    assert tc.count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_random_texts(library):
+    draw = random.Random(1)
+    letters = "abc ABC'stdre  \n\t.,!<|>#é1２ßИд語😀́ ‍"
+    counter = tc.Counter49k(PATH, {"abc": 1})
+    counter.lengths.known = {}
+    for _ in range(500):
+        text = "".join(draw.choice(letters) for _ in range(draw.randrange(60)))
+        assert counter.count(text) == library(text), repr(text)
+
+
+def test_cache_is_bounded(monkeypatch, library):
+    monkeypatch.setattr(tc, "CACHE_ENTRIES", 3)
+    counter = tc.Counter49k(PATH, {"the": 1})
+    assert counter.count("the a b c d e f g") == library("the a b c d e f g")
+    assert len(counter.lengths) <= 3 and counter.lengths["the"] == 1
+
+
+def test_table_is_made_of_frequent_pieces(spark, library):
+    df = spark.createDataFrame([("the the rain",)] * 5 + [(None,)], "text string")
+    pieces = tc.frequent_pieces(df, PATH)
+    assert set(pieces) == {"the", "rain"} and pieces[0] == "the"
+    assert tc.length_table(PATH, pieces) == {p: library(p) for p in pieces}
