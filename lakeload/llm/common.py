@@ -1,4 +1,4 @@
-"""What several operators share: words, row identity, distributed components and ordered prefixes."""
+"""What several operators share: words, row identity and places in order."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeload.operators.components import components
 from lakeload.workspace import stage
 
+__all__ = ["components", "ordered", "same_names", "shingle_blocks", "table", "text_tag", "word_blocks", "WORD"]
+
 #: A word, for Spark's and SQL's regular expressions: anything but a blank and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -53,44 +56,6 @@ def text_tag(text: Column | str) -> Column:
     return F.xxhash64(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")))
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Equality of the named columns in which null equals null; still a hash or merge join for Spark."""
-    matched = F.lit(True)
-    for name in names:
-        matched = matched & left[name].eqNullSafe(right[name])
-    return matched
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
-    return row[0], row[1]
-
-
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Connected components of ``edges`` (src, dst): one row (node, root) per node that has an edge, root the least node.
-
-    Alternates large-star and small-star rounds. A round is groupings with map-side minima and joins, so a node with very
-    many links is pre-aggregated on one side and may be split by AQE on the other. Each round is written to the shared
-    folder and read back; a checksum of the edges tells the last one. Nulls and loops make no edge; no edges, no rows.
-    """
-    hi, lo = F.greatest("src", "dst"), F.least("src", "dst")
-    now = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(hi.alias("hi"), lo.alias("lo"))
-    now = stage(now.distinct(), label)
-    before, mark = None, _mark(now)
-    while mark != before and mark[0]:
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
-            now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        root = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(root, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = stage(small.unionAll(root.select("hi", F.col("m").alias("lo"))).distinct(), label)
-        before, mark = mark, _mark(now)
-    stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    return stars.unionAll(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
-
-
 def ordered(df: DataFrame, keys: list[str], order: list[str], label: str, last: str | None = None) -> DataFrame:
     """Adds ``_nth``, the row's place from 0 within its keys; ``_last``, the latest earlier non-null value of ``last``.
 
