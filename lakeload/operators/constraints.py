@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeload.specs import ForeignKey, TableSpec
+from lakeload.specs import ForeignKey, TableSpec, load_order
 from lakeload.workspace import stage
 
 
@@ -71,23 +71,37 @@ def cascade_delete(
 ) -> dict[str, DataFrame]:
     """What is left of every table once the rows of ``table`` named by ``keys`` are deleted.
 
-    ``specs`` come parents first. The rows that go are followed downwards by key, and every child loses those that
-    refer to them; ``keys`` holds columns of ``table``.
+    The rows that go are followed downwards by key, parents first whatever the order of ``specs``, and every child loses
+    those that refer to them; ``keys`` holds columns of ``table``. A table that refers to itself is followed until no
+    more of its rows go: one round per level of its hierarchy. Tables that refer to each other in a circle are refused.
     """
-    gone = {table: _with_key_in(tables[table], keys)}
-    left = tables | {table: _without_key_in(tables[table], keys)}
-    for spec in specs:
-        if spec.name == table or spec.name not in tables:
+    dead = {table: [keys]}
+    left = dict(tables)
+    gone: dict[str, DataFrame] = {}
+    for spec in load_order(specs):
+        if spec.name not in tables:
             continue
-        rows = tables[spec.name]
-        lost = []
-        for fk in spec.foreign_keys:
-            if fk.parent not in gone:
-                continue
-            named = [F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns, strict=True)]
-            dead = stage(gone[fk.parent].select(*named).distinct(), "deleted")
-            lost.append(_with_key_in(rows, dead))
-            left[spec.name] = _without_key_in(left[spec.name], dead)
-        if lost:
-            gone[spec.name] = reduce(DataFrame.union, lost)
+        lost = list(dead.get(spec.name, []))
+        lost += [_referring(fk, gone[fk.parent]) for fk in spec.foreign_keys if fk.parent in gone and fk.parent != spec.name]
+        if not lost:
+            continue
+        loops = [fk for fk in spec.foreign_keys if fk.parent == spec.name]
+        rows, removed = tables[spec.name], []
+        while lost:
+            held = stage(reduce(DataFrame.union, [_with_key_in(rows, k) for k in lost]), "gone")
+            if removed and held.isEmpty():
+                break
+            removed.append(held)
+            for k in lost:
+                rows = _without_key_in(rows, k)
+            lost = [_referring(fk, held) for fk in loops]
+        gone[spec.name], left[spec.name] = reduce(DataFrame.union, removed), rows
+    if table not in gone:
+        raise ValueError(f"no spec for {table}")
     return left
+
+
+def _referring(fk: ForeignKey, parents: DataFrame) -> DataFrame:
+    """The values by which child rows refer to ``parents``, named as the child's columns."""
+    named = [F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns, strict=True)]
+    return stage(parents.select(*named).distinct(), "deleted")

@@ -43,21 +43,21 @@ def insert_ignore(
 ) -> DataFrame:
     """The rows of ``incoming`` that are new, with the next ids; the caller appends them to ``target``.
 
-    A row is skipped if its key is in ``target`` or occurred earlier in the input (``order_by`` is the input position).
-    NULL keys never collide. The first row per key is found by a partial aggregate, so a much repeated key is merged
-    before the shuffle.
+    A row is skipped if its key is in ``target`` or occurred earlier in the input. ``order_by`` is the input position, a
+    different one for each row. NULL keys never collide. Keys and positions alone are compared: those that ``target``
+    holds go first, positions are numbered, and the first number per key is found by a partial hash aggregate, so a much
+    repeated key is merged before the shuffle. The winning rows are then fetched by position.
     """
-    columns = incoming.columns
-    first = (
-        incoming.filter(all_present(key))
-        .groupBy(*key)
-        .agg(F.min_by(F.struct(*columns), F.struct(*order_by)).alias("row"))
-        .select("row.*")
-    )
-    fresh = first.join(target.select(*key), list(key), "left_anti").select(*columns)
-    fresh = fresh.unionByName(incoming.filter(~all_present(key)))
+    places = incoming.select(*dict.fromkeys([*key, *order_by]))
+    named = places.filter(all_present(key)).join(target.select(*key), list(key), "left_anti")
+    named = number_rows(named.select(*places.columns), order_by, "_nth")
+    first = named.groupBy(*key).agg(F.min("_nth").alias("_nth"))
+    winners = named.join(first, [*key, "_nth"]).select(*order_by)
+    winners = winners.unionByName(places.filter(~all_present(key)).select(*order_by))
     highest = target.agg(F.max(id_column)).first()[0] or 0
-    return number_rows(fresh, order_by, id_column, start=highest + 1).drop(*order_by)
+    numbered = number_rows(winners, order_by, id_column, start=highest + 1)
+    rows = incoming.join(numbered, list(order_by))
+    return rows.select(id_column, *[c for c in incoming.columns if c not in order_by])
 
 
 def customer_seed(spark: SparkSession) -> DataFrame:
@@ -90,10 +90,14 @@ def load_if_unpopulated(
     return spark.createDataFrame(outcome, "table_name string, action string")
 
 
-def incremental_extract(source: DataFrame, lake: DataFrame | None, key: str) -> DataFrame:
-    """Source rows beyond the highest key in the lake.
+def rows_beyond(source: DataFrame, key: str, mark) -> DataFrame:
+    """Source rows whose key is above ``mark``, all without one.
 
     The mark is one value, so it goes into the filter as a literal, which Spark pushes to the database or into Parquet.
     """
-    mark = lake.agg(F.max(key)).first()[0] if lake is not None else None
     return source if mark is None else source.filter(F.col(key) > F.lit(mark))
+
+
+def incremental_extract(source: DataFrame, lake: DataFrame | None, key: str) -> DataFrame:
+    """Source rows beyond the highest key among ``lake``, best the rows of its last run only."""
+    return rows_beyond(source, key, lake.agg(F.max(key)).first()[0] if lake is not None else None)

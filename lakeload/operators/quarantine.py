@@ -3,25 +3,27 @@
 The source applies batches in order. A batch is refused if a row breaks a rule, lacks a parent, or repeats a key inside
 the batch, in the target, or in an earlier batch that was accepted. All but the last are independent of other batches and
 are found set-wise. The last is settled on the colliding keys alone, which are normally none.
+
+A batch that is NULL is a batch like any other; it applies first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeload.operators.components import components
 from lakeload.operators.constraints import all_present, orphan_keys
+from lakeload.operators.load import number_rows
 from lakeload.operators.typed import typed_projection
 from lakeload.specs import TableSpec
 from lakeload.workspace import stage
 
-BLOCK = 200_000
-FEW_KEYS = 100_000
-
 
 @dataclass(frozen=True)
 class Quarantine:
@@ -31,43 +33,50 @@ class Quarantine:
     """One row per refused batch: the batch and its ``reasons``, comma-separated."""
 
 
-def _key_collisions(rows: DataFrame, spec: TableSpec, batch: str, target: DataFrame | None) -> DataFrame | None:
-    """(key, batch, copies, in_target, constraint) for key values that occur more than once, or None if none do.
+def _same_batch(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def _without(pairs: DataFrame, batches: DataFrame) -> DataFrame:
+    """``pairs`` but those of ``batches``; NULL is equal to NULL."""
+    return pairs.alias("p").join(batches.alias("b"), _same_batch("p.batch", "b.batch"), "left_anti")
 
-    First pass: key columns only, counted map-side. Second pass: the rows that hold one of the repeated keys.
+
+def _key_collisions(narrow: DataFrame, spec: TableSpec, target: DataFrame | None) -> DataFrame | None:
+    """(key, batch, copies, in_target, constraint) for key values that occur more than once, or None without any key.
+
+    Counted map-side on the keys alone; then the rows that hold one of the repeated keys. Whether those few are
+    broadcast is Spark's decision, by their written size.
     """
     found = []
-    for constraint, columns in spec.keys.items():
-        value = F.struct(*[spec.key_value(c).alias(c) for c in columns])
-        keyed = rows.filter(all_present(columns)).select(value.alias("key"), F.col(batch).alias("batch"))
-        counted = keyed.select("key", F.lit(1).alias("copies"), F.lit(0).alias("in_target"))
+    for number, (constraint, columns) in enumerate(spec.keys.items()):
+        keyed = narrow.select(F.col(f"key_{number}").alias("key"), "batch").filter("key IS NOT NULL")
+        counted = keyed.select("key.*", F.lit(1).alias("copies"), F.lit(0).alias("in_target"))
         if target is not None:
-            held = target.filter(all_present(columns)).select(value.alias("key"), F.lit(0), F.lit(1))
+            held = target.filter(all_present(columns)).select(*_key_values(spec, columns), F.lit(0), F.lit(1))
             counted = counted.union(held)
         repeated = (
-            counted.select("key.*", "copies", "in_target")
-            .groupBy(*columns)
+            counted.groupBy(*columns)
             .agg(F.sum("copies").alias("copies"), F.max("in_target").alias("in_target"))
             .filter("copies > 1 OR (copies = 1 AND in_target = 1)")
         )
         repeated = stage(repeated.select(*columns, "in_target"), "repeated")
-        if repeated.isEmpty():
-            continue
-        pairs, copies = keyed.select("key.*", "batch"), F.count(F.lit(1)).alias("copies")
-        if repeated.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
-            held = pairs.join(F.broadcast(repeated), list(columns))
-            held_by = held.groupBy(*columns, "batch", "in_target").agg(copies)
-        else:  # merged before the join, so that a key repeated within a batch arrives once
-            held_by = pairs.groupBy(*columns, "batch").agg(copies).join(repeated, list(columns))
-        label = F.concat(F.lit(f"{constraint}="), F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns])))
+        pairs = keyed.select("key.*", "batch").groupBy(*columns, "batch").agg(F.count(F.lit(1)).alias("copies"))
+        label = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]))
         found.append(
-            held_by.select(
-                label.alias("key"), "batch", "copies", "in_target", F.lit(constraint).alias("constraint")
+            pairs.join(repeated, list(columns)).select(
+                F.concat(F.lit(f"{constraint}="), label).alias("key"),
+                "batch",
+                "copies",
+                "in_target",
+                F.lit(constraint).alias("constraint"),
             )
         )
-    if not found:
-        return None
-    return stage(reduce(DataFrame.union, found), "collisions")
+    return stage(reduce(DataFrame.union, found), "collisions") if found else None
+
+
+def _key_values(spec: TableSpec, columns: Sequence[str]) -> list[Column]:
+    return [spec.key_value(c).alias(c) for c in columns]
 
 
 def _contested(pairs: DataFrame) -> DataFrame:
@@ -91,66 +100,73 @@ def _first_of_all(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _walk(pairs: DataFrame, size: int, whole: bool) -> DataFrame:
-    """Apply the first ``size`` pairs in batch order in one task; returns the batches accepted.
+def _walk(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Apply the batches of each component in order; returns those refused. Pairs come sorted by component and batch."""
+    component, batch, taken, keys, refused = None, None, set(), [], []
 
-    Unless ``pairs`` are ``whole``, the last batch seen may lack pairs and is left undecided.
-    """
+    def close() -> None:
+        if taken.isdisjoint(keys):
+            taken.update(keys)
+        elif keys:
+            refused.append(batch)
 
-    def walk(chunks):
-        taken, accepted, current, keys, kind = set(), [], None, [], None
+    for chunk in chunks:
+        columns = (chunk.column(n).to_pylist() for n in ("component", "batch", "key"))
+        for now, number, key in zip(*columns, strict=True):
+            if (now, number) != (component, batch):
+                close()
+                keys = []
+                if now != component:
+                    taken.clear()
+                component, batch = now, number
+            keys.append(key)
+    close()
+    yield pa.RecordBatch.from_pydict({"batch": pa.array(refused, pa.int64())})
 
-        def close():
-            if keys and taken.isdisjoint(keys):
-                taken.update(keys)
-                accepted.append(current)
 
-        for chunk in chunks:
-            kind = chunk.schema.field("batch").type
-            for batch, key in zip(chunk.column("batch").to_pylist(), chunk.column("key").to_pylist(), strict=True):
-                if batch != current:
-                    close()
-                    current, keys = batch, []
-                keys.append(key)
-        if whole:
-            close()
-        if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(accepted, kind)], names=["batch"])
+def _settle_components(pairs: DataFrame) -> DataFrame:
+    """Batches refused among ``pairs``, whose batches are numbers: batches that share no key, even through others, do not
+    touch, so each connected component is walked by itself and the components spread over the tasks.
 
-    first = pairs.select("batch", "key").orderBy("batch").limit(size)
-    in_order = first.repartition(1).sortWithinPartitions("batch")
-    return in_order.mapInArrow(walk, pairs.select("batch").schema)
+    A component is one sequence by nature: whether its last batch loads can depend on its first.
+    """
+    first = stage(pairs.groupBy("key").agg(F.min("batch").alias("first")), "first")
+    links = pairs.join(first, "key").select(F.col("batch").alias("src"), F.col("first").alias("dst"))
+    roots = components(links, "batch-components").select(F.col("node").alias("batch"), F.col("root").alias("component"))
+    placed = pairs.join(roots, "batch").select("component", "batch", "key")
+    dealt = placed.repartition("component").sortWithinPartitions("component", "batch")
+    return dealt.mapInArrow(_walk, "batch bigint")
 
 
-def _later_claims(pairs: DataFrame, block: int) -> list[DataFrame]:
+def _later_claims(pairs: DataFrame) -> DataFrame:
     """Batches refused because an accepted earlier batch took one of their keys; equals applying them one by one.
 
-    A round accepts the batches that are first at all their keys and refuses the others that hold a key so taken. That
-    decides nearly all at once, and always the first batch. A long chain, in which each batch overlaps the next, yields
-    one batch per round only; a round that decided less than half is therefore followed by one that walks the next
-    ``block`` pairs in order. The rounds are thus bounded by the pairs divided by half a block.
+    Contested batches are numbered in order once. A round accepts the batches that are first at all their keys and
+    refuses the others that hold a key so taken. That decides nearly all at once. Once a round decides less than half of
+    what is open, as with chains in which each batch overlaps the next, the rest is settled by connected component.
     """
-    refused, slow = [], False
-    pairs = stage(pairs, "open")
-    left = pairs.count()
-    if left > block:
-        pairs = _contested(pairs)
-        left = pairs.count()
+    pairs = _contested(pairs)
+    named = pairs.select(F.col("batch").isNotNull().alias("present"), "batch").distinct()
+    numbers = number_rows(named, ["present", "batch"], "number")
+    numbers = stage(numbers.select("batch", "number"), "numbers")
+    numbered = pairs.alias("p").join(numbers.alias("n"), _same_batch("p.batch", "n.batch"))
+    pairs = stage(numbered.select("key", F.col("number").alias("batch")), "open")
+    refused, left = [], pairs.count()
     while left > 0:
-        whole = left <= block
-        walked = whole or slow
-        accepted = stage(_walk(pairs, block, whole) if walked else _first_of_all(pairs), "accepted")
-        if whole:
-            refused.append(pairs.select("batch").distinct().join(accepted, "batch", "left_anti"))
-            break
+        accepted = stage(_first_of_all(pairs), "accepted")
         taken = stage(pairs.join(accepted, "batch", "left_semi").select("key").distinct(), "taken")
         late = pairs.join(taken, "key", "left_semi").join(accepted, "batch", "left_anti")
         late = stage(late.select("batch").distinct(), "refused")
         refused.append(late)
         pairs = _contested(pairs.join(accepted, "batch", "left_anti").join(late, "batch", "left_anti"))
         before, left = left, pairs.count()
-        slow = not walked and left > before / 2
-    return refused
+        if left > before / 2:
+            refused.append(stage(_settle_components(pairs), "refused"))
+            break
+    if not refused:
+        return numbers.select("batch").limit(0)
+    late = reduce(DataFrame.union, refused).select(F.col("batch").alias("number"))
+    return numbers.join(late, "number").select("batch")
 
 
 def quarantine(
@@ -159,46 +175,57 @@ def quarantine(
     batch: str = "batch",
     parents: dict[str, DataFrame] | None = None,
     target: DataFrame | None = None,
-    block: int = BLOCK,
+    unchecked: Sequence[str] = (),
 ) -> Quarantine:
     """Split ``rows`` into accepted and refused batches.
 
     ``batch`` is any orderable column that gives the order in which batches apply; it must read the same each time, so
     stage rows whose batch comes from a scan position. ``errors`` on the rows, if there, names rules already found
     broken; otherwise the rules of ``spec`` are checked here. ``parents`` are the accepted rows of the tables referred
-    to; ``target`` are rows already loaded.
+    to; a reference whose parent is neither there nor in ``unchecked`` is an error. ``target`` are rows already loaded.
+
+    The rows are read twice: once for their batch, keys and errors, which are written narrow, and once to be split.
     """
     columns = [c for c in rows.columns if c != "errors"]
+    lacking = [fk.parent for fk in spec.foreign_keys if fk.parent not in (parents or {}) and fk.parent not in unchecked]
+    if lacking:
+        raise ValueError(f"no rows are given for {', '.join(lacking)}, to which {spec.name} refers")
+    checked = rows
     if "errors" not in rows.columns:
         extra = tuple(c for c in columns if c not in spec.column_names)
-        rows = typed_projection(rows, spec, keep=extra).select(*columns, "errors")
-    batch_id = F.col(batch).alias("batch")
-    verdicts = [rows.select(batch_id, F.explode("errors").alias("reason")).distinct()]
-    for fk in spec.foreign_keys:
-        if parents and fk.parent in parents:
-            orphans = orphan_keys(rows, fk, parents[fk.parent], spec.ignore_case)
-            if orphans.isEmpty():
-                continue
-            lacking = rows.join(orphans, list(fk.columns), "left_semi")
-            verdicts.append(lacking.select(batch_id, F.lit(fk.name).alias("reason")).distinct())
-    collisions = _key_collisions(rows, spec, batch, target)
+        checked = typed_projection(rows, spec, keep=extra).select(*columns, "errors")
+    references = [fk for fk in spec.foreign_keys if fk.parent in (parents or {})]
+    keys = [
+        F.when(all_present(held), F.struct(*_key_values(spec, held))).alias(f"key_{number}")
+        for number, held in enumerate(spec.keys.values())
+    ]
+    referring = sorted({c for fk in references for c in fk.columns})
+    held = F.struct(*referring) if referring else F.lit(None).cast("string")
+    narrow = stage(checked.select(F.col(batch).alias("batch"), "errors", *keys, held.alias("refers")), "narrow")
+    verdicts = [narrow.select("batch", F.explode("errors").alias("reason")).distinct()]
+    for fk in references:
+        child = narrow.select("batch", "refers.*")
+        orphans = orphan_keys(child, fk, parents[fk.parent], spec.ignore_case)
+        orphaned = child.join(orphans, list(fk.columns), "left_semi")
+        verdicts.append(orphaned.select("batch", F.lit(fk.name).alias("reason")).distinct())
+    collisions = _key_collisions(narrow, spec, target)
     if collisions is not None:
         for condition, reason in (("copies > 1", "duplicate"), ("in_target = 1", "exists")):
             named = F.concat(F.lit(f"{reason}:"), F.col("constraint"))
             verdicts.append(collisions.filter(condition).select("batch", named.alias("reason")).distinct())
     verdict = reduce(DataFrame.union, verdicts)
-    if collisions is not None:
+    if collisions is not None and not collisions.isEmpty():
         verdict = stage(verdict, "verdicts")
-        open_pairs = collisions.select("key", "batch").join(verdict.select("batch"), "batch", "left_anti")
-        for late in _later_claims(open_pairs, block):
-            verdict = verdict.union(late.select("batch", F.lit("key_taken").alias("reason")))
+        late = _later_claims(_without(collisions.select("key", "batch"), verdict.select("batch").distinct()))
+        verdict = verdict.union(late.select("batch", F.lit("key_taken").alias("reason")))
     reasons = F.array_join(F.array_sort(F.collect_set("reason")), ",")
     rejected = stage(verdict.groupBy("batch").agg(reasons.alias("reasons")), "rejected")
-    rejected = rejected.withColumnRenamed("batch", batch)
+    whole, refused = rows.select(*columns).alias("w"), rejected.alias("r")
+    same = _same_batch(f"w.{batch}", "r.batch")
     return Quarantine(
-        good=rows.select(*columns).join(rejected.select(batch), batch, "left_anti").select(*columns),
-        bad=rows.select(*columns).join(rejected, batch).select(*columns, "reasons"),
-        rejected=rejected,
+        good=whole.join(refused, same, "left_anti").select("w.*"),
+        bad=whole.join(refused, same).select("w.*", "r.reasons"),
+        rejected=rejected.withColumnRenamed("batch", batch),
     )
 
 

@@ -16,8 +16,11 @@ def _convert(raw: SparkColumn, raw_type: DataType, column: Column) -> SparkColum
     if column.spark_type == "string":
         value = raw.cast("string")
         if column.is_char:
-            value = F.rtrim(value)
-        return F.left(value, F.lit(column.max_length)) if column.max_length else value
+            return F.rtrim(value)
+        if column.max_length:  # only blanks at the end may go; a longer text is an error and stays whole
+            fits = F.length(F.rtrim(value)) <= column.max_length
+            return F.when(fits, F.left(value, F.lit(column.max_length))).otherwise(value)
+        return value
     if raw_type.simpleString() == column.spark_type:
         return raw
     converted = raw.try_cast(column.spark_type)
@@ -49,11 +52,14 @@ def _named(errors: list[SparkColumn]) -> SparkColumn:
     return F.array_remove(F.array(*errors), "")
 
 
-def typed_projection(df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ()) -> DataFrame:
+def typed_projection(
+    df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = (), raw: str | None = None
+) -> DataFrame:
     """The columns of ``spec`` in their declared types, ``keep`` unchanged, and ``errors``: the rules each row breaks.
 
     One projection, no shuffle. A value that does not convert becomes NULL and is named in ``errors``; nothing is
-    dropped here.
+    dropped here. ``raw`` names one more column, in which a row with errors keeps the texts that did not convert, by
+    column name, so that it can be repaired; it is NULL for all other rows.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     converted = {c.name: _convert(F.col(f"`{c.name}`"), types[c.name], c) for c in spec.columns}
@@ -62,8 +68,16 @@ def typed_projection(df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ())
         for c in spec.columns
         for e in _column_errors(F.col(f"`{c.name}`"), converted[c.name], c, spec.ignore_case)
     ]
+    kept = []
+    if raw:
+        lost = [
+            F.when(F.col(f"`{n}`").isNotNull() & v.isNull(), F.struct(F.lit(n), F.col(f"`{n}`").cast("string")))
+            for n, v in converted.items()
+        ]
+        texts = F.array_compact(F.array(*lost))
+        kept = [F.when(F.size(texts) > 0, F.map_from_entries(texts)).alias(raw)]
     typed = df.select(
-        *[v.alias(n) for n, v in converted.items()], *keep, _named(column_errors).alias("_column_errors")
+        *[v.alias(n) for n, v in converted.items()], *keep, *kept, _named(column_errors).alias("_column_errors")
     )
     checks = [F.when(~F.expr(rule), f"check:{name}").otherwise("") for name, rule in spec.checks.items()]
     return typed.withColumn("errors", F.concat("_column_errors", _named(checks))).drop("_column_errors")

@@ -20,7 +20,12 @@ from lakeload.workspace import stage
 # Possessive quantifiers: no backtracking and no deep recursion on long text.
 QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
 COMMENT_LINES = rf"(?s)({QUOTED})|(?m:^[ \t]*--[^\n]*$)"
-INSERT = r"(?is)(?:^|\n)\s*INSERT\s+INTO\s+(?:`?\w+`?\s*\.\s*)?`?(\w+)`?"
+INSERT = r"(?is)(?:^|\n)\s*INSERT\s+(?:IGNORE\s+)?INTO\s+(?:`?\w+`?\s*\.\s*)?`?(\w+)`?"
+# Statements that put no row into a table: they may be passed over.
+NO_ROWS = (
+    r"(?is)^\s*(?:/\*.*\*/\s*|(?:SELECT|SET|USE|SHOW|CREATE|DROP|ALTER|LOCK|UNLOCK|FLUSH|ANALYZE|START|BEGIN|COMMIT|SOURCE)"
+    r"\b.*)?$"
+)
 HEADER = INSERT + r"\s*(?:\(([^)']*)\)\s*)?VALUES?\s*"
 STATEMENT_END = r";[ \t\r]*\r?\n"
 # One item each, tied to the end of the item before; the first needs no comma.
@@ -31,44 +36,79 @@ SPACE = " \t\r\n"
 ESCAPES = {"\\n": "\n", "\\r": "\r", "\\t": "\t", "\\0": "\0", "\\b": "\b", "\\Z": "\x1a"}
 
 
-def _record_end(spark: SparkSession, part: str) -> str:
-    """A semicolon and the line end of the part's first line; without it a whole file would be one record."""
-    first = spark.read.text(part, lineSep="\n").first()
-    return ";\r\n" if first and first["value"].endswith("\r") else ";\n"
+HEAD = 1 << 16
+
+
+def _files_by_record_end(spark: SparkSession, part: str) -> dict[str, list[str]]:
+    """The files of ``part`` by what ends a statement in them: a semicolon and the line end of the file's first line.
+
+    With another record end a whole file would be one record. Only the head of each file is read for it, by the driver.
+    """
+    found: dict[str, list[str]] = {}
+    configuration = spark._jsc.hadoopConfiguration()
+    for name in sorted(spark.read.text(part).inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        stream = path.getFileSystem(configuration).open(path)
+        try:
+            first, newline, _ = bytes(stream.readNBytes(HEAD)).partition(b"\n")
+        finally:
+            stream.close()
+        found.setdefault(";\r\n" if newline and first.endswith(b"\r") else ";\n", []).append(path.toString())
+    return found
+
+
+def _records(spark: SparkSession, parts: Sequence[str]) -> list[DataFrame]:
+    pieces = F.when(F.contains("value", F.lit(";")), F.split("value", STATEMENT_END)).otherwise(F.array("value"))
+    read = []
+    for number, part in enumerate(parts):
+        by_end = _files_by_record_end(spark, part)
+        for end, files in by_end.items():
+            paths = files if len(by_end) > 1 else [part]
+            read.append(
+                spark.read.text(paths, lineSep=end).select(
+                    F.struct(
+                        F.lit(number).alias("part"),
+                        F.col("_metadata.file_path").alias("file"),
+                        F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("place"),
+                    ).alias("record"),
+                    F.posexplode(pieces).alias("piece", "text"),
+                )
+            )
+    return read
 
 
 def dump_statements(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
-    """INSERT statements of the files in ``parts``: batch, table, column list (or empty) and text after VALUES.
+    """Statements of the files in ``parts``: batch, table, column list (or empty) and text after VALUES.
 
     ``batch`` orders statements as a client would apply them: part, file, place in the file. It counts rows of one scan,
-    so stage the result before using it twice.
+    so stage the result before using it twice. ``INSERT IGNORE`` is read like ``INSERT``: its batch loads or is refused as
+    one. A statement that is neither an insert nor one known to add no rows has no table and its whole text as body.
     """
-    pieces = F.when(F.contains("value", F.lit(";")), F.split("value", STATEMENT_END)).otherwise(F.array("value"))
-    read = [
-        spark.read.text(part, lineSep=_record_end(spark, part)).select(
-            F.struct(
-                F.lit(number).alias("part"),
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("place"),
-            ).alias("record"),
-            F.posexplode(pieces).alias("piece", "text"),
+    read = _records(spark, parts)
+    if not read:  # no file in any part
+        return spark.createDataFrame(
+            [],
+            "batch struct<part:int,file:string,block:bigint,place:bigint,piece:int>, table_name string, "
+            "column_list string, body string, has_values boolean",
         )
-        for number, part in enumerate(parts)
-    ]
     records = reduce(DataFrame.union, read)
     has_comment = F.contains("text", F.lit("--")) & F.col("text").rlike(r"(?m)^[ \t]*--")
     text = F.when(has_comment, F.regexp_replace("text", COMMENT_LINES, "$1")).otherwise(F.col("text"))
     batch = F.struct("record.part", "record.file", "record.block", "record.place", "piece")
-    inserts = records.select(batch.alias("batch"), text.alias("text")).filter(F.col("text").rlike(INSERT))
-    headed = inserts.withColumn("header", F.regexp_extract("text", HEADER, 0))
+    told = records.select(batch.alias("batch"), text.alias("text"))
+    told = told.withColumn("is_insert", F.col("text").rlike(INSERT))
+    told = told.filter(F.col("is_insert") | ~F.rtrim("text", F.lit(";" + SPACE)).rlike(NO_ROWS))
+    headed = told.withColumn("header", F.when(F.col("is_insert"), F.regexp_extract("text", HEADER, 0)).otherwise(""))
     # The header is the leftmost match, so its text occurs nowhere before it.
     body = F.substr("text", F.instr("text", F.col("header")) + F.length("header"))
+    named = F.regexp_extract(F.coalesce(F.nullif("header", F.lit("")), "text"), INSERT, 1)
     return headed.select(
         "batch",
-        F.regexp_extract(F.coalesce(F.nullif("header", F.lit("")), "text"), INSERT, 1).alias("table_name"),
+        F.when(F.col("is_insert"), named).alias("table_name"),
         F.regexp_extract("header", HEADER, 2).alias("column_list"),
-        F.when(F.col("header") == "", "").otherwise(F.rtrim(body, F.lit(";" + SPACE))).alias("body"),
+        F.rtrim(F.when(F.col("header") == "", F.col("text")).otherwise(body), F.lit(";" + SPACE)).alias("body"),
+        (F.col("header") != "").alias("has_values"),
     )
 
 
@@ -78,8 +118,10 @@ def _covers(items: str, text: str) -> SparkColumn:
 
 
 def _bare(item: SparkColumn) -> SparkColumn:
-    """An item without the comma before it and the space around it."""
-    return F.rtrim(F.ltrim(item, F.lit("," + SPACE)), F.lit(SPACE))
+    """An item without the comma before it and the space around it. Trimming at the end is dear, so it is looked for."""
+    ends = reduce(lambda a, b: a | b, [item.endswith(c) for c in SPACE])
+    front = F.ltrim(item, F.lit("," + SPACE))
+    return F.when(ends, F.rtrim(front, F.lit(SPACE))).otherwise(front)
 
 
 def _unescape(text: SparkColumn) -> SparkColumn:
@@ -92,38 +134,47 @@ def _unescape(text: SparkColumn) -> SparkColumn:
         return F.regexp_replace(part, r"(?s)\\(.)", "$1")
 
     escaped = F.array_join(F.transform(F.split(text, r"\\\\"), piece), "\\")
-    return F.when(F.contains(text, F.lit("\\")), escaped).otherwise(F.replace(text, F.lit("''"), F.lit("'")))
+    doubled = F.when(F.contains(text, F.lit("''")), F.replace(text, F.lit("''"), F.lit("'"))).otherwise(text)
+    return F.when(F.contains(text, F.lit("\\")), escaped).otherwise(doubled)
 
 
 def _value(token: SparkColumn) -> SparkColumn:
     quoted = _unescape(F.substring(token, F.lit(2), F.length(token) - 2))
-    return F.when(token.startswith("'"), quoted).when(F.upper(token) != "NULL", token)
+    is_null = (F.octet_length(token) == 4) & (F.upper(token) == "NULL")
+    return F.when(token.startswith("'"), quoted).when(~is_null, token)
 
 
 def dump_rows(statements: DataFrame, spec: TableSpec, unit: str = "statement") -> DataFrame:
-    """Typed rows of ``spec`` with ``batch`` and ``errors``.
+    """Typed rows of ``spec`` with ``batch``, ``errors`` and ``raw``.
 
     ``unit`` is what loads or fails as one: a "statement", or the "file" (small tables sent whole). A statement that is
-    not well formed yields one row with the error ``syntax``, a tuple with the wrong number of fields one with
-    ``field_count``; neither is shifted into other columns.
+    not well formed yields one row with the error ``syntax``, one that is not understood one with ``statement``, a tuple
+    with the wrong number of fields one with ``field_count``; none is shifted into other columns. ``raw`` is the source
+    text of a row with errors: its tuple, or the statement if that could not be cut. It is NULL for rows without.
     """
     columns = spec.column_names
     batch = F.col("batch") if unit == "statement" else F.struct("batch.part", "batch.file")
     names = F.when(F.col("column_list") != "", F.split("column_list", ","))
-    cut = statements.filter(F.lower("table_name") == spec.name.lower()).select(
+    cut = statements.filter((F.lower("table_name") == spec.name.lower()) | F.col("table_name").isNull()).select(
         batch.alias("batch"),
         F.transform(names, lambda n: F.trim(n, F.lit("`" + SPACE))).alias("names"),
         "body",
+        F.when(F.col("table_name").isNull(), "statement").when(~F.col("has_values"), "syntax").alias("unread"),
         F.regexp_extract_all("body", F.lit(TUPLE), F.lit(0)).alias("tuples"),
     )
-    malformed = F.array(F.lit(None).cast("string"))
-    items = F.when((F.size("tuples") > 0) & _covers("tuples", "body"), F.col("tuples")).otherwise(malformed)
-    exploded = cut.select("batch", "names", F.explode(items).alias("item")).withColumn("tuple", _bare(F.col("item")))
-    inner = exploded.withColumn("tuple", F.substring("tuple", F.lit(2), F.length("tuple") - 2))
+    whole = (F.size("tuples") > 0) & _covers("tuples", "body")
+    unread = F.coalesce("unread", F.when(~whole, "syntax"))
+    items = F.when(unread.isNull(), F.col("tuples")).otherwise(F.array("body"))
+    exploded = cut.select("batch", "names", unread.alias("unread"), F.explode(items).alias("item"))
+    bare = exploded.withColumn("item", F.when(F.col("unread").isNull(), _bare(F.col("item"))).otherwise(F.col("item")))
+    inner = bare.withColumn(
+        "tuple", F.when(F.col("unread").isNull(), F.expr("substring(item, 2, length(item) - 2)"))
+    )
     fields = inner.withColumn("fields", F.regexp_extract_all("tuple", F.lit(FIELD), F.lit(0)))
     declared = F.array(*[F.lit(c) for c in columns])
     misread = (
-        F.when(F.col("tuple").isNull() | ~_covers("fields", "tuple"), "syntax")
+        F.when(F.col("unread").isNotNull(), F.col("unread"))
+        .when(~_covers("fields", "tuple"), "syntax")
         .when(F.size(F.array_except("names", declared)) > 0, "unknown_column")
         .when(F.size("fields") != F.coalesce(F.size("names"), F.lit(len(columns))), "field_count")
     )
@@ -133,14 +184,15 @@ def dump_rows(statements: DataFrame, spec: TableSpec, unit: str = "statement") -
         .alias(c)
         for i, c in enumerate(columns)
     ]
-    tokens = fields.select("batch", misread.alias("misread"), *placed)
-    tokens = tokens.select("batch", "misread", *[_bare(F.col(c)).alias(c) for c in columns])
+    tokens = fields.select("batch", "item", misread.alias("misread"), *placed)
+    tokens = tokens.select("batch", "item", "misread", *[_bare(F.col(c)).alias(c) for c in columns])
     values = tokens.select(
-        "batch", "misread", *[F.when(F.col("misread").isNull(), _value(F.col(c))).alias(c) for c in columns]
+        "batch", "item", "misread", *[F.when(F.col("misread").isNull(), _value(F.col(c))).alias(c) for c in columns]
     )
-    typed = typed_projection(values, spec, keep=("batch", "misread"))
+    typed = typed_projection(values, spec, keep=("batch", "item", "misread"))
     errors = F.when(F.col("misread").isNotNull(), F.array("misread")).otherwise(F.col("errors"))
-    return typed.select(*columns, "batch", errors.alias("errors"))
+    typed = typed.select(*columns, "batch", errors.alias("errors"), "item")
+    return typed.select(*columns, "batch", "errors", F.when(F.size("errors") > 0, F.col("item")).alias("raw"))
 
 
 def dump_scan(spark: SparkSession, parts: Sequence[str], spec: TableSpec, unit: str = "statement") -> DataFrame:

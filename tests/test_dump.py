@@ -104,6 +104,57 @@ def test_insert_without_values_is_not_lost(spark, tmp_path):
     assert loaded.filter("size(errors) > 0").first()["errors"] == ["syntax"]
 
 
+def test_insert_ignore_is_read_and_other_statements_are_refused(spark, tmp_path):
+    text = (
+        "SET NAMES utf8;\nLOCK TABLES notes WRITE;\n/*!40000 ALTER TABLE notes DISABLE KEYS */;\n"
+        "INSERT IGNORE INTO `notes` VALUES (1,'a'),(2,'b');\nREPLACE INTO notes VALUES (3,'c');\n"
+        "INSERT INTO other VALUES (1);\nUPDATE notes SET id = 9;\nnonsense;\nUNLOCK TABLES;\n"
+    )
+    loaded = scan(spark, tmp_path, text)
+    assert by_id(loaded.filter("size(errors) = 0")) == {1: "a", 2: "b"}
+    refused = loaded.filter("size(errors) > 0").orderBy("batch").collect()
+    assert [(r["errors"], r["raw"]) for r in refused] == [
+        (["statement"], "REPLACE INTO notes VALUES (3,'c')"),
+        (["statement"], "UPDATE notes SET id = 9"),
+        (["statement"], "nonsense"),
+    ]
+
+
+def test_source_text_of_refused_rows_is_kept(spark, tmp_path):
+    text = (
+        "INSERT INTO notes VALUES (1,'fine'), ( 'x' , 'O\\'Neil;' ) ,(2);\nINSERT INTO notes VALUES (3,'a') (4,'b');\n"
+        "INSERT INTO notes SELECT 1;\nINSERT INTO notes VALUES (5,'cut"
+    )
+    loaded = scan(spark, tmp_path, text).orderBy("batch", "id").collect()
+    assert {r["raw"]: r["errors"] for r in loaded if r["errors"]} == {
+        "( 'x' , 'O\\'Neil;' )": ["id:type"],
+        "(2)": ["field_count"],
+        "(3,'a') (4,'b')": ["syntax"],
+        "INSERT INTO notes SELECT 1": ["syntax"],
+        "(5,'cut": ["syntax"],
+    }
+    assert [r["raw"] for r in loaded if not r["errors"]] == [None]
+
+
+def test_files_of_both_line_ends_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "mixed part"
+    folder.mkdir()
+    row = "INSERT INTO notes VALUES ({},'{}');"
+    (folder / "a b%.dump").write_bytes("".join(row.format(i, "x" * 50) + "\n" for i in range(200)).encode())
+    (folder / "c.dump").write_bytes("".join(row.format(i, "x" * 50) + "\r\n" for i in range(200, 400)).encode())
+    (folder / "empty.dump").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        statements = dump_statements(spark, [str(folder)])
+        placed = [(r["batch"]["file"], r["batch"]["place"]) for r in statements.collect()]
+        assert len(placed) == len(set(placed)) == 400  # one record each, not one a file
+        loaded = dump_scan(spark, [str(folder)], NOTES)
+        assert loaded.select("batch.file", "batch.block").distinct().count() > 4
+        assert sorted(by_id(loaded)) == list(range(400)) and loaded.filter("size(errors) > 0").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_field_count_and_column_list(spark, tmp_path):
     text = (
         "INSERT INTO notes VALUES (1);\nINSERT INTO notes VALUES (2,'a','b');\n"

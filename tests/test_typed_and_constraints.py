@@ -2,6 +2,9 @@
 
 from datetime import date
 from decimal import Decimal
+from graphlib import CycleError
+
+import pytest
 
 from lakeload.operators.constraints import (
     cascade_delete,
@@ -46,7 +49,7 @@ def test_text_rules(spark):
         "k int, c string, v string, g string",
     )
     typed = typed_projection(df, spec).collect()
-    assert [(r["c"], r["v"]) for r in typed] == [("ab", "abc"), ("abcd", "abc"), (None, "x"), ("abcd", None)]
+    assert [(r["c"], r["v"]) for r in typed] == [("ab", "abc"), ("abcde", "abcd"), (None, "x"), ("abcd", None)]
     assert sorted(tuple(r) for r in row_rule_violations(df, spec).collect()) == [
         (-3, "check:k_positive"),
         (-3, "check:v_not_x"),
@@ -57,6 +60,17 @@ def test_text_rules(spark):
     ]
 
 
+def test_texts_that_do_not_convert_are_kept(spark):
+    rows = [("1", "10", "2020-13-45", "abc"), ("2", "x", None, "1"), ("3", None, "2020-01-02", "2")]
+    text = spark.createDataFrame(rows, "order_id string, customer_id string, order_date string, total_amount string")
+    got = [(r["raw"], r["errors"]) for r in typed_projection(text, ORDERS, raw="raw").collect()]
+    assert got == [
+        ({"order_date": "2020-13-45", "total_amount": "abc"}, ["order_date:type", "total_amount:type"]),
+        ({"customer_id": "x"}, ["customer_id:type"]),
+        (None, []),
+    ]
+
+
 def test_enum_case_option(spark):
     columns = (Column("g", "enum('M','F')"),)
     df = spark.createDataFrame([("m",)], "g string")
@@ -95,7 +109,7 @@ def test_cascade_through_two_levels_and_two_parents(spark):
         "b": spark.createDataFrame([(10, 1), (20, 2), (30, None)], "id int, a int"),
         "c": spark.createDataFrame([(10, 2), (20, 1), (20, 2), (30, None), (None, None)], "b int, a int"),
     }
-    left = cascade_delete(tables, [a_spec, b_spec, c_spec], "a", spark.createDataFrame([(1,)], "id int"))
+    left = cascade_delete(tables, [c_spec, b_spec, a_spec], "a", spark.createDataFrame([(1,)], "id int"))
     assert {n: sorted(map(repr, map(tuple, df.collect()))) for n, df in left.items()} == {
         "a": ["(2,)"],
         "b": ["(20, 2)", "(30, None)"],
@@ -103,6 +117,32 @@ def test_cascade_through_two_levels_and_two_parents(spark):
     }
 
 
+def test_cascade_follows_a_table_that_refers_to_itself(spark):
+    tree = TableSpec("t", (Column("id", "int"), Column("up", "int")), ("id",), (), (ForeignKey(("up",), "t", ("id",)),))
+    leaf = TableSpec("l", (Column("t", "int"),), foreign_keys=(ForeignKey(("t",), "t", ("id",)),))
+    rows = [(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, 5), (7, 7)]
+    tables = {
+        "t": spark.createDataFrame(rows, "id int, up int"),
+        "l": spark.createDataFrame([(4,), (6,), (None,), (9,)], "t int"),
+    }
+    left = cascade_delete(tables, [leaf, tree], "t", spark.createDataFrame([(1,)], "id int"))
+    assert sorted(r["id"] for r in left["t"].collect()) == [5, 6, 7]
+    assert sorted((r["t"] for r in left["l"].collect()), key=repr) == [6, 9, None]
+    left = cascade_delete(tables, [tree, leaf], "t", spark.createDataFrame([(7,)], "id int"))
+    assert sorted(r["id"] for r in left["t"].collect()) == [1, 2, 3, 4, 5, 6]
+    assert cascade_delete(tables, [tree, leaf], "t", spark.createDataFrame([(8,)], "id int"))["t"].count() == 7
+
+
+def test_tables_in_a_circle_are_refused(spark):
+    a = TableSpec("a", (Column("b", "int"),), foreign_keys=(ForeignKey(("b",), "b", ("a",)),))
+    b = TableSpec("b", (Column("a", "int"),), foreign_keys=(ForeignKey(("a",), "a", ("b",)),))
+    tables = {"a": spark.createDataFrame([(1,)], "b int"), "b": spark.createDataFrame([(1,)], "a int")}
+    with pytest.raises(CycleError):
+        cascade_delete(tables, [a, b], "a", tables["a"])
+    with pytest.raises(ValueError, match="no spec"):
+        cascade_delete(tables, [], "a", tables["a"])
+
+
 def test_load_order_puts_parents_first():
     names = [s.name for s in load_order(reversed(EMPLOYEE_DATABASE))]
     assert sorted(names) == sorted(s.name for s in EMPLOYEE_DATABASE)
