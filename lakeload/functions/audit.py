@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN_KEYS = ("processing_time", "source_database")
+#: Ends the label of a run that holds only what is new since the run before; the label still sorts by time.
+INCREMENT = "-increment"
 
 
 def run_time_label(moment: datetime | None = None) -> str:

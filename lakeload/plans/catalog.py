@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakeload.functions.audit import RUN_KEYS
@@ -12,13 +14,13 @@ from lakeload.functions.audit import RUN_KEYS
 CHANGES = "column_name string, change string, table_type string, file_type string"
 
 
-def _text(value: str) -> str:
+def quoted(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def create_database(spark: SparkSession, name: str, location: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION {_text(location)}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION {quoted(location)}")
 
 
 def external_table(
@@ -32,7 +34,7 @@ def external_table(
     columns += [f"`{p}` STRING" for p in partitions]
     by = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)}) USING parquet {by} LOCATION {_text(location)}"
+        f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)}) USING parquet {by} LOCATION {quoted(location)}"
     )
 
 
@@ -45,25 +47,11 @@ def add_run(spark: SparkSession, table: str, run_time: str, source_database: str
     """Register the one folder a run wrote, without listing the table."""
     spark.sql(
         f"ALTER TABLE {table} ADD IF NOT EXISTS "
-        f"PARTITION (processing_time = {_text(run_time)}, source_database = {_text(source_database)})"
+        f"PARTITION (processing_time = {quoted(run_time)}, source_database = {quoted(source_database)})"
     )
     spark.catalog.refreshTable(table)
 
 
-def empty_run(spark: SparkSession, table: str, run_time: str, source_database: str) -> None:
-    """Make the run's snapshot an empty one, whatever an earlier try of the run wrote.
-
-    Writing no rows by dynamic partition touches no folder, and the snapshot before would still be the latest.
-    """
-    data = ", ".join(f"CAST(NULL AS {kind})" for c, kind in spark.table(table).dtypes if c not in RUN_KEYS)
-    spark.sql(
-        f"INSERT OVERWRITE {table} "
-        f"PARTITION (processing_time = {_text(run_time)}, source_database = {_text(source_database)}) "
-        f"SELECT {data} WHERE false"
-    )
-    add_run(spark, table, run_time, source_database)
-
-
 def file_schema(spark: SparkSession, path: str) -> StructType:
     """The schema of all Parquet files under ``path``, merged; the files are read for it as a Spark job."""
     return spark.read.option("mergeSchema", True).parquet(path).schema
@@ -83,6 +71,45 @@ def _changes(spark: SparkSession, table: str, schema: StructType) -> list[tuple[
     return changes
 
 
+# Types of a new snapshot that a column of the table holds without loss, by the table's type.
+WIDENS = {
+    "smallint": ("tinyint",),
+    "int": ("tinyint", "smallint"),
+    "bigint": ("tinyint", "smallint", "int"),
+    "double": ("float", "tinyint", "smallint", "int"),
+    "float": ("tinyint", "smallint"),
+}
+
+
+def _holds(wide: str, narrow: str) -> bool:
+    if narrow in WIDENS.get(wide, ()):
+        return True
+    sizes = [re.fullmatch(r"decimal\((\d+),(\d+)\)", kind) for kind in (wide, narrow)]
+    if not all(sizes):
+        return False
+    (p, s), (q, t) = ([int(n) for n in size.groups()] for size in sizes)
+    return s >= t and p - s >= q - t
+
+
+class SchemaChanged(Exception):
+    """A column's type can't be held by the table: writing it would make the table's history unreadable."""
+
+
+def fit_to_table(spark: SparkSession, table: str, df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with columns cast to the types of ``table`` where that loses nothing, and the changes in short.
+
+    To be called before anything is written. Raises if a column can't be held.
+    """
+    told, casts = [], {}
+    for name, change, old, new in _changes(spark, table, df.schema):
+        if change == "type_changed":
+            if not _holds(old, new):
+                raise SchemaChanged(f"{name} is {new}, the table has {old}")
+            casts[name], change = F.col(f"`{name}`").cast(old), "widened"
+        told.append(f"{change}:{name}")
+    return df.withColumns(casts) if casts else df, ",".join(told)
+
+
 def schema_diff(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
     """The columns of a new snapshot against those of the table: added, removed, type_changed."""
     return spark.createDataFrame(_changes(spark, table, schema), CHANGES)

@@ -6,7 +6,7 @@ import logging
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 from py4j.protocol import Py4JJavaError
@@ -14,12 +14,23 @@ from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeload.functions.audit import audit_columns
-from lakeload.plans.catalog import add_run, create_database, empty_run, external_table, schema_evolution
+from lakeload.functions.audit import INCREMENT, audit_columns
+from lakeload.operators.load import rows_beyond
+from lakeload.plans.catalog import (
+    SchemaChanged,
+    add_run,
+    create_database,
+    external_table,
+    fit_to_table,
+    schema_evolution,
+)
+from lakeload.plans.reports import check_run
 from lakeload.sinks.lake import empty_marker, snapshot_append, write_with_metrics
+from lakeload.sources.lake import increment_mark
 
 log = logging.getLogger(__name__)
 Reader = Callable[[str], DataFrame]
+SUMMARY = "table_name string, status string, rows_read bigint, rows_written bigint, changes string, error string"
 
 
 @dataclass(frozen=True)
@@ -32,23 +43,58 @@ class Target:
     source_database: str
 
 
-def export_table(spark: SparkSession, read: Reader, table: str, target: Target) -> tuple[str, int]:
-    """One table to the lake and the catalog; returns its status and rows. The source is read once."""
-    source = read(table)
-    stamped = audit_columns(source, target.run_time, target.source_database, table)
+class CheckFailed(Exception):
+    """What the run wrote can't be read back as it was written."""
+
+
+def export_table(spark: SparkSession, read: Reader, table: str, target: Target) -> tuple[str, int, int, str]:
+    """One table to the lake and the catalog: its status, rows read, rows found by the check, and changes of its schema.
+
+    The source is read once. Its schema is compared with the table's before anything is written; what was written is
+    queried through the catalog afterwards, and a difference fails the table.
+    """
+    source, changes = read(table), ""
     location, name = f"{target.root}/{table}", f"{target.database}.{table}"
-    rows = write_with_metrics(stamped, partial(snapshot_append, path=location))
-    external_table(spark, name, stamped.schema, location)
+    run = (target.run_time, target.source_database)
+    if spark.catalog.tableExists(name):
+        stamped = audit_columns(source, *run, table)
+        fitted, changes = fit_to_table(spark, name, stamped)
+        source = fitted.select(*source.columns)
+    schema = audit_columns(source, *run, table).schema
+    write = partial(
+        snapshot_append, path=location, run_time=run[0], source_database=run[1], source_table=table
+    )
+    rows = write_with_metrics(source, write)
+    external_table(spark, name, schema, location)
+    schema_evolution(spark, name, schema)
+    add_run(spark, name, *run)
     if rows == 0:
-        empty_run(spark, name, target.run_time, target.source_database)
-        empty_marker(spark, source.schema, target.root, table, target.run_time, target.source_database)
-        return "empty", 0
-    schema_evolution(spark, name, stamped.schema)
-    add_run(spark, name, target.run_time, target.source_database)
-    return "ok", rows
+        empty_marker(spark, source.schema, target.root, table, *run)
+    found = check_run(spark, name, *run)
+    if found != rows:
+        raise CheckFailed(f"{rows} rows written, {found} found")
+    return "ok" if rows else "empty", rows, found, changes
+
 
+def export_increment(
+    spark: SparkSession, read: Reader, table: str, key: str, target: Target
+) -> tuple[str, int, int, str]:
+    """As ``export_table``, but only rows whose key is above all loaded before, as a run marked as an increment.
 
-def _kind(error: Exception) -> str:
+    A table without a run gets a full one. Rows that come late with a lower key, and changes of rows already loaded, are
+    not seen: they need a full run, which the latest state then starts from.
+    """
+    name = f"{target.database}.{table}"
+    mark = None
+    if spark.catalog.tableExists(name):
+        mark = increment_mark(spark, name, key, target.source_database)
+    if mark is None:
+        return export_table(spark, read, table, target)
+    later = replace(target, run_time=target.run_time + INCREMENT)
+    return export_table(spark, lambda name: rows_beyond(read(name), key, mark), table, later)
+
+
+def error_kind(error: Exception) -> str:
     """What went wrong without its text, which may hold connection details."""
     if isinstance(error, Py4JJavaError):
         return error.java_exception.getClass().getName()
@@ -57,17 +103,22 @@ def _kind(error: Exception) -> str:
     return type(error).__name__
 
 
-def _attempt(spark: SparkSession, read: Reader, table: str, target: Target, max_attempts: int) -> tuple:
+def _attempt(
+    spark: SparkSession, read: Reader, table: str, key: str | None, target: Target, max_attempts: int
+) -> tuple:
     for attempt in range(1, max_attempts + 1):
         try:
-            status, rows = export_table(spark, read, table, target)
-            return (table, status, rows, None)
+            if key:
+                return (table, *export_increment(spark, read, table, key, target), None)
+            return (table, *export_table(spark, read, table, target), None)
         except Exception as error:  # any failure belongs in the summary and must not stop the other tables
-            kind = _kind(error)
+            kind = error_kind(error)
             log.warning("export of %s failed (%s), attempt %d of %d", table, kind, attempt, max_attempts)
+            if isinstance(error, SchemaChanged):  # trying again would not help
+                break
             if attempt < max_attempts:
                 time.sleep(2 ** (attempt - 1))
-    return (table, "failed", None, kind)
+    return (table, "failed", None, None, None, kind)
 
 
 def export_tables(
@@ -77,17 +128,23 @@ def export_tables(
     target: Target,
     max_attempts: int = 3,
     parallelism: int = 4,
+    increments: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Export every table and report (table_name, status, rows_written, error), one row each.
+    """Export every table and report (table_name, status, rows_read, rows_written, changes, error), one row each.
+
+    ``rows_written`` is what a query of the catalog finds of this run; ``changes`` are those of the schema since the runs
+    before. A changed type that the table can't hold fails the table and writes nothing.
 
     ``read`` gives a table as a DataFrame, e.g. ``partial(jdbc_scan, spark, source)``. Threads only submit Spark jobs.
-    Repeating a failed attempt is safe: a run replaces its own partition.
+    Repeating a failed attempt is safe: a run replaces its own partition. ``increments`` names the growing key of tables
+    of which only new rows are wanted.
     """
     create_database(spark, target.database, f"{target.root}/_database")
     with ThreadPoolExecutor(parallelism) as pool:
         work = inheritable_thread_target(spark)(_attempt)
-        outcome = list(pool.map(lambda t: work(spark, read, t, target, max_attempts), tables))
-    return spark.createDataFrame(outcome, "table_name string, status string, rows_written bigint, error string")
+        keys = increments or {}
+        outcome = list(pool.map(lambda t: work(spark, read, t, keys.get(t), target, max_attempts), tables))
+    return spark.createDataFrame(outcome, SUMMARY)
 
 
 def failed(summary: DataFrame) -> bool:

@@ -19,7 +19,9 @@ from lakeload.queries.inputs import (
     render_dump,
     spec_of,
     table,
+    write_text,
 )
+from lakeload.sources.dump import dump_scan
 from lakeload.specs import OPEN_DATE, Column, ForeignKey, TableSpec
 from lakeload.workspace import new_folder
 
@@ -37,6 +39,7 @@ def q_typed_projection(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias("customer_id"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
         inflated.cast("string").alias("total_amount"),
+        "o_orderpriority",
     )
     spec = TableSpec(
         "orders",
@@ -45,6 +48,7 @@ def q_typed_projection(spark: SparkSession, sf: str) -> DataFrame:
             Column("customer_id", "int"),
             Column("order_date", "date"),
             Column("total_amount", "decimal(8,2)"),
+            Column("o_orderpriority", "varchar(20)"),
         ),
     )
     typed = typed_projection(text, spec)
@@ -84,15 +88,13 @@ def _kept_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_fk_violations(spark: SparkSession, sf: str) -> DataFrame:
-    lineitem = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return fk_violations(lineitem, LINE_ORDER, _kept_orders(spark, sf))
+    return fk_violations(table(spark, sf, "lineitem"), LINE_ORDER, _kept_orders(spark, sf))
 
 
 def q_fk_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that refer to no order (the returned ones here) are clean too."""
-    lineitem = table(spark, sf, "lineitem").select(
-        F.when(F.col("l_returnflag") != "R", F.col("l_orderkey")).alias("l_orderkey"), "l_linenumber", "l_partkey"
-    )
+    kept = F.when(F.col("l_returnflag") != "R", F.col("l_orderkey"))
+    lineitem = table(spark, sf, "lineitem").withColumn("l_orderkey", kept)
     return fk_clean(lineitem, LINE_ORDER, _kept_orders(spark, sf))
 
 
@@ -104,12 +106,20 @@ def q_cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
         spec_of(tables["lineitem"], "lineitem", foreign_keys=(LINE_ORDER,)),
     ]
     keys = tables["customer"].filter("c_nationkey = 0").select("c_custkey")
-    return table_counts(cascade_delete(tables, specs, "customer", keys))
+    return table_counts(cascade_delete(tables, specs[::-1], "customer", keys))
+
+
+def q_cascade_self(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers refer to one another like the nodes of a heap; one near the root goes with all below it."""
+    tree = table(spark, sf, "customer").withColumn("above", F.expr("nullif(c_custkey div 2, 0)"))
+    spec = spec_of(tree, "customer", foreign_keys=(ForeignKey(("above",), "customer", ("c_custkey",)),))
+    keys = tree.filter("c_custkey = 3").select("c_custkey")
+    return cascade_delete({"customer": tree}, [spec], "customer", keys)["customer"]
 
 
 def _line_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, Quarantine]:
     """All lines of an order form a batch; a quantity over 45 breaks a rule."""
-    lineitem = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    lineitem = table(spark, sf, "lineitem")
     spec = spec_of(lineitem, "lineitem", checks={"quantity": "l_quantity <= 45"})
     return lineitem, quarantine(lineitem, spec, batch="l_orderkey")
 
@@ -129,18 +139,63 @@ def q_batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_batch_quarantine_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Each order is a batch, applied by order number: its customer must exist and one order per customer and day."""
-    orders = table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("o_orderdate")
-    )
+    orders = table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
     spec = spec_of(orders, "orders", unique=(("o_custkey", "o_orderdate"),), foreign_keys=(ORDER_CUSTOMER,))
     parents = {"customer": table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'")}
     return quarantine(orders, spec, batch="o_orderkey", parents=parents).good
 
 
+def q_quarantine_null_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Pending orders belong to no batch, so they are one; some customers are not to be served."""
+    orders = table(spark, sf, "orders").withColumn("batch", F.expr("nullif(o_orderstatus, 'P')"))
+    orders = orders.withColumn("batch", F.concat("batch", F.lit("-"), F.col("o_custkey").cast("string")))
+    spec = spec_of(orders, "orders", primary_key=("o_orderkey",), checks={"customer": "o_custkey % 50 <> 7"})
+    split = quarantine(orders, spec)
+    good = split.good.withColumn("reasons", F.lit(None).cast("string"))
+    return good.unionByName(split.bad)
+
+
+def q_quarantine_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Returned lines are loaded already: orders that hold one are refused, as are those that repeat a line."""
+    lineitem = table(spark, sf, "lineitem")
+    spec = spec_of(lineitem, "lineitem", primary_key=("l_orderkey", "l_linenumber"))
+    loaded = lineitem.filter("l_returnflag = 'R'")
+    return quarantine(lineitem, spec, batch="l_orderkey", target=loaded).rejected
+
+
+def q_quarantine_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order claims its own number and, unless pending and urgent, the next: long chains of overlapping batches."""
+    orders = table(spark, sf, "orders")
+    ends = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")
+    claims = F.when(ends, F.array("o_orderkey")).otherwise(F.array("o_orderkey", F.col("o_orderkey") + 1))
+    rows = orders.select("o_orderkey", F.explode(claims).alias("claim"))
+    spec = spec_of(rows, "claims", primary_key=("claim",))
+    return quarantine(rows, spec, batch="o_orderkey").rejected
+
+
+def q_rejected_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Pending orders are not of the declared status, and one statement is cut off: their source text is kept."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    columns = (
+        Column("o_orderkey", "bigint", True),
+        Column("o_custkey", "bigint"),
+        Column("o_orderstatus", "enum('F','O')"),
+        Column("o_orderpriority", "varchar(20)"),
+    )
+    cut = write_text(spark, ["INSERT INTO orders VALUES (1,2,'F','x');", "REPLACE INTO orders VALUES (3);"], "cut")
+    more = write_text(spark, ["INSERT INTO orders VALUES (4,'cut"], "cut")
+    spec = TableSpec("orders", columns)
+    rows = dump_scan(spark, [render_dump(orders, "orders"), cut, more], spec)
+    return quarantine(rows, spec).bad.select("raw", "reasons")
+
+
 def q_load_dumps(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations, customers and orders from dump files; customers in debt are refused, and so are their orders."""
+    """Tables from dump files; customers in debt are refused, and so are their orders; one file is cut off, one absent."""
     nation, customer, orders = (table(spark, sf, n) for n in ("nation", "customer", "orders"))
+    region, supplier = (table(spark, sf, n) for n in ("region", "supplier"))
     specs = [
+        spec_of(region, "region", primary_key=("r_regionkey",)),
+        spec_of(supplier, "supplier", primary_key=("s_suppkey",)),
         spec_of(nation, "nation", primary_key=("n_nationkey",), unique=(("n_name",),)),
         spec_of(
             customer,
@@ -152,6 +207,8 @@ def q_load_dumps(spark: SparkSession, sf: str) -> DataFrame:
         spec_of(orders, "orders", primary_key=("o_orderkey",), foreign_keys=(ORDER_CUSTOMER,)),
     ]
     dumps = {
+        "region": [render_dump(region, "region"), write_text(spark, ["INSERT INTO region VALUES (99,'cut"], "cut")],
+        "supplier": [new_folder(spark, "absent")],
         "nation": [render_dump(nation, "nation", 1000)],
         "customer": [render_dump(customer, "customer")],
         "orders": [render_dump(orders, "orders")],
@@ -159,8 +216,8 @@ def q_load_dumps(spark: SparkSession, sf: str) -> DataFrame:
     root = new_folder(spark, "loaded")
     database = fresh_database(spark, root)
     summary = load_dumps(spark, specs, dumps, root, database, whole_files=("nation",))
-    counts = table_counts({s.name: spark.table(f"{database}.{s.name}") for s in specs})
-    return summary.drop("batches", "loaded", "refused").join(counts, "table_name")
+    held = [s.name for s in specs if spark.catalog.tableExists(f"{database}.{s.name}")]
+    return summary.join(table_counts({name: spark.table(f"{database}.{name}") for name in held}), "table_name", "left")
 
 
 def q_insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,10 +292,15 @@ QUERIES = {
     "fk_violations": q_fk_violations,
     "fk_clean": q_fk_clean,
     "cascade_delete": q_cascade_delete,
+    "cascade_self": q_cascade_self,
     "batch_quarantine_good": q_batch_quarantine_good,
     "batch_quarantine_bad": q_batch_quarantine_bad,
     "batch_summary": q_batch_summary,
     "batch_quarantine_keys": q_batch_quarantine_keys,
+    "quarantine_null_batch": q_quarantine_null_batch,
+    "quarantine_target": q_quarantine_target,
+    "quarantine_chains": q_quarantine_chains,
+    "rejected_raw": q_rejected_raw,
     "load_dumps": q_load_dumps,
     "insert_ignore": q_insert_ignore,
     "latest_dates": q_latest_dates,
@@ -247,7 +309,7 @@ QUERIES = {
     "sample_join": q_sample_join,
 }
 
-_LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem"
+_LINES = "SELECT * FROM lineitem"
 _BAD_BATCHES = "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_quantity > 45)"
 _KEPT = "SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT'"
 
@@ -259,7 +321,7 @@ ORACLE = {
         SELECT CAST(o_orderkey AS INTEGER) AS order_id, CAST(o_custkey AS INTEGER) AS customer_id,
                CAST(o_orderdate AS DATE) AS order_date,
                TRY_CAST(price AS DECIMAL(8,2)) AS total_amount,
-               CASE WHEN price < 1000000 THEN '' ELSE 'total_amount:type' END AS errors
+               o_orderpriority, CASE WHEN price < 1000000 THEN '' ELSE 'total_amount:type' END AS errors
         FROM priced""",
     "row_rule_violations": """
         SELECT p_partkey, 'p_name:length' AS rule FROM part WHERE length(p_name) > 9
@@ -272,10 +334,10 @@ ORACLE = {
     "unique_violations": """
         SELECT p_name, count(*) AS copies FROM part WHERE p_size > 5 GROUP BY p_name HAVING count(*) > 1""",
     "fk_violations": f"""
-        SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+        SELECT * FROM lineitem
         WHERE NOT EXISTS (SELECT 1 FROM ({_KEPT}) o WHERE o_orderkey = l_orderkey)""",
     "fk_clean": f"""
-        SELECT CASE WHEN l_returnflag <> 'R' THEN l_orderkey END AS l_orderkey, l_linenumber, l_partkey FROM lineitem
+        SELECT * REPLACE (CASE WHEN l_returnflag <> 'R' THEN l_orderkey END AS l_orderkey) FROM lineitem
         WHERE l_returnflag = 'R' OR EXISTS (SELECT 1 FROM ({_KEPT}) o WHERE o_orderkey = l_orderkey)""",
     "cascade_delete": """
         WITH c AS (SELECT * FROM customer WHERE c_nationkey <> 0),
@@ -286,6 +348,34 @@ ORACLE = {
                  WHERE o_orderkey = l_orderkey AND c_nationkey = 0))
         SELECT 'customer' AS table_name, count(*) AS row_count FROM c
         UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM l""",
+    "cascade_self": """
+        WITH RECURSIVE gone(k) AS (SELECT CAST(3 AS BIGINT) UNION ALL
+            SELECT c_custkey FROM customer JOIN gone ON c_custkey // 2 = k)
+        SELECT *, nullif(c_custkey // 2, 0) AS above FROM customer WHERE c_custkey NOT IN (SELECT k FROM gone)""",
+    "quarantine_null_batch": """
+        WITH o AS (SELECT *, nullif(o_orderstatus, 'P') || '-' || o_custkey AS batch FROM orders),
+             bad AS (SELECT batch, bool_or(o_custkey % 50 = 7) AS refused FROM o GROUP BY batch)
+        SELECT o.*, CASE WHEN refused THEN 'check:customer' END AS reasons
+        FROM o JOIN bad ON o.batch IS NOT DISTINCT FROM bad.batch""",
+    "quarantine_target": """
+        WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n, bool_or(l_returnflag = 'R') AS held
+                   FROM lineitem GROUP BY ALL),
+             b AS (SELECT l_orderkey, bool_or(n > 1) AS twice, bool_or(held) AS held FROM k GROUP BY l_orderkey)
+        SELECT l_orderkey, concat_ws(',', CASE WHEN twice THEN 'duplicate:primary_key' END,
+                                     CASE WHEN held THEN 'exists:primary_key' END) AS reasons
+        FROM b WHERE twice OR held""",
+    "quarantine_chains": """
+        WITH o AS (SELECT o_orderkey, o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AS ends FROM orders),
+             l AS (SELECT o.o_orderkey, p.o_orderkey IS NULL OR p.ends AS starts
+                   FROM o LEFT JOIN o p ON p.o_orderkey = o.o_orderkey - 1),
+             c AS (SELECT o_orderkey, max(CASE WHEN starts THEN o_orderkey END) OVER (ORDER BY o_orderkey) AS first FROM l)
+        SELECT o_orderkey, 'key_taken' AS reasons FROM c WHERE (o_orderkey - first) % 2 = 1""",
+    "rejected_raw": """
+        SELECT concat('(', o_orderkey, ',', o_custkey, ',', chr(39), o_orderstatus, chr(39), ',', chr(39), o_orderpriority,
+                      chr(39), ')') AS raw, 'o_orderstatus:enum' AS reasons
+        FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+        UNION ALL SELECT 'REPLACE INTO orders VALUES (3)', 'statement'
+        UNION ALL SELECT concat('(4,', chr(39), 'cut'), 'syntax'""",
     "batch_quarantine_good": f"{_LINES} WHERE l_orderkey NOT IN ({_BAD_BATCHES})",
     "batch_quarantine_bad": f"SELECT *, 'check:quantity' AS reasons FROM ({_LINES}) WHERE l_orderkey IN ({_BAD_BATCHES})",
     "batch_summary": """
@@ -296,20 +386,23 @@ ORACLE = {
                     WHEN count(*) FILTER (bad) < count(*) THEN 'partial' ELSE 'failed' END AS status
         FROM b""",
     "batch_quarantine_keys": """
-        SELECT o_orderkey, o_custkey, o_orderdate FROM (
-            SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate,
+        SELECT * EXCLUDE (place) FROM (
+            SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate),
                    row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS place
             FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'))
         WHERE place = 1""",
     "load_dumps": """
         WITH counted AS (
-            SELECT 'nation' AS table_name, count(*) AS row_count, count(*) AS total FROM nation
-            UNION ALL SELECT 'customer', count(*) FILTER (c_acctbal >= 0), count(*) FROM customer
-            UNION ALL SELECT 'orders', count(*) FILTER (c_acctbal >= 0), count(*)
+            SELECT 'nation' AS table_name, 1 AS batches, 1 AS loaded, count(*) AS row_count, 'ok' AS format FROM nation
+            UNION ALL SELECT 'region', count(*) + 1, count(*), count(*), 'unterminated' FROM region
+            UNION ALL SELECT 'customer', count(*), count(*) FILTER (c_acctbal >= 0), count(*) FILTER (c_acctbal >= 0), 'ok'
+                FROM customer
+            UNION ALL SELECT 'orders', count(*), count(*) FILTER (c_acctbal >= 0), count(*) FILTER (c_acctbal >= 0), 'ok'
                 FROM orders JOIN customer ON c_custkey = o_custkey)
-        SELECT table_name, CASE WHEN row_count = total THEN 'loaded' WHEN row_count > 0 THEN 'partial' ELSE 'failed' END
-                   AS status, row_count
-        FROM counted""",
+        SELECT table_name, batches, loaded, batches - loaded AS refused,
+               CASE WHEN loaded = batches THEN 'loaded' WHEN loaded > 0 THEN 'partial' ELSE 'failed' END AS status,
+               format, NULL AS error, NULL AS earlier, row_count FROM counted
+        UNION ALL SELECT 'supplier', 0, 0, 0, 'failed', NULL, 'PATH_NOT_FOUND', NULL, NULL""",
     "insert_ignore": """
         SELECT (SELECT max(c_custkey) FROM customer WHERE c_acctbal >= 0)
                    + row_number() OVER (ORDER BY c_custkey) AS customer_id, c_name, c_mktsegment

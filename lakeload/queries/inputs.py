@@ -15,7 +15,7 @@ from lakeload.specs import Column, TableSpec
 from lakeload.workspace import new_folder
 
 # The run times and the source name used by all queries.
-RUN_1, RUN_2 = "20240101T000000Z", "20240102T000000Z"
+RUN_1, RUN_2, RUN_3 = "20240101T000000Z", "20240102T000000Z", "20240103T000000Z"
 SOURCE = "sales"
 
 
@@ -108,5 +108,12 @@ def render_dump(df: DataFrame, name: str, rows_per_statement: int = 1) -> str:
     return folder
 
 
+def write_text(spark: SparkSession, lines: list[str], label: str) -> str:
+    """A folder with one file of ``lines``."""
+    folder = new_folder(spark, label)
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(folder)
+    return folder
+
+
 def as_typed(df: DataFrame, spec: TableSpec) -> DataFrame:
     return typed_projection(df, spec).drop("errors")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from lakeload.operators.load import load_if_unpopulated, seed_if_empty
 from lakeload.plans.catalog import external_table, file_schema, partition_repair, schema_diff, schema_evolution
 from lakeload.plans.export import Target, export_tables
 from lakeload.plans.refresh import full_refresh
-from lakeload.plans.reports import post_export_check, reconcile, table_counts
-from lakeload.queries.inputs import RUN_1, RUN_2, SOURCE, fresh_database, spec_of, table
+from lakeload.plans.reports import post_export_check, reconcile, run_rows, table_counts
+from lakeload.queries.inputs import RUN_1, RUN_2, RUN_3, SOURCE, fresh_database, spec_of, table
 from lakeload.sinks.lake import empty_marker, marker_path, snapshot_append, snapshot_overwrite, write_with_metrics
 from lakeload.sources.lake import lake_scan, latest_snapshot, sample_rows
 from lakeload.workspace import new_folder
@@ -29,8 +30,8 @@ def _two_runs(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     """Orders in two snapshots: all of them, then the finished ones."""
     orders = table(spark, sf, "orders")
     path = new_folder(spark, "snapshots") + "/orders"
-    snapshot_append(audit_columns(orders, RUN_1, SOURCE, "orders"), path)
-    snapshot_append(audit_columns(orders.filter("o_orderstatus = 'F'"), RUN_2, SOURCE, "orders"), path)
+    snapshot_append(orders, path, RUN_1, SOURCE, "orders")
+    snapshot_append(orders.filter("o_orderstatus = 'F'"), path, RUN_2, SOURCE, "orders")
     return path, orders
 
 
@@ -81,7 +82,10 @@ def q_snapshot_overwrite(spark: SparkSession, sf: str) -> DataFrame:
 def q_empty_marker(spark: SparkSession, sf: str) -> DataFrame:
     root = new_folder(spark, "marked")
     none = table(spark, sf, "customer").filter("c_acctbal > 1e12")
-    rows = write_with_metrics(audit_columns(none, RUN_1, SOURCE, "customer"), partial(snapshot_append, path=root))
+    write = partial(
+        snapshot_append, path=f"{root}/customer", run_time=RUN_1, source_database=SOURCE, source_table="customer"
+    )
+    rows = write_with_metrics(none, write)
     if rows == 0:
         empty_marker(spark, none.schema, root, "customer", RUN_1, SOURCE)
     marker = spark.read.parquet(marker_path(root, "customer"))
@@ -116,8 +120,8 @@ def _changed_orders(spark: SparkSession, sf: str) -> tuple[str, str]:
     orders = table(spark, sf, "orders")
     path = new_folder(spark, "changed") + "/orders"
     old = audit_columns(orders.drop("o_orderpriority"), RUN_1, SOURCE, "orders")
-    snapshot_append(old, path)
-    snapshot_append(audit_columns(orders.drop("o_orderstatus"), RUN_2, SOURCE, "orders"), path)
+    snapshot_append(orders.drop("o_orderpriority"), path, RUN_1, SOURCE, "orders")
+    snapshot_append(orders.drop("o_orderstatus"), path, RUN_2, SOURCE, "orders")
     name = fresh_database(spark, path) + ".orders"
     external_table(spark, name, old.schema, path)
     return name, f"{path}/processing_time={RUN_2}/source_database={SOURCE}"
@@ -183,30 +187,70 @@ def q_full_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return full_refresh(spark, specs, tables.__getitem__, root, database)
 
 
-def _export(spark: SparkSession, sf: str, names) -> tuple[Target, DataFrame]:
+def _target(spark: SparkSession, run: str = RUN_1) -> Target:
     folder = new_folder(spark, "export")
-    target = Target(folder, f"lakeload_{folder[-32:]}", RUN_1, SOURCE)
-    return target, export_tables(spark, partial(table, spark, sf), names, target, max_attempts=1)
+    return Target(folder, f"lakeload_{folder[-32:]}", run, SOURCE)
+
+
+def _export(spark: SparkSession, sf: str, names, target: Target, changed: dict | None = None) -> DataFrame:
+    def read(name: str) -> DataFrame:
+        return (changed or {}).get(name, lambda df: df)(table(spark, sf, name))
+
+    return export_tables(spark, read, names, target, max_attempts=1)
+
+
+def _unreadable(df: DataFrame) -> DataFrame:
+    raise OSError("the source went away")
 
 
 def q_export_summary(spark: SparkSession, sf: str) -> DataFrame:
-    _, summary = _export(spark, sf, (*EXPORTED, "absent"))
-    return summary.drop("error")
+    """A second run: a key of suppliers became text, the sizes of parts a smaller type, and nations lost a column."""
+    target = _target(spark)
+    _export(spark, sf, EXPORTED, target)
+    changed = {
+        "supplier": lambda df: df.withColumn("s_nationkey", F.col("s_nationkey").cast("string")),
+        "part": lambda df: df.withColumn("p_size", F.col("p_size").cast("smallint")),
+        "nation": lambda df: df.drop("n_regionkey"),
+        "orders": lambda df: df.withColumn("o_note", F.lit("x")),
+    }
+    later = replace(target, run_time=RUN_2)
+    return _export(spark, sf, (*EXPORTED, "absent"), later, changed)
 
 
 def q_post_export_check(spark: SparkSession, sf: str) -> DataFrame:
-    target, _ = _export(spark, sf, EXPORTED)
-    return post_export_check(spark, target.database, [*EXPORTED, "absent"])
+    """After a second run in which one source failed and one was empty; all tables hold the first run too."""
+    target = _target(spark)
+    _export(spark, sf, EXPORTED, target)
+    later = replace(target, run_time=RUN_2)
+    _export(spark, sf, EXPORTED, later, {"supplier": _unreadable, "nation": lambda df: df.filter("n_nationkey < 0")})
+    return post_export_check(spark, target.database, [*EXPORTED, "absent"], RUN_2, SOURCE)
 
 
 def q_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    """Five exported tables; since then every supplier moved and some nations went away at the source."""
-    target, _ = _export(spark, sf, EXPORTED)
+    """The second of two runs against a source in which every supplier moved, nations went away and orders got a column."""
+    target = _target(spark)
+    _export(spark, sf, EXPORTED, target, {"customer": lambda df: df.filter("c_acctbal < 0")})
+    _export(spark, sf, EXPORTED, replace(target, run_time=RUN_2))
     now = {name: table(spark, sf, name) for name in EXPORTED}
     now["supplier"] = now["supplier"].withColumn("s_nationkey", F.col("s_nationkey") + 1)
     now["nation"] = now["nation"].filter("n_regionkey <> 0")
-    report = reconcile({name: (df, spark.table(f"{target.database}.{name}")) for name, df in now.items()})
-    return report.select("table_name", "source_rows", "lake_rows", "matches")
+    now["orders"] = now["orders"].withColumn("o_note", F.lit(None).cast("string"))
+    report = reconcile(
+        {name: (df, run_rows(spark, f"{target.database}.{name}", RUN_2, SOURCE)) for name, df in now.items()}
+    )
+    return report.select("table_name", "source_rows", "lake_rows", "missing_columns", "matches")
+
+
+def q_incremental_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A full run of the older orders, two increments, the second without news: the latest state is the source."""
+    orders = table(spark, sf, "orders")
+    mark = orders.agg((F.max("o_orderkey") * 4).alias("m")).first()["m"] // 5
+    target, keys = _target(spark), {"orders": "o_orderkey"}
+    export_tables(spark, lambda name: orders.filter(F.col("o_orderkey") <= mark), ["orders"], target, 1)
+    for run in (RUN_2, RUN_3):
+        later = replace(target, run_time=run)
+        export_tables(spark, lambda name: orders, ["orders"], later, 1, increments=keys)
+    return latest_snapshot(spark, f"{target.database}.orders").drop("source_table", "source_database")
 
 
 QUERIES = {
@@ -229,6 +273,7 @@ QUERIES = {
     "export_summary": q_export_summary,
     "post_export_check": q_post_export_check,
     "reconcile": q_reconcile,
+    "incremental_job": q_incremental_job,
 }
 
 _TWO_RUNS = f"""
@@ -287,22 +332,31 @@ ORACLE = {
         SELECT 'customer' AS table_name, 'skipped' AS action, count(*) AS row_count FROM customer WHERE c_acctbal < 0
         UNION ALL SELECT 'orders', 'loaded', count(*) FROM orders""",
     "full_refresh": _counts(("customer", "orders")),
-    "export_summary": " UNION ALL ".join(
-        [f"SELECT '{n}' AS table_name, 'ok' AS status, count(*) AS rows_written FROM {n}" for n in EXPORTED]
-        + ["SELECT 'absent', 'failed', NULL"]
-    ),
+    "export_summary": """
+        SELECT 'customer' AS table_name, 'ok' AS status, count(*) AS rows_read, count(*) AS rows_written, '' AS changes,
+               NULL AS error FROM customer
+        UNION ALL SELECT 'supplier', 'failed', NULL, NULL, NULL, 'SchemaChanged'
+        UNION ALL SELECT 'part', 'ok', count(*), count(*), 'widened:p_size', NULL FROM part
+        UNION ALL SELECT 'orders', 'ok', count(*), count(*), 'added:o_note', NULL FROM orders
+        UNION ALL SELECT 'nation', 'ok', count(*), count(*), 'removed:n_regionkey', NULL FROM nation
+        UNION ALL SELECT 'absent', 'failed', NULL, NULL, NULL, 'PATH_NOT_FOUND'""",
     "post_export_check": " UNION ALL ".join(
         [
             f"SELECT '{n}' AS table_name, 'ok' AS status, '{_COLUMNS[n]},{_AUDIT}' AS columns, "
             f"count(*) AS row_count, true AS has_rows FROM {n}"
-            for n in EXPORTED
+            for n in ("customer", "part", "orders")
         ]
-        + ["SELECT 'absent', 'failed', NULL, NULL, false"]
+        + [f"SELECT 'nation', 'empty', '{_COLUMNS['nation']},{_AUDIT}', 0, false"]
+        + [f"SELECT '{n}', 'failed', NULL, NULL, false" for n in ("supplier", "absent")]
     ),
     "reconcile": """
-        SELECT 'customer' AS table_name, count(*) AS source_rows, count(*) AS lake_rows, true AS matches FROM customer
-        UNION ALL SELECT 'supplier', count(*), count(*), false FROM supplier
-        UNION ALL SELECT 'part', count(*), count(*), true FROM part
-        UNION ALL SELECT 'orders', count(*), count(*), true FROM orders
-        UNION ALL SELECT 'nation', count(*) FILTER (n_regionkey <> 0), count(*), false FROM nation""",
+        SELECT 'customer' AS table_name, count(*) AS source_rows, count(*) AS lake_rows, '' AS missing_columns,
+               true AS matches FROM customer
+        UNION ALL SELECT 'supplier', count(*), count(*), '', false FROM supplier
+        UNION ALL SELECT 'part', count(*), count(*), '', true FROM part
+        UNION ALL SELECT 'orders', count(*), count(*), 'o_note', false FROM orders
+        UNION ALL SELECT 'nation', count(*) FILTER (n_regionkey <> 0), count(*), '', false FROM nation""",
+    "incremental_job": f"""
+        SELECT *, CASE WHEN o_orderkey > (SELECT max(o_orderkey) * 4 // 5 FROM orders) THEN '{RUN_2}-increment'
+                       ELSE '{RUN_1}' END AS processing_time FROM orders""",
 }

@@ -13,18 +13,28 @@ from lakeload.functions.audit import RUN_KEYS, audit_columns
 MARKERS = "_empty_markers"
 
 
-def snapshot_append(df: DataFrame, path: str) -> None:
-    """Add the partition of this run to the table; ``df`` carries the audit columns.
+# Characters that a partition folder's name holds escaped, besides the control characters.
+ESCAPED = "\"#%'*/:=?\\{[]^\x7f"
 
-    Only the folders of the runs in ``df`` are replaced, so a repeated or resumed run leaves one copy, not two, and the
-    snapshots of other runs stay. The keys are constant within a run, so no shuffle and no extra files.
+
+def _escape(value: str) -> str:
+    return "".join(f"%{ord(c):02X}" if c in ESCAPED or c < " " else c for c in value)
+
+
+def run_folder(path: str, run_time: str, source_database: str) -> str:
+    """The folder that holds one run's partition of the table at ``path``."""
+    folders = (f"{key}={_escape(value)}" for key, value in zip(RUN_KEYS, (run_time, source_database), strict=True))
+    return "/".join([path, *folders])
+
+
+def snapshot_append(df: DataFrame, path: str, run_time: str, source_database: str, source_table: str) -> None:
+    """Add the rows of one run to the table at ``path``, stamped with run and origin.
+
+    They go straight to the run's own folder, which is replaced as a whole, so a repeated or resumed run leaves one copy,
+    not two, the snapshots of other runs stay, and no file is renamed between folders. No rows make an empty snapshot.
     """
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RUN_KEYS)
-        .parquet(path)
-    )
+    stamped = audit_columns(df, run_time, source_database, source_table)
+    snapshot_overwrite(stamped.drop(*RUN_KEYS), run_folder(path, run_time, source_database))
 
 
 def snapshot_overwrite(df: DataFrame, path: str) -> None:

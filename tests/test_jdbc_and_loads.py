@@ -21,11 +21,15 @@ from lakeload.plans.reports import reconcile
 from lakeload.sinks.jdbc import jdbc_write
 from lakeload.sources.jdbc import (
     JdbcSource,
+    cut_predicates,
+    cuts_query,
     jdbc_catalog_table,
     jdbc_scan,
     jdbc_scan_partitioned,
     jdbc_schema_probe,
     key_ranges,
+    literal,
+    primary_keys_query,
     source_table_list,
 )
 from lakeload.specs import CUSTOMERS, ORDERS, Column, TableSpec
@@ -174,6 +178,36 @@ def test_insert_ignore(spark):
     assert insert_ignore(target.limit(0), incoming.filter("false"), ["email"], "id", ["position"]).isEmpty()
 
 
+def test_insert_ignore_sorts_no_whole_rows(spark):
+    target = spark.createDataFrame([(7, "a")], "id int, name string")
+    incoming = spark.createDataFrame([("a", "x", 0, 1), ("b", "y", 0, 2)], "name string, wide string, c int, p int")
+    new = insert_ignore(target, incoming, ["name"], "id", order_by=["c", "p"])
+    assert "SortAggregate" not in new._jdf.queryExecution().toString()
+    assert [tuple(r) for r in new.collect()] == [(8, "b", "y")]
+
+
+MYSQL = JdbcSource("jdbc:mysql://h/db")
+
+
+def test_names_and_keys_are_quoted():
+    assert MYSQL.named("Odd`Name", True) == "`Odd``Name`" and MYSQL.named("plain", False) == "plain"
+    query = cuts_query(MYSQL, "`t`", ["a", "b"], 4)
+    assert "NTILE(4) OVER (ORDER BY `a`, `b`)" in query and "FROM `t`" in query
+    assert "table_schema = DATABASE()" in primary_keys_query(MYSQL)
+    assert literal("O'Neil") == "'O''Neil'" and literal(datetime.date(2020, 1, 2)) == "DATE '2020-01-02'"
+    assert literal(datetime.datetime(2020, 1, 2, 3, 4, 5)) == "TIMESTAMP '2020-01-02 03:04:05.000000'"
+    assert literal(Decimal("1.50")) == "1.50" and literal(7) == "7"
+
+
+@pytest.mark.parametrize("cuts", [[], [("b", 2)], [("a", 1), ("b", 2), ("b", 5)]])
+def test_predicates_on_composite_keys_part_all_rows(spark, cuts):
+    keys = [(a, b) for a in ("a", "b", "c", "O'x", None) for b in (None, 0, 1, 2, 5, 9)]
+    df = spark.createDataFrame(keys, "x string, y int")
+    parts = [df.filter(p).collect() for p in cut_predicates(["x", "y"], cuts)]
+    assert len(parts) == len(cuts) + 1
+    assert sorted(repr(tuple(r)) for part in parts for r in part) == sorted(map(repr, keys))
+
+
 def test_seed_only_when_empty(spark, tmp_path):
     path = str(tmp_path / "customers")
     spark.createDataFrame([], CUSTOMERS.schema).write.parquet(path)

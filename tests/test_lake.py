@@ -9,11 +9,11 @@ from lakeload.__main__ import main
 from lakeload.functions.audit import audit_columns, run_time_label
 from lakeload.plans.catalog import external_table, file_schema, partition_repair, schema_diff, schema_evolution
 from lakeload.plans.export import Target, export_tables, failed
-from lakeload.plans.refresh import full_refresh, load_dumps
-from lakeload.plans.reports import post_export_check, reconcile, table_counts
+from lakeload.plans.refresh import complete, full_refresh, load_dumps
+from lakeload.plans.reports import post_export_check, reconcile, run_rows, table_counts
 from lakeload.plans.views import create_views, current_assignment, latest_dates, open_rows, sample_join
 from lakeload.sinks.lake import empty_marker, marker_path, snapshot_append, snapshot_overwrite, write_with_metrics
-from lakeload.sources.lake import latest_snapshot, sample_rows
+from lakeload.sources.lake import increment_mark, latest_snapshot, sample_rows
 from lakeload.specs import DEPARTMENTS, DEPT_EMP, EMPLOYEE_DATABASE, EMPLOYEES
 
 OPEN = date(9999, 1, 1)
@@ -34,17 +34,17 @@ def numbers(spark, n):
 def test_run_label_sorts_and_reads_back_as_text(spark, tmp_path):
     label = run_time_label(datetime(2024, 5, 6, 7, 8, 9, tzinfo=UTC))
     assert label == "20240506T070809Z" < run_time_label(datetime(2024, 5, 6, 7, 8, 10, tzinfo=UTC))
-    snapshot_append(audit_columns(numbers(spark, 1), label, "hr", "t"), str(tmp_path / "t"))
+    snapshot_append(numbers(spark, 1), str(tmp_path / "t"), label, "hr", "t")
     back = spark.read.parquet(str(tmp_path / "t"))
     assert dict(back.dtypes)["processing_time"] == "string" and back.first()["processing_time"] == label
 
 
 def test_append_keeps_history_and_rerun_replaces_its_own_partition(spark, tmp_path):
     path = str(tmp_path / "t")
-    snapshot_append(audit_columns(numbers(spark, 3), RUN_1, "hr", "t"), path)
-    snapshot_append(audit_columns(numbers(spark, 5), RUN_2, "hr", "t"), path)
-    snapshot_append(audit_columns(numbers(spark, 4), RUN_2, "hr", "t"), path)
-    snapshot_append(audit_columns(numbers(spark, 2), RUN_2, "crm", "t"), path)
+    snapshot_append(numbers(spark, 3), path, RUN_1, "hr", "t")
+    snapshot_append(numbers(spark, 5), path, RUN_2, "hr", "t")
+    snapshot_append(numbers(spark, 4), path, RUN_2, "hr", "t")
+    snapshot_append(numbers(spark, 2), path, RUN_2, "crm", "t")
     counts = spark.read.parquet(path).groupBy("processing_time", "source_database").count()
     assert sorted(map(tuple, counts.collect())) == [(RUN_1, "hr", 3), (RUN_2, "crm", 2), (RUN_2, "hr", 4)]
 
@@ -52,7 +52,7 @@ def test_append_keeps_history_and_rerun_replaces_its_own_partition(spark, tmp_pa
 def test_repair_and_latest_snapshot_prune_partitions(spark, tmp_path, database):
     path, name = str(tmp_path / "t"), f"{database}.t"
     for run, source, n in ((RUN_1, "hr", 3), (RUN_2, "hr", 5), (RUN_1, "crm", 7)):
-        snapshot_append(audit_columns(numbers(spark, n), run, source, "t"), path)
+        snapshot_append(numbers(spark, n), path, run, source, "t")
     external_table(spark, name, audit_columns(numbers(spark, 1), RUN_1, "hr", "t").schema, path)
     assert spark.table(name).count() == 0
     partition_repair(spark, name)
@@ -86,12 +86,12 @@ def test_marker_stays_out_of_the_table(spark, tmp_path):
 def test_schema_evolution_adds_and_reports(spark, tmp_path, database, rows):
     path, name = str(tmp_path / "t"), f"{database}.t"
     old = audit_columns(numbers(spark, 2), RUN_1, "hr", "t")
-    new = audit_columns(spark.range(1).selectExpr("id AS k", "'n' AS extra"), RUN_2, "hr", "t")
-    snapshot_append(old, path)
+    new = spark.range(1).selectExpr("id AS k", "'n' AS extra")
+    snapshot_append(numbers(spark, 2), path, RUN_1, "hr", "t")
     external_table(spark, name, old.schema, path)
     partition_repair(spark, name)
     added = f"{path}/processing_time={RUN_2}/source_database=hr"
-    snapshot_append(new.withColumn("k", new["k"].cast("int")), path)
+    snapshot_append(new.withColumn("k", new["k"].cast("int")), path, RUN_2, "hr", "t")
     added = file_schema(spark, added)
     assert rows(schema_diff(spark, name, added)) == [("extra", "added", None, "string"), ("v", "removed", "string", None)]
     schema_evolution(spark, name, added)
@@ -99,7 +99,7 @@ def test_schema_evolution_adds_and_reports(spark, tmp_path, database, rows):
     got = rows(spark.table(name).select("k", "v", "extra"))
     assert got == [(0, "v0", None), (0, None, "n"), (1, "v1", None)]
     assert rows(schema_diff(spark, name, added)) == [("v", "removed", "string", None)]
-    snapshot_overwrite(new.drop("processing_time", "source_database"), str(tmp_path / "retyped"))
+    snapshot_overwrite(new, str(tmp_path / "retyped"))
     retyped = file_schema(spark, str(tmp_path / "retyped"))
     assert ("k", "type_changed", "int", "bigint") in rows(schema_diff(spark, name, retyped))
 
@@ -183,21 +183,80 @@ def test_export_goes_on_after_a_failure_and_can_be_repeated(spark, tmp_path):
     target = Target(root, database, RUN_1, "hr")
     for _ in range(2):
         summary = export_tables(spark, read, ["a", "none", "absent", "flaky"], target, max_attempts=2)
-        assert {r["table_name"]: (r["status"], r["rows_written"], r["error"]) for r in summary.collect()} == {
-            "a": ("ok", 3, None),
-            "none": ("empty", 0, None),
-            "absent": ("failed", None, "KeyError"),
-            "flaky": ("ok", 2, None),
+        assert {r["table_name"]: tuple(r)[1:] for r in summary.collect()} == {
+            "a": ("ok", 3, 3, "", None),
+            "none": ("empty", 0, 0, "", None),
+            "absent": ("failed", None, None, None, "KeyError"),
+            "flaky": ("ok", 2, 2, "", None),
         }
         assert failed(summary) and not failed(summary.filter("table_name = 'a'"))
     later = export_tables(spark, lambda name: numbers(spark, 5), ["a"], Target(root, database, RUN_2, "hr"))
     assert later.first()["rows_written"] == 5
     assert spark.table(f"{database}.a").count() == 8
     assert latest_snapshot(spark, f"{database}.a").count() == 5
-    check = {r["table_name"]: r for r in post_export_check(spark, database, ["a", "none", "absent"]).collect()}
+    report = post_export_check(spark, database, ["a", "none", "absent"], RUN_1, "hr")
+    check = {r["table_name"]: r for r in report.collect()}
     assert [check[n]["status"] for n in ("a", "none", "absent")] == ["ok", "empty", "failed"]
-    assert check["a"]["columns"] == "k,v,source_table,processing_time,source_database"
+    assert check["a"]["columns"] == "k,v,source_table,processing_time,source_database" and check["a"]["row_count"] == 3
     assert spark.read.parquet(marker_path(root, "none")).count() == 0
+    absent = post_export_check(spark, database, ["a", "none"], RUN_2, "hr").collect()
+    assert {r["table_name"]: (r["status"], r["row_count"]) for r in absent} == {"a": ("ok", 5), "none": ("failed", None)}
+
+
+def test_changed_type_fails_the_table_and_leaves_it_readable(spark, tmp_path):
+    database = "db_" + tmp_path.name.replace("-", "_")
+
+    def export(run, *columns):
+        target = Target(str(tmp_path), database, run, "hr")
+        rows = spark.range(2).selectExpr(*columns)
+        return tuple(export_tables(spark, lambda name: rows, ["a"], target).first())[1:]
+
+    assert export(RUN_1, "id AS k", "CAST(id AS INT) AS n", "'x' AS v") == ("ok", 2, 2, "", None)
+    assert export(RUN_2, "CAST(id AS SMALLINT) AS k", "CAST(id AS INT) AS n", "'x' AS v") == ("ok", 2, 2, "widened:k", None)
+    assert export("3", "id AS k", "id AS n", "'x' AS v") == ("failed", None, None, None, "SchemaChanged")
+    assert export("4", "id AS k", "'y' AS extra") == ("ok", 2, 2, "added:extra,removed:n,removed:v", None)
+    assert len(spark.table(f"{database}.a").collect()) == 6  # every run can still be read
+    assert latest_snapshot(spark, f"{database}.a").select("k", "n", "extra").collect()[0] == (0, None, "y")
+
+
+def test_what_a_run_wrote_is_queried(spark, tmp_path, monkeypatch):
+    database = "db_" + tmp_path.name.replace("-", "_")
+    monkeypatch.setattr("lakeload.plans.export.check_run", lambda *a: 1)
+    target = Target(str(tmp_path), database, RUN_1, "hr")
+    summary = export_tables(spark, lambda name: numbers(spark, 3), ["a"], target, max_attempts=1)
+    assert tuple(summary.first())[1:] == ("failed", None, None, None, "CheckFailed") and failed(summary)
+
+
+def test_a_failing_write_keeps_the_runs_before(spark, tmp_path):
+    path = str(tmp_path / "t")
+    snapshot_append(numbers(spark, 3), path, RUN_1, "hr", "t")
+    broken = numbers(spark, 4).selectExpr("CAST(raise_error('no') AS INT) AS k", "v")
+    with pytest.raises(Exception, match="no"):
+        snapshot_append(broken, path, RUN_2, "hr", "t")
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_increments_and_full_runs_make_the_latest_state(spark, tmp_path):
+    database = "db_" + tmp_path.name.replace("-", "_")
+
+    def export(run, n):
+        target = Target(str(tmp_path), database, run, "hr")
+        summary = export_tables(spark, lambda name: numbers(spark, n), ["a"], target, increments={"a": "k"})
+        return tuple(summary.first())[1:4]
+
+    latest = lambda: sorted(r["k"] for r in latest_snapshot(spark, f"{database}.a").collect())
+    assert export("1", 3) == ("ok", 3, 3) and latest() == [0, 1, 2]  # nothing there yet: a full run
+    assert export("2", 5) == ("ok", 2, 2) and latest() == [0, 1, 2, 3, 4]
+    assert export("3", 5) == ("empty", 0, 0) and latest() == [0, 1, 2, 3, 4]
+    assert export("4", 6) == ("ok", 1, 1) and latest() == [0, 1, 2, 3, 4, 5]
+    full = Target(str(tmp_path), database, "5", "hr")
+    export_tables(spark, lambda name: numbers(spark, 2), ["a"], full)
+    assert latest() == [0, 1]
+    assert export("6", 4) == ("ok", 2, 2) and latest() == [0, 1, 2, 3]
+    assert increment_mark(spark, f"{database}.a", "k", "hr") == 3 and increment_mark(spark, f"{database}.a", "k", "x") is None
+    run = run_rows(spark, f"{database}.a", "6-increment", "hr")
+    report = reconcile({"a": (numbers(spark, 4).filter("k > 1"), run), "b": (numbers(spark, 4), run.drop("v"))}).collect()
+    assert {r["table_name"]: (r["matches"], r["missing_columns"]) for r in report} == {"a": (True, ""), "b": (False, "v")}
 
 
 def test_empty_run_is_the_latest_snapshot(spark, tmp_path):
@@ -263,20 +322,28 @@ def test_whole_database_from_dumps_then_refresh(spark, tmp_path):
     parts["salaries"] = [str(tmp_path / f"salaries{i}.dump") for i in (1, 2, 3)]
     root, database = str(tmp_path / "lake"), "db_" + tmp_path.name.replace("-", "_")
     whole = ("departments", "dept_manager")
-    summary = load_dumps(spark, EMPLOYEE_DATABASE, parts, root, database, whole)
-    assert {r["table_name"]: (r["batches"], r["loaded"], r["status"]) for r in summary.collect()} == {
-        "departments": (1, 1, "loaded"),
-        "employees": (3, 2, "partial"),
-        "dept_manager": (1, 0, "failed"),
-        "dept_emp": (2, 1, "partial"),
-        "titles": (1, 1, "loaded"),
-        "salaries": (3, 2, "partial"),
+    summary = load_dumps(spark, EMPLOYEE_DATABASE, parts, root, database, whole, views=create_views)
+    assert {r["table_name"]: (r["batches"], r["loaded"], r["status"], r["format"]) for r in summary.collect()} == {
+        "departments": (1, 1, "loaded", "ok"),
+        "employees": (3, 2, "partial", "ok"),
+        "dept_manager": (1, 0, "failed", "ok"),
+        "dept_emp": (2, 1, "partial", "ok"),
+        "titles": (1, 1, "loaded", "ok"),
+        "salaries": (3, 2, "partial", "ok"),
     }
     assert spark.table(f"{database}.current_dept_emp").count() == 2
     refused = spark.read.parquet(f"{root}/_rejected/dept_emp").first()
     assert refused["reasons"] == "foreign_key:dept_no"
     again = load_dumps(spark, EMPLOYEE_DATABASE, parts, root, database, whole)
-    assert [r["table_name"] for r in again.collect()] == ["dept_manager"]  # the only table still empty
+    assert {r["table_name"]: (r["status"], r["earlier"]) for r in again.collect()} == {
+        "departments": ("skipped", "loaded"),
+        "employees": ("skipped", "partial"),
+        "dept_manager": ("failed", None),  # the only table still empty
+        "dept_emp": ("skipped", "partial"),
+        "titles": ("skipped", "loaded"),
+        "salaries": ("skipped", "partial"),
+    }
+    assert not complete(again) and complete(again.filter("table_name IN ('departments', 'titles')"))
 
     where = ["--dumps", str(tmp_path), "--root", root, "--database", database]
     for name in FILES:
@@ -289,3 +356,46 @@ def test_whole_database_from_dumps_then_refresh(spark, tmp_path):
     counts = full_refresh(spark, list(kept.values()), copies.__getitem__, root, database, create_views)
     assert sorted(map(tuple, counts.collect())) == [("departments", 2), ("dept_emp", 2), ("employees", 3)]
     assert spark.table(f"{database}.current_dept_emp").count() == 2
+
+
+def test_absent_and_cut_files_are_reported_and_do_not_stop_the_others(spark, tmp_path):
+    (tmp_path / "d.dump").write_text(FILES["departments"] + "INSERT INTO departments VALUES ('d003','Cut')")
+    (tmp_path / "t.dump").write_text(FILES["titles"])
+    (tmp_path / "m.dump").write_text("1,d001\n")
+    dumps = {"departments": [str(tmp_path / "d.dump")], "employees": [str(tmp_path / "absent.dump")]}
+    dumps |= {"titles": [str(tmp_path / "t.dump")], "dept_manager": [str(tmp_path / "m.dump")], "salaries": []}
+    names = ("departments", "employees", "titles", "dept_manager")
+    specs = [s for s in EMPLOYEE_DATABASE if s.name in names]
+    database = "db_" + tmp_path.name.replace("-", "_")
+    summary = load_dumps(spark, specs, dumps, str(tmp_path / "lake"), database)
+    assert {r["table_name"]: tuple(r)[1:7] for r in summary.collect()} == {
+        "departments": (2, 2, 0, "loaded", "unterminated", None),
+        "employees": (0, 0, 0, "failed", None, "PATH_NOT_FOUND"),
+        "titles": (1, 0, 1, "failed", "ok", None),  # its parent holds no row
+        "dept_manager": (1, 0, 1, "failed", "unexpected_format", None),
+    }
+    assert not complete(summary) and not complete(summary.filter("table_name = 'departments'"))
+    refused = spark.read.parquet(str(tmp_path / "lake/_rejected/dept_manager")).first()
+    assert (refused["reasons"], refused["raw"]) == ("statement", "1,d001")
+
+
+def test_a_refresh_that_fails_half_way_leaves_what_was_there(spark, tmp_path, rows):
+    database, root = "db_" + tmp_path.name.replace("-", "_"), str(tmp_path)
+    specs = [DEPARTMENTS, EMPLOYEES]
+    old = {"departments": [("d001", "Sales")], "employees": [(1, date(1960, 1, 2), "Ann", "Lee", "F", date(1990, 5, 6))]}
+    read = lambda name: spark.createDataFrame(old[name], next(s for s in specs if s.name == name).schema)
+    view = lambda spark, db: spark.sql(f"CREATE OR REPLACE VIEW {db}.names AS SELECT dept_name FROM {db}.departments")
+    full_refresh(spark, specs, read, root, database, view)
+
+    def broken(name):
+        if name == "employees":
+            raise OSError("gone")
+        return spark.createDataFrame([("d009", "New")], DEPARTMENTS.schema)
+
+    with pytest.raises(OSError):
+        full_refresh(spark, specs, broken, root, database, view)
+    assert rows(spark.table(f"{database}.names")) == [("Sales",)] and spark.table(f"{database}.employees").count() == 1
+    twice = lambda name: spark.table(f"{database}.{name}").union(read(name))  # noqa: E731  from the tables themselves
+    counts = full_refresh(spark, specs, twice, root, database)
+    assert rows(counts) == [("departments", 2), ("employees", 2)]
+    assert not spark.catalog.tableExists(f"{database}.names")  # every view goes, whatever its name
