@@ -1,8 +1,8 @@
 """Substring deduplication by sliding spans of consecutive sentences.
 
 Every sentence starts a span: the shortest run of sentences from it on that has ``SENTENCES`` sentences and ``WORDS`` words,
-or ``LONG`` words in fewer sentences. Spans are hashed and met over the whole corpus. A sentence covered by a repeated span goes, unless the span is the first of
-its kind by doc_id and place. A removed sentence is always still found at an earlier place, so no content is lost.
+or ``LONG`` words in fewer sentences. Spans are hashed and met over the whole corpus. A sentence covered by a repeated span
+goes, unless the span is the first of its kind by doc_id and place. A removed sentence is always still found at an earlier place, so no content is lost.
 """
 
 from __future__ import annotations
@@ -93,7 +93,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     found = stage(found, "spans")
     known = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag", "pos")
     shared = found.groupBy("h").agg(F.count("*").alias("n"), F.min(known).alias("first")).where("n > 1")
-    later = found.join(shared.select("h", "first"), "h").where(
+    shared = stage(shared.select("h", "first"), "span-firsts")  # a join on top of its own grouping can't be split
+    later = found.join(shared, "h").where(
         "NOT (doc_id <=> first.doc_id AND tag = first.tag AND pos = first.pos)"
     )
     return later.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("starts"))  # at most a text's sentences
