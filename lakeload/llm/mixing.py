@@ -18,7 +18,7 @@ MAX_PASSES = 3
 BLOCK_WORDS = 4096
 SEED = 20_24
 #: Documents whose places are added up by one task, and slots that one task ranks.
-RUN_ROWS, RUN_SLOTS = 4096, 1 << 14
+RUN_ROWS, RUN_SLOTS = 512, 1 << 14
 #: Points are whole numbers below 2**31: multiples of an odd number next to 2**31 / phi, which never overflow a long.
 POINTS, STEP, CELL_BITS = 1 << 31, 1_327_217_885, 21
 BLANKS = r"' \t\n\r\u000B\f'"
