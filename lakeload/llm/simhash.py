@@ -74,7 +74,8 @@ def fingerprint_links(prints: DataFrame, distance: int = 2, crowd: int = CROWD)
     cut = F.array(*(F.struct(F.lit(i).alias("t"), block.alias("block")) for i, block in cut))
     keyed = prints.select("fp", F.explode(cut).alias("b")).select("fp", "b.t", "b.block")
     shared = keyed.groupBy("t", "block").agg(F.count("*").alias("n")).where("n > 1")
-    met = stage(keyed.join(shared, ["t", "block"]), "simhash-blocks")
+    # staged, for a join on top of its own grouping can't be split
+    met = stage(keyed.join(stage(shared, "simhash-shared"), ["t", "block"]), "simhash-blocks")
     few = met.where(F.col("n") <= crowd)
     pairs = few.select("t", "block", F.col("fp").alias("src")).join(
         few.select("t", "block", F.col("fp").alias("dst")), ["t", "block"]
@@ -144,14 +145,14 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     least id. So a block with very many texts gives two rows per text, never all pairs.
     """
     shared = members.groupBy("t", "word").agg(F.count("*").alias("m")).where("m > 1")
-    met = stage(members.join(shared, ["t", "word"]), "near-blocks")
+    met = stage(members.join(stage(shared, "near-shared"), ["t", "word"]), "near-blocks")
     known = met.groupBy("id").agg(F.sum("m").alias("known"))
     leads = met.join(known, "id").groupBy("t", "word")
     leads = leads.agg(F.max(F.struct("known", "id", "n")).alias("a"), F.min(F.struct("id", "n")).alias("b"))
     leads = leads.select(
         "t", "word", F.explode(F.array(F.struct("a.id", "a.n"), F.col("b"))).alias("lead")
     )
-    pairs = met.join(leads, ["t", "word"]).where(
+    pairs = met.join(stage(leads, "near-leads"), ["t", "word"]).where(
         f"id <> lead.id AND least(n, lead.n) >= {SIMILARITY} * greatest(n, lead.n)"
     )
     return pairs.select(F.least("id", "lead.id").alias("src"), F.greatest("id", "lead.id").alias("dst")).distinct()

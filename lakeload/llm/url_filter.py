@@ -101,6 +101,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, edges: DataFrame) -> DataFrame
     placed = judged.join(roots.withColumnRenamed("node", "url"), "url", "left")
     placed = stage(placed.select("url", "host", "path", "rule", "action", F.coalesce("root", "url").alias("root")), "urls")
     said = placed.where("action IS NOT NULL").groupBy("root").agg(F.min("action").alias("spread"))
+    said = stage(said, "url-said")
     out = placed.join(said, "root", "left").select(
         "url", "host", "path", "rule", F.coalesce("action", "spread", F.lit("allow")).alias("verdict")
     )
