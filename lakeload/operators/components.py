@@ -29,8 +29,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(least, label)  # a join on top of its own grouping can't be split
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        root = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = stage(large, label)
+        root = stage(large.groupBy("hi").agg(F.min("lo").alias("m")), label)
         small = large.join(root, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = stage(small.unionAll(root.select("hi", F.col("m").alias("lo"))).distinct(), label)
         before, mark = mark, _mark(now)
