@@ -105,38 +105,45 @@ def learn(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: int = MO
     return names, {key: row.astype("f4") for key, row in model.items()}
 
 
-class Scorer:
+class Scorer(dict):
+    """Place of a word's scores in a table that grows as words are met, up to a bound."""
+
     def __init__(self, names: list[str], model: dict):
-        self.names, self.model, self.cache = names, model, {}
+        self.names = names
+        self.known: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        for (kind, gram), row in model.items():
+            self.known[kind][gram] = row
         self.nothing = np.zeros(len(names), "f4")
+        self.table = np.zeros((1024, len(names)), "f4")
 
     def word(self, word: str) -> np.ndarray:
-        found = self.model.get((0, word))
+        found = self.known[0].get(word)
         if found is not None:
             return found
         for n in range(LONGEST, 0, -1):
-            known = [self.model[n, g] for g in runs(word, n) if (n, g) in self.model]
-            if known:
-                return np.mean(known, axis=0)
+            get = self.known[n].get
+            rows = [row for g in runs(word, n) if (row := get(g)) is not None]
+            if rows:
+                return sum(rows) / len(rows)
         return self.nothing
 
-    def cached(self, word: str) -> np.ndarray:
-        row = self.cache.get(word)
-        if row is None:
-            row = self.word(word)
-            if len(word) <= ENTRY_CHARS:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = row
-        return row
+    def __missing__(self, word: str) -> int:
+        place = len(self)
+        if place == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[place] = self.word(word)
+        self[word] = place
+        return place
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and the share it would have among all, by the mean score of a word and its number of words."""
+        """The language with the largest sum over all words, and its share of the likelihood of all languages."""
         words = Counter(LETTERS.findall(text.lower())) if text else {}
         if not words or not self.names:
             return UNKNOWN, 0.0
-        rows = np.stack([self.cached(w) for w in words])
-        total = np.array(list(words.values()), "f8") @ rows
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        places = [self[w] for w in words]
+        total = np.array(list(words.values()), "f8") @ self.table[places]
         odds = np.exp(total - total.max())
         best = int(total.argmax())  # of equal ones the first by code point
         return self.names[best], float(odds[best] / odds.sum())
