@@ -65,13 +65,10 @@ def schedule(targets: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     need = targets.select("sid", "target", F.ceil(take / block).cast("long").alias("need"))
     n, sources, total = need.agg(F.sum("need"), F.max("sid") + 1, F.sum("target")).first()
     n, sources, total = n or 0, sources or 0, total or 1.0
-    upto = F.sum("target").over(Window.orderBy("sid"))
-    bound = need.withColumns(
-        {
-            "lo": F.floor((upto - F.col("target")) / total * POINTS).cast("long"),
-            "hi": F.when(F.col("sid") == sources - 1, POINTS).otherwise(F.floor(upto / total * POINTS)).cast("long"),
-        }
-    ).where("hi > lo")
+    in_turn = Window.orderBy("sid")
+    upto = F.floor(F.sum("target").over(in_turn) / total * POINTS)
+    bound = need.withColumn("hi", F.when(F.col("sid") == sources - 1, POINTS).otherwise(upto).cast("long"))
+    bound = bound.withColumn("lo", F.coalesce(F.lag("hi").over(in_turn), F.lit(0))).where("hi > lo")
     cells = F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS))
     bound = bound.withColumn("cell", F.explode(cells))
     slots = spark.range(n).withColumn("x", F.col("id") % POINTS * STEP % POINTS)
