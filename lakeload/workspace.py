@@ -29,8 +29,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path not used before, for one staged table or one set of outputs."""
-    return f"{shared_root(spark)}/lakeload/{label}-{uuid.uuid4().hex}"
+    """A path not used before, for one staged table or one set of outputs.
+
+    All paths of one application lie in one folder. Nothing is deleted here, for a result that is still to be read may need
+    it; the owner of the shared folder can expire the whole folder once the application has ended.
+    """
+    return f"{shared_root(spark)}/lakeload/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -8,13 +8,13 @@ from lakeload.workspace import new_folder, shared_root, stage
 
 
 def session(setting, master):
-    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, applicationId="app-1")
     return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: setting), sparkContext=context)
 
 
 def test_folder_follows_the_setting():
     assert shared_root(session("s3a://shared/tmp/", "spark://m")) == "s3a://shared/tmp"
-    assert new_folder(session("hdfs:///c", "yarn"), "x").startswith("hdfs:///c/lakeload/x-")
+    assert new_folder(session("hdfs:///c", "yarn"), "x").startswith("hdfs:///c/lakeload/app-1/x-")
     assert "lakeload-" in shared_root(session(None, "local[4]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_root(session(None, "yarn"))
