@@ -139,23 +139,27 @@ def _shingle_set(texts: pd.Series) -> pd.Series:
 
 
 def candidate_pairs(members: DataFrame) -> DataFrame:
-    """(src, dst) to compare, of ``members`` (id, n, t, word): in each block every text against two leaders.
+    """(src, dst) to compare, of ``members`` (id, n, t, word): texts that share a block and are of like length.
 
-    One leader is the text that meets most others over all its blocks, the original of a family of copies; the other is the
-    least id. So a block with very many texts gives two rows per text, never all pairs.
+    In a block of few texts all are compared with each other. In a crowded one each is compared with two leaders: the text
+    that meets most others over all its blocks, which is the original of a family of copies, and the least id. So a block
+    with very many texts gives two rows per text, never all pairs.
     """
     shared = members.groupBy("t", "word").agg(F.count("*").alias("m")).where("m > 1")
+    # staged, for a join on top of its own grouping can't be split
     met = stage(members.join(stage(shared, "near-shared"), ["t", "word"]), "near-blocks")
+    few = met.where(F.col("m") <= CROWD)
+    pairs = few.select("t", "word", "id", "n").join(
+        few.select("t", "word", F.struct("id", "n").alias("lead")), ["t", "word"]
+    )
     known = met.groupBy("id").agg(F.sum("m").alias("known"))
-    leads = met.join(known, "id").groupBy("t", "word")
+    leads = met.where(F.col("m") > CROWD).join(known, "id").groupBy("t", "word")
     leads = leads.agg(F.max(F.struct("known", "id", "n")).alias("a"), F.min(F.struct("id", "n")).alias("b"))
-    leads = leads.select(
-        "t", "word", F.explode(F.array(F.struct("a.id", "a.n"), F.col("b"))).alias("lead")
-    )
-    pairs = met.join(stage(leads, "near-leads"), ["t", "word"]).where(
-        f"id <> lead.id AND least(n, lead.n) >= {SIMILARITY} * greatest(n, lead.n)"
-    )
-    return pairs.select(F.least("id", "lead.id").alias("src"), F.greatest("id", "lead.id").alias("dst")).distinct()
+    leads = leads.select("t", "word", F.explode(F.array(F.struct("a.id", "a.n"), F.col("b"))).alias("lead"))
+    led = met.where(F.col("m") > CROWD).join(stage(leads, "near-leads"), ["t", "word"])
+    like = f"id <> lead.id AND least(n, lead.n) >= {SIMILARITY} * greatest(n, lead.n)"
+    both = pairs.where("id < lead.id").select("id", "n", "lead").unionAll(led.select("id", "n", "lead")).where(like)
+    return both.select(F.least("id", "lead.id").alias("src"), F.greatest("id", "lead.id").alias("dst")).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
