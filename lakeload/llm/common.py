@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakeload.operators.components import components
 from lakeload.workspace import stage
 
-__all__ = ["components", "ordered", "same_names", "shingle_blocks", "table", "text_tag", "word_blocks", "WORD"]
+__all__ = ["components", "ordered", "same_names", "shingle_blocks", "small_batches", "table", "text_tag", "word_blocks", "WORD"]
 
 #: A word, for Spark's and SQL's regular expressions: anything but a blank and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Have Spark hand at most ``rows`` texts at a time to Python, unless the session sets a number of its own.
+
+    Texts are long; with Spark's 10,000 rows a batch of them can take more memory than all else in a Python worker.
+    """
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(rows))
+
+
 def word_blocks(data: bytes) -> Iterator[list[bytes]]:
     """The words of a text in lists of bounded length; one list for all but very long texts."""
     if len(data) <= LONG_TEXT:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeload.llm.common import table
+from lakeload.llm.common import small_batches, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -175,6 +175,7 @@ def identify(documents: DataFrame) -> DataFrame:
     The fold is crc32 of the doc_id's text modulo 4; 2 is held out. A null doc_id is in no fold: not learnt from, not held
     out. ``und`` with score 0 is the answer for a null text, one without a letter, or if nothing could be learnt.
     """
+    small_batches(documents.sparkSession)
     learnable = documents.where(fold(F.col("doc_id")) != HELD_OUT).select("doc_id", "text", "lang")
     names, model = learn(learnable)
     predict = predictor(documents.sparkSession, names, model)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeload.llm.common import table, word_blocks
+from lakeload.llm.common import small_batches, table, word_blocks
 
 BLANKS = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -124,6 +124,7 @@ KEPT = f"NOT ({BASE_FAILED}) AND 100 * q.n_lost_words <= {MAX_LOSS} * q.n_words"
 
 def quality_stats(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, the counts, base_failed and kept. A null text has no words and fails; rows are judged alone."""
+    small_batches(documents.sparkSession)
     judged = documents.select("doc_id", _counted("text").alias("q"))
     return judged.select("doc_id", "q.*", F.expr(BASE_FAILED).alias("base_failed"), F.expr(KEPT).alias("kept"))
 
@@ -133,6 +134,7 @@ def clean_documents(documents: DataFrame) -> DataFrame:
 
     Every column is kept, whatever its name. Repeated rows are judged alike; an empty table gives an empty table.
     """
+    small_batches(documents.sparkSession)
     names = documents.columns
     judged = documents.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("d"), _measured("text").alias("q"))
     changed = {"text": F.col("q.clean"), "n_chars": F.length("q.clean").cast("long")}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeload.llm.common import components, shingle_blocks, table, text_tag
+from lakeload.llm.common import components, shingle_blocks, small_batches, table, text_tag
 from lakeload.workspace import stage
 
 SEED, BITS = 42, 64
@@ -97,6 +97,7 @@ def linked_documents(documents: DataFrame, n: int, distance: int = 2) -> DataFra
     Equal fingerprints are linked. Texts without a word, null included, have fingerprint zero and are linked like others.
     Rows are neither merged nor dropped; a component without any doc_id has none.
     """
+    small_batches(documents.sparkSession)
     prints = stage(documents.select("doc_id", fingerprint(n)("text").alias("fp")), "simhash-prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(fingerprint_links(distinct, distance), "simhash-components")
@@ -115,13 +116,12 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
 # Near-duplicate documents: five-word shingles, similarity 0.8 or more ---------------------------------------------------
 
 
-def part_prints(hashes: np.ndarray) -> list[int | None]:
+def part_prints(distinct: np.ndarray) -> list[int | None]:
     """A fingerprint of PARTS words: the shingles are dealt into parts by hash, and a word is the SimHash of the least few
     of a part. Texts of similarity ``s`` agree in a given word with probability of about ``s ** PART_SHINGLES``.
     """
-    if not len(hashes):
+    if not len(distinct):
         return [0]  # texts without a word meet in one block
-    distinct = np.unique(hashes)
     parts = distinct & np.uint64(PARTS - 1)
     mine = (distinct[parts == p][:PART_SHINGLES] for p in range(PARTS))
     return [majority(h) if len(h) else None for h in mine]
@@ -129,8 +129,8 @@ def part_prints(hashes: np.ndarray) -> list[int | None]:
 
 @F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))]))
 def _long_print(texts: pd.Series) -> pd.DataFrame:
-    hashes = [shingle_hashes(t, SHINGLE) for t in texts]
-    return pd.DataFrame({"n": [len(np.unique(h)) for h in hashes], "words": [part_prints(h) for h in hashes]})
+    rows = [(len(h), part_prints(h)) for h in (np.unique(shingle_hashes(t, SHINGLE)) for t in texts)]
+    return pd.DataFrame(rows, columns=["n", "words"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -169,6 +169,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     exactly on every candidate; groups are connected components. Equal texts are one text. The least doc_id stays. Texts
     without a word form one group.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select("doc_id", text_tag("text").alias("tag"), _long_print("text").alias("p"))
     rows = stage(rows.select("doc_id", "tag", "p.n", "p.words"), "near-prints")
     texts = rows.groupBy("tag").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("words").alias("words"))

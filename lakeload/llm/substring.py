@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeload.llm.common import table, text_tag
+from lakeload.llm.common import small_batches, table, text_tag
 from lakeload.workspace import stage
 
 SENTENCES, WORDS, LONG = 3, 16, 40
@@ -89,6 +89,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     Only hashes and places are shuffled. Spans are counted with map-side sums; a span that very many documents share is one
     row on one side of the join, and the other side is split.
     """
+    small_batches(documents.sparkSession)
     found = documents.select("doc_id", text_tag("text").alias("tag"), F.posexplode(_spans("text")).alias("pos", "h"))
     found = stage(found, "spans")
     known = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag", "pos")

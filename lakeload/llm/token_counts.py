@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeload.llm.common import table
+from lakeload.llm.common import small_batches, table
 
 #: Bounds of tier one: entries, characters of one entry, and the rows and partitions looked at to find frequent ones.
 TABLE_ENTRIES, ENTRY_CHARS, SAMPLE_PARTITIONS, SAMPLE_ROWS, SAMPLE_CHARS = 32_768, 48, 16, 256, 1 << 16
 #: Entries that a worker's cache holds at most, then it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 LIMIT = 2048
 #: Beyond this character the classes of two regular-expression libraries may differ; such texts go to the library whole.
 SAFE = "ɏ"
@@ -138,6 +138,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
     Null and empty texts have 0 bytes and tokens. Every row is counted for itself; repeated rows count alike. Strings of
     special tokens inside a text count as the library counts them by default. Columns of these names are replaced.
     """
+    small_batches(documents.sparkSession)
     pieces = frequent_pieces(documents, path)
     shared = documents.sparkSession.sparkContext.broadcast(length_table(path, pieces))
     counted = documents.withColumns(
