@@ -116,6 +116,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "revisit", F.col("headers")).alias("mine"),
         F.when(full & F.col("date").isNotNull(), known).alias("base"),
     )
+    narrow = stage(narrow, "warc-narrow")  # dealing by range reads it twice
     asof = ordered(narrow, ["address"], ["date", "full", "record_id"], "warc-asof", last="base")
     visits = asof.where(F.col("kind") == "revisit")
     named = F.col("address").isNotNull() & F.col("date").isNotNull()
@@ -181,7 +182,7 @@ def visits_of(pages: DataFrame) -> DataFrame:
 
 def op4_revisits(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "warc")
-    write_warc(visits_of(table(spark, sf, "pages")), folder)
+    write_warc(visits_of(table(spark, sf, "pages")), folder, "gzip")
     resolved = resolve_revisits(read_warc(spark, folder))
     names = F.sort_array(F.map_keys("headers"))
     lines = F.array_join(F.transform(names, lambda k: F.concat(k, F.lit("="), F.element_at("headers", k))), ";")
