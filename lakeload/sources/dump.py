@@ -133,13 +133,17 @@ def _unescape(text: SparkColumn) -> SparkColumn:
             part = F.replace(part, F.lit(escape), F.lit(meaning))
         return F.regexp_replace(part, r"(?s)\\(.)", "$1")
 
-    escaped = F.array_join(F.transform(F.split(text, r"\\\\"), piece), "\\")
-    doubled = F.when(F.contains(text, F.lit("''")), F.replace(text, F.lit("''"), F.lit("'"))).otherwise(text)
-    return F.when(F.contains(text, F.lit("\\")), escaped).otherwise(doubled)
+    return F.array_join(F.transform(F.split(text, r"\\\\"), piece), "\\")
 
 
 def _value(token: SparkColumn) -> SparkColumn:
-    quoted = _unescape(F.substring(token, F.lit(2), F.length(token) - 2))
+    """The text of a token. What is to be undone is looked for in the token as it is, so a plain one is cut out once."""
+    bare = F.substring(token, F.lit(2), F.length(token) - 2)
+    quoted = (
+        F.when(F.contains(token, F.lit("\\")), _unescape(bare))
+        .when(F.contains(token, F.lit("''")), F.replace(bare, F.lit("''"), F.lit("'")))
+        .otherwise(bare)
+    )
     is_null = (F.octet_length(token) == 4) & (F.upper(token) == "NULL")
     return F.when(token.startswith("'"), quoted).when(~is_null, token)
 
