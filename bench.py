@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from functools import partial
 from pathlib import Path
@@ -91,6 +92,7 @@ def main() -> None:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lakeload-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
