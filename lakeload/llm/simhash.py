@@ -9,12 +9,13 @@ lost, no group is gathered, and the rows grow with the number of fingerprints.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,16 +139,20 @@ def _shingle_set(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: np.unique(shingle_hashes(t, SHINGLE).view("i8")))
 
 
-def candidate_pairs(members: DataFrame) -> DataFrame:
-    """(src, dst) to compare, of ``members`` (id, n, t, word): texts that share a block and are of like length.
+def shared_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (id, n, t, word) whose block holds other texts too, with ``m``, the texts in it."""
+    shared = members.groupBy("t", "word").agg(F.count("*").alias("m")).where("m > 1")
+    # staged, for a join on top of its own grouping can't be split
+    return stage(members.join(stage(shared, "near-shared"), ["t", "word"]), "near-blocks")
+
+
+def candidate_pairs(met: DataFrame) -> DataFrame:
+    """(src, dst) to compare, of ``met`` (id, n, t, word, m) from ``shared_blocks``: texts that share a block and are of like length.
 
     In a block of few texts all are compared with each other. In a crowded one each is compared with two leaders: the text
     that meets most others over all its blocks, which is the original of a family of copies, and the least id. So a block
-    with very many texts gives two rows per text, never all pairs.
+    with very many texts gives two rows per text, never all pairs; ``crowd_pairs`` gives the rest of it.
     """
-    shared = members.groupBy("t", "word").agg(F.count("*").alias("m")).where("m > 1")
-    # staged, for a join on top of its own grouping can't be split
-    met = stage(members.join(stage(shared, "near-shared"), ["t", "word"]), "near-blocks")
     few = met.where(F.col("m") <= CROWD)
     pairs = few.select("t", "word", "id", "n").join(
         few.select("t", "word", F.struct("id", "n").alias("lead")), ["t", "word"]
@@ -162,11 +167,81 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     return both.select(F.least("id", "lead.id").alias("src"), F.greatest("id", "lead.id").alias("dst")).distinct()
 
 
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (src, dst) whose ``sets`` (tag, s) have the similarity."""
+    both = pairs.join(sets.select(F.col("tag").alias("src"), F.col("s").alias("a")), "src")
+    both = both.join(sets.select(F.col("tag").alias("dst"), F.col("s").alias("b")), "dst")
+    inter = F.size(F.array_intersect("a", "b"))
+    return both.where(inter >= SIMILARITY * (F.size("a") + F.size("b") - inter)).select("src", "dst")
+
+
+def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root) of the texts of crowded blocks whose members are in several groups of ``roots`` (node, root) so far."""
+    placed = met.where(F.col("m") > CROWD).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    placed = stage(placed.select("t", "word", "id", F.coalesce("root", "id").alias("root")), "near-crowds")
+    apart = placed.groupBy("t", "word").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return placed.join(stage(apart, "near-apart"), ["t", "word"], "left_semi").select("id", "root").distinct()
+
+
+def crowd_pairs(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """(src, dst) to compare, of ``crowd`` (id, root): every pair of different roots that can have the similarity.
+
+    Prefix filter: the shingles of each set (tag, s) are put in one order, rarest in the crowd first. If two sets are
+    similar, then at their first common shingle enough is left of both to make up their least overlap, so it lies in the first
+    ninth of the smaller and the first fifth of the larger one. What a crowd shares, a template say, comes last; a shingle of
+    it is among the first of few texts, or of texts that are similar. Texts of a block's largest group are only compared
+    with those outside it.
+    """
+    overlap = SIMILARITY / (1 + SIMILARITY)
+    listed = sets.join(crowd.withColumnRenamed("id", "tag"), "tag")
+    listed = listed.select(F.col("tag").alias("id"), "root", F.size("s").alias("n"), F.explode("s").alias("h"))
+    listed = stage(listed, "crowd-shingles")
+    often = stage(listed.groupBy("h").agg(F.count("*").alias("f")), "crowd-often")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "h")) - 1
+    first = listed.join(often, "h").withColumn("left", F.col("n") - place)
+    first = stage(first.where(f"f > 1 AND left >= {SIMILARITY} * n - 1e-6").drop("f"), "crowd-firsts")
+    held = stage(first.groupBy("h", "root").agg(F.count("*").alias("k")), "crowd-held")
+    held = held.groupBy("h").agg(F.max(F.struct("k", "root")).alias("most"), F.count("*").alias("roots"))
+    held = stage(held.where("roots > 1").select("h", F.col("most.root").alias("most")), "crowd-most")
+    first = stage(first.join(held, "h").withColumn("out", F.expr("root <> most")).drop("most"), "crowd-blocks")
+    small = first.where(f"left >= {2 * overlap} * n - 1e-6").alias("a")
+    large = first.alias("b")
+    can = F.expr(
+        f"a.h = b.h AND a.root <> b.root AND a.n <= b.n AND least(a.left, b.left) >= {overlap} * (a.n + b.n) - 1e-6"
+    )
+    both = small.where("a.out").join(large, can).unionAll(small.where("NOT a.out").join(large.where("b.out"), can))
+    return both.select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst")).distinct()
+
+
+def near_groups(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the texts that are similar to another one, of ``members`` (id, n, t, word).
+
+    ``sets_of`` gives the shingle sets (tag, s) of texts (tag). Pairs of candidates are linked first. Crowded blocks that are in
+    several groups then are searched for the links between these.
+    """
+    met = shared_blocks(members)
+    pairs = stage(candidate_pairs(met), "near-pairs")
+    asked = pairs.select(F.explode(F.array("src", "dst")).alias("tag"))
+    crowded = met.where(F.col("m") > CROWD).select(F.col("id").alias("tag"))
+    sets = stage(sets_of(asked.unionAll(crowded).distinct()), "near-sets")
+    roots = stage(components(alike(pairs, sets), "near-components"), "near-roots")
+    crowd = stage(unsettled(met, roots), "near-unsettled")
+    if crowd.isEmpty():
+        return roots
+    more = alike(stage(crowd_pairs(crowd, sets), "crowd-pairs"), sets)
+    more = more.join(crowd.select(F.col("id").alias("src"), F.col("root").alias("a")), "src")
+    more = more.join(crowd.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst")
+    joined = components(more.select(F.col("a").alias("src"), F.col("b").alias("dst")), "crowd-components")
+    joined = stage(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "crowd-roots")
+    nodes = roots.unionAll(crowd.join(roots, F.col("id") == F.col("node"), "left_anti"))
+    return nodes.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, tag, keep, copies) per distinct row: whether it is the document of its group that stays.
 
     Documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, which is checked
-    exactly on every candidate; groups are connected components. Equal texts are one text. The least doc_id stays. Texts
+    exactly on every candidate, in crowded blocks too; groups are connected components. Equal texts are one text. The least doc_id stays. Texts
     without a word form one group.
     """
     small_batches(documents.sparkSession)
@@ -175,18 +250,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts = rows.groupBy("tag").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("words").alias("words"))
     texts = stage(texts, "near-texts")
     members = texts.select(F.col("tag").alias("id"), "n", F.posexplode("words").alias("t", "word")).where("word IS NOT NULL")
-    pairs = stage(candidate_pairs(members), "near-pairs")
-    asked = pairs.select(F.explode(F.array("src", "dst")).alias("tag")).distinct()
-    asked = texts.join(asked, "tag", "left_semi").select("tag", F.col("doc_id").alias("first"))
-    whole = documents.select("doc_id", "text", text_tag("text").alias("tag")).alias("d")
-    whole = whole.join(asked.alias("a"), F.expr("d.tag = a.tag AND d.doc_id <=> a.first"), "left_semi")
-    sets = whole.select("tag", _shingle_set("text").alias("s")).dropDuplicates(["tag"])
-    sets = stage(sets, "near-sets")
-    both = pairs.join(sets.select(F.col("tag").alias("src"), F.col("s").alias("a")), "src")
-    both = both.join(sets.select(F.col("tag").alias("dst"), F.col("s").alias("b")), "dst")
-    inter = F.size(F.array_intersect("a", "b"))
-    alike = inter >= SIMILARITY * (F.size("a") + F.size("b") - inter)
-    roots = components(both.where(alike).select("src", "dst"), "near-components")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        first = texts.join(asked, "tag", "left_semi").select("tag", F.col("doc_id").alias("first"))
+        whole = documents.select("doc_id", "text", text_tag("text").alias("tag")).alias("d")
+        whole = whole.join(first.alias("a"), F.expr("d.tag = a.tag AND d.doc_id <=> a.first"), "left_semi")
+        return whole.select("tag", _shingle_set("text").alias("s")).dropDuplicates(["tag"])
+
+    roots = near_groups(members, sets_of)
     placed = texts.select("tag", "doc_id").join(roots.withColumnRenamed("node", "tag"), "tag", "left")
     placed = stage(placed.select("tag", "doc_id", F.coalesce("root", "tag").alias("root")), "near-placed")
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("b"))

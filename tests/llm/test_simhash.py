@@ -129,6 +129,29 @@ def test_near_duplicates_equal_brute_force(spark, family):
     assert {r.doc_id for r in got.collect()} == expected
 
 
+def templated(draw, name, template, common, own, pairs):
+    """Pairs that share the template and ``common`` words and differ in ``own`` words; other texts share the template only."""
+    word = lambda: f"{name}{draw.randrange(10**9)}"
+    head = [word() for _ in range(template)]
+    for _ in range(pairs):
+        both = head + [word() for _ in range(common)]
+        yield from (" ".join(both + [word() for _ in range(own)]) for _ in range(2))
+
+
+def test_near_pairs_under_a_shared_template(spark):
+    draw = random.Random(5)
+    families = [(80, 9, 10, 200), (304, 60, 45, 60), (92, 4, 11, 60), (94, 0, 11, 40)]
+    texts = [t for i, f in enumerate(families) for t in templated(draw, "abcd"[i], *f)]
+    base = [f"e{draw.randrange(10**9)}" for _ in range(150)]
+    texts += [" ".join(edited(base, draw, draw.randrange(1, 8))) for _ in range(120)]
+    draw.shuffle(texts)
+    sets = dict(enumerate(map(shingles, texts)))
+    root = union((a, b) for a in sets for b in sets if a < b and similar(sets[a], sets[b]) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in s.drop_near_duplicates(df).select("doc_id").collect()}
+    assert got == {i for i in sets if root.get(i, i) == i}
+
+
 def test_near_duplicates_of_the_given_documents(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     sets = {r.doc_id: shingles(r.text) for r in df.collect()}
