@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from lakeload.llm import substring as sub
 
 TYPE = "doc_id long, text string"
@@ -92,3 +94,36 @@ def test_a_span_in_very_many_documents_goes_from_all_but_the_first(spark):
     got = {r.d.doc_id: r.clean for r in sub.without_repeats(spark.createDataFrame(rows, TYPE)).collect()}
     assert got[0] == rows[0][1]
     assert all(plain(got[i]) == f"own words {i}. more words {i}." for i in range(1, 400))
+
+
+def whole_runs(rows):
+    """Sentences left if every repeated run of the size goes, however long, but for its first place."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, sub.xxhash.xxh64_intdigest(r[1] or "")))
+    seen, gone = {}, defaultdict(set)
+    for row in rows:
+        parts = sub.sentences(row[1] or "")
+        n = [len(p.split()) for p in parts]
+        for i in range(len(parts)):
+            for e in range(i + 1, len(parts) + 1):
+                if (e - i >= sub.SENTENCES and sum(n[i:e]) >= sub.WORDS) or sum(n[i:e]) >= sub.LONG:
+                    if seen.setdefault(plain(" ".join(parts[i:e])), (row, i)) != (row, i):
+                        gone[row].update(range(i, e))
+    return {row: plain("".join(p for k, p in enumerate(sub.sentences(row[1] or "")) if k not in gone[row])) for row in rows}
+
+
+def test_repeated_runs_go_whole(spark):
+    rows = corpus() + [(202, "A b.\n" * 60), (None, "x"), (203, None)]
+    sized = lambda k, n: f"{' '.join(f'p{k}.{n}.{i}' for i in range(n))}. "
+    for k, sizes in enumerate([(43, 8, 16), (40, 19, 2), (50, 3, 3, 3), (2, 1, 45, 1), (8, 43)]):
+        passage = "".join(sized(k, n) for n in sizes)
+        rows += [(300 + 2 * k, passage + "Own end."), (301 + 2 * k, f"Own {k}. " + passage + "Other end.")]
+    expected = whole_runs(rows)
+    assert [expected[r] for r in rows[-9::2]] == [f"own {k}. other end." for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = str(spark.conf.get("spark.checkpoint.dir")) + "/whole-runs"
+    df.write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: plain(r.text or "") for r in sub.op8_substring_dedup(spark, folder).collect()}
+    assert got == {i: t for (i, _), t in expected.items()}
+    df = df.withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: plain(r.text or "") for r in sub.drop_repeats(df, both=True).collect()}
+    assert got == {i: t for (i, text), t in expected.items() if t or not plain(text or "")}
