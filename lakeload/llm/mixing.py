@@ -21,7 +21,7 @@ SEED = 20_24
 RUN_ROWS, RUN_SLOTS = 512, 1 << 14
 #: Points are whole numbers below 2**31: multiples of an odd number next to 2**31 / phi, which never overflow a long.
 POINTS, STEP, CELL_BITS = 1 << 31, 1_327_217_885, 21
-BLANKS = r"' \t\n\r\u000B\f'"
+BLANKS = r"' \t\n\r\u000B\u000C'"
 
 
 def word_count(text: str = "text") -> F.Column:

@@ -113,3 +113,10 @@ def test_word_count_of_odd_blanks(spark):
     expected = [len((t or "").encode().split()) for t in texts]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", m.word_count().alias("n"))
     assert [r.n for r in df.orderBy(F.col("i")).collect()] == expected
+
+
+def test_word_count_of_form_feeds_and_the_letter_f(spark):
+    texts = ["f", "f a b", "a b ff", "a b\x0c", "\x0ca b", "\x0c", "\x0cf\x0c", "\x0b\x0c a f \x0c\n"]
+    expected = [len(t.encode().split()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", m.word_count().alias("n"))
+    assert [r.n for r in df.orderBy("i").collect()] == expected
