@@ -12,6 +12,7 @@ from lakeload.llm.token_counts import op2_token_counts
 from lakeload.llm.toxicity import op11_toxicity
 from lakeload.llm.url_filter import SQL10, op10_url_filter
 from lakeload.llm.warc import SQL4, op4_revisits
+from lakeload.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
     "op11_toxicity": op11_toxicity,
+    "op12_whitening": op12_whitening,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 ORACLE = {
