@@ -137,19 +137,22 @@ def _pass(shared, heft: float):
         for block, rows in groupby(documents(batches), key=itemgetter(3)):
             z, n = state.astype("f8")
             learn_block(z, n, (row[:3] for row in rows))
-            change = (np.stack([z, n]) - state).astype("f4").tobytes()
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "change": [change]})
+            touched = np.flatnonzero(n > state[1])
+            change = (np.stack([z[touched], n[touched]]) - state[:, touched]).astype("f4")
+            made = {"block": pa.array([block], pa.int32()), "places": [touched.astype("i4").tobytes()]}
+            yield pa.RecordBatch.from_pydict(made | {"change": [change.tobytes()]})
 
     return run
 
 
-def mix(state: np.ndarray, changes: list[bytes]) -> np.ndarray:
-    """The state after a pass: each coordinate changed by the mean over the blocks that touched it."""
+def mix(state: np.ndarray, changes: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """The state after a pass: each coordinate changed by the mean over the blocks that touched it. A block tells the places
+    that it touched and by how much each row of the state changed there."""
     total, touched = np.zeros(state.shape), np.zeros(state.shape[1])
-    for change in changes:
-        change = np.frombuffer(change, "f4").reshape(state.shape)
-        total += change
-        touched += change[1] > 0
+    for places, change in changes:
+        places = np.frombuffer(places, "i4")
+        total[:, places] += np.frombuffer(change, "f4").reshape(2, -1)
+        touched[places] += 1
     return (state + total / np.maximum(touched, 1)).astype("f4")
 
 
@@ -200,9 +203,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS)
     state = np.zeros((2, SPACE + 1), "f4")
     for _ in range(PASSES):
         shared = spark.sparkContext.broadcast(state)
-        # one row for each block: at most 2 * sample / BLOCK_DOCUMENTS + 1 states of fixed size
-        changes = staged.mapInArrow(_pass(shared, heft), "block int, change binary").collect()
-        state = mix(state, [r.change for r in sorted(changes, key=lambda r: r.block)])
+        # one row for each block: at most 2 * sample / BLOCK_DOCUMENTS + 1 parts of a state of fixed size
+        changes = staged.mapInArrow(_pass(shared, heft), "block int, places binary, change binary").collect()
+        changes.sort(key=lambda r: r.block)
+        state = mix(state, [(r.places, r.change) for r in changes])
+        del changes
         shared.destroy()
     w = weights(*state.astype("f8"), penalties())
     places = np.flatnonzero(w[:SPACE]).astype("i4")
