@@ -195,7 +195,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS)
     block = F.expr(f"CAST(pmod(place, {blocks}) AS INT)").alias("block")
     dealt = made.select("*", block).repartition(blocks, "block").sortWithinPartitions("block", "place")
     dealt.write.partitionBy("block").parquet(folder)
-    staged = spark.read.parquet(folder)
+    staged = spark.read.schema("label int, place long, features binary, block int").parquet(folder)
     met = {r.label: r.n for r in staged.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not met:
         return none

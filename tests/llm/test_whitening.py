@@ -1,0 +1,98 @@
+"""Whitening against a dense eigendecomposition."""
+
+import numpy as np
+import pytest
+
+from lakeload.llm import whitening as wh
+
+SCHEMA = "vec_id bigint, embedding array<float>, component int, n string"
+
+
+def embeddings(spark, vectors, ids=None):
+    ids = range(len(vectors)) if ids is None else ids
+    rows = [(i, None if v is None else [None if e is None else float(e) for e in v], 7, "clash") for i, v in zip(ids, vectors, strict=True)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+class Matrix:
+    def __init__(self, m):
+        self.m, self.d, self.passes = m, len(m), 0
+
+    def __matmul__(self, u):
+        self.passes += 1
+        return self.m @ u
+
+
+def spectra():
+    rng = np.random.default_rng(0)
+    wide, few = rng.normal(size=(400, 120)), rng.normal(size=(3, 50))
+    yield wide.T @ wide
+    yield few.T @ few  # of rank 3
+    yield np.diag([5, 5, 5, 5, 1, 1, 1, 1, 1, 1, 0, 0.0])  # repeated eigenvalues
+    yield np.zeros((10, 10))
+    yield np.array([[3.0]])
+    yield np.diag(np.r_[1e8, np.linspace(2, 1, 99)])
+
+
+@pytest.mark.parametrize("m", list(spectra()))
+def test_pairs_reach_double_precision(m):
+    values, vectors, residuals = wh.jacobi_davidson(Matrix(m), len(m), 8)
+    expected = np.linalg.eigvalsh(m)[::-1][: len(values)]
+    scale = max(abs(expected[0]), 1.0)
+    assert len(values) == min(8, len(m))
+    assert np.abs(values - expected).max() < 1e-13 * scale
+    assert np.abs(m @ vectors - vectors * values).max() < 1e-13 * scale and residuals.max() < 1e-13 * scale
+    assert np.abs(vectors.T @ vectors - np.eye(len(values))).max() < 1e-13
+
+
+def test_minres_solves_each_column():
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(30, 30))
+    m = m + m.T  # indefinite
+    rhs = np.stack([rng.normal(size=30), np.zeros(30), rng.normal(size=30)], axis=1)
+    x = wh.minres(lambda q: m @ q, rhs, 200, 1e-10)
+    assert np.abs(m @ x - rhs).max() < 1e-6 and not x[:, 1].any()
+
+
+def test_equals_dense_decomposition(spark):
+    rng = np.random.default_rng(2)
+    vectors = (rng.normal(size=(300, 20)) @ np.diag(np.linspace(1, 0.1, 20)) * 0.3).astype("f4")
+    vectors = np.concatenate([vectors, np.repeat(vectors[:1], 150, axis=0)])  # a third are copies
+    x = np.floor(1024 * vectors.astype("f8")).astype("i8") + 100_000
+    n, sums = len(x), x.sum(axis=0)
+    values, directions = np.linalg.eigh(np.cov(x.T, bias=True))
+    values, directions = values[::-1][:8], directions[:, ::-1][:, :8]
+    got = wh.whitened_embeddings(embeddings(spark, vectors)).collect()
+    assert len(got) == 8 * n
+    table = np.zeros((n, 8))
+    for r in got:
+        table[r.vec_id, r.component - 1] = r.whitened
+        assert r.n == n and r.deviation == sum((n * int(e) - int(s)) ** 2 for e, s in zip(x[r.vec_id], sums, strict=True))
+        assert r.explained == pytest.approx(values[r.component - 1] / np.trace(np.cov(x.T, bias=True)), rel=1e-9)
+        assert r.identity_error < 1e-9
+    expected = (x - sums / n) @ directions / np.sqrt(values)
+    sign = np.sign((table * expected).sum(axis=0))
+    assert np.abs(table - expected * sign).max() < 1e-9
+
+
+def test_deviations_beyond_a_long_are_null():
+    x = np.array([[0, 0], [1 << 40, 5]])
+    assert wh._deviations(x, 1, [0, 0]) == [0, None]
+    assert wh._deviations(x, 1, [1 << 40, 0]) == [None, 25]
+    assert wh._deviations(np.array([[3, 4]]), 10, [0, 0]) == [2500]
+
+
+def test_rows_that_are_left_out_and_odd_ones(spark):
+    rng = np.random.default_rng(4)
+    good = [list(v) for v in rng.normal(size=(5, 3))]
+    vectors = [*good, None, [1.0, None, 2.0], [1.0, float("nan"), 2.0], [float("inf"), 1.0, 2.0], [1.0, 2.0], [], [3e38, 1, 1], good[0]]
+    ids = [0, 1, 2, 3, None, 5, 6, 7, 8, 9, 10, 11, 0]
+    got = wh.whitened_embeddings(embeddings(spark, vectors, ids)).collect()
+    assert len(got) == 6 * 3 and {r.n for r in got} == {6}
+    assert sorted({str(r.vec_id) for r in got}) == ["0", "1", "2", "3", "None"]
+
+
+@pytest.mark.parametrize("vectors", [[], [None], [[1.0, 2.0]], [[0.5, 0.5]] * 4])
+def test_nothing_to_tell_apart_gives_no_row(spark, vectors):
+    got = wh.whitened_embeddings(embeddings(spark, vectors))
+    assert got.collect() == [] and len(got.columns) == 7
