@@ -75,19 +75,22 @@ def put(df: DataFrame, source: JdbcSource, name: str) -> None:
     jdbc_write(df, source, name, batch_size=5000, column_types=text or None)
 
 
-def _literal(df: DataFrame, name: str) -> SparkColumn:
+def _literal(df: DataFrame, name: str, line_ends: bool = False) -> SparkColumn:
     kind = dict(df.dtypes)[name]
     text = F.col(name).cast("string")
     if kind in ("string", "date", "timestamp", "timestamp_ntz"):
-        for raw, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
+        escapes = (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"))
+        for raw, escaped in escapes[:2] if line_ends else escapes:
             text = F.replace(text, F.lit(raw), F.lit(escaped))
         text = F.concat(F.lit("'"), text, F.lit("'"))
     return F.coalesce(text, F.lit("NULL"))
 
 
-def render_dump(df: DataFrame, name: str, rows_per_statement: int = 1) -> str:
-    """Write ``df`` as INSERT statements and return the folder. Statements are cut within a task, without a shuffle."""
-    fields = F.concat_ws(",", *[_literal(df, c) for c in df.columns])
+def render_dump(df: DataFrame, name: str, rows_per_statement: int = 1, line_ends: bool = False) -> str:
+    """Write ``df`` as INSERT statements and return the folder. Statements are cut within a task, without a shuffle.
+
+    ``line_ends``: those inside texts are written as they are."""
+    fields = F.concat_ws(",", *[_literal(df, c, line_ends) for c in df.columns])
     rows = df.select(F.concat(F.lit("("), fields, F.lit(")")).alias("value"))
     opening = f"INSERT INTO `{name}` VALUES "
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column as SparkColumn
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeload.operators.typed import typed_projection
@@ -27,7 +27,8 @@ NO_ROWS = (
     r"\b.*)?$"
 )
 HEADER = INSERT + r"\s*(?:\(([^)']*)\)\s*)?VALUES?\s*"
-STATEMENT_END = r";[ \t\r]*\r?\n"
+# Behind the end of a statement; what ended it stays with it.
+STATEMENT_END = r"(?<=;[ \t\r]{0,64}\n)"
 # One item each, tied to the end of the item before; the first needs no comma.
 TUPLE = rf"(?s)\G(?:^|(?!^),)\s*\((?:{QUOTED}|[^'()]++)*+\)\s*"
 FIELD = rf"(?s)\G(?:^|(?!^),)\s*(?:{QUOTED}|[^,'\s][^,']*+)\s*"
@@ -58,6 +59,7 @@ def _files_by_record_end(spark: SparkSession, part: str) -> dict[str, list[str]]
 
 
 def _records(spark: SparkSession, parts: Sequence[str]) -> list[DataFrame]:
+    """Per part and kind of line end: ``record`` (its place), ``piece`` and ``text``; ``end`` is what was cut off a record."""
     pieces = F.when(F.contains("value", F.lit(";")), F.split("value", STATEMENT_END)).otherwise(F.array("value"))
     read = []
     for number, part in enumerate(parts):
@@ -72,18 +74,120 @@ def _records(spark: SparkSession, parts: Sequence[str]) -> list[DataFrame]:
                         F.col("_metadata.file_block_start").alias("block"),
                         F.monotonically_increasing_id().alias("place"),
                     ).alias("record"),
-                    F.posexplode(pieces).alias("piece", "text"),
+                    pieces.alias("pieces"),
+                    F.lit(end).alias("end"),
                 )
             )
     return read
 
 
-def dump_statements(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
+def _uncommented(text: SparkColumn) -> SparkColumn:
+    has_comment = F.contains(text, F.lit("--")) & text.rlike(r"(?m)^[ \t]*--")
+    return F.when(has_comment, F.regexp_replace(text, COMMENT_LINES, "$1")).otherwise(text)
+
+
+def _ends_inside(text: SparkColumn) -> SparkColumn:
+    """Whether a text that begins outside quotes and has no comment ends inside them: a doubled quote changes nothing."""
+    plain = F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"(?s)\\.", "")).otherwise(text)
+    return (F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit("'"), F.lit("")))) % 2 == 1
+
+
+def _state(start: SparkColumn | str, flips: SparkColumn | str, fixed: SparkColumn | str) -> SparkColumn:
+    """The state after a run of pieces: that of the last piece which settles it, turned over by each flip since."""
+    turned = lambda n: n % 2 == 1
+    start, flips, fixed = (c if isinstance(c, SparkColumn) else F.col(c) for c in (start, flips, fixed))
+    return F.when(fixed.isNull(), start != turned(flips)).otherwise(fixed["to"] != turned(flips - fixed["flips"]))
+
+
+def _composed(rows: DataFrame, order: Window) -> DataFrame:
+    """Adds ``flips`` and ``fixed`` of all rows up to each: with ``_state`` the composition of their (from_out, from_in)."""
+    counted = rows.withColumn("flips", F.sum((F.col("from_out") & ~F.col("from_in")).cast("long")).over(order))
+    settles = F.when(F.col("from_out") == F.col("from_in"), F.struct(F.col("from_out").alias("to"), "flips"))
+    return counted.withColumn("fixed", F.last(settles, ignorenulls=True).over(order))
+
+
+def _quoted_groups(pieces: DataFrame) -> DataFrame:
+    """(record, piece, head) of the pieces that begin or end inside a quoted text; ``head`` is where their statement begins.
+
+    ``pieces`` has, besides its place, the state (inside quotes or not) after the piece from either state before it. A split
+    of a file is composed from both start states by itself; then the few splits of each file are composed in order, which
+    tells the state that each one starts in. Only places and states are shuffled.
+    """
+    split, file = ["record.part", "record.file", "record.block"], ["part", "file"]
+    order = Window.partitionBy(*split).orderBy("record.place", "piece")
+    place = F.struct("record.block", "record.place", "piece")
+    rows = _composed(pieces.withColumn("at", place), order)
+    ended = rows.groupBy(*split).agg(
+        F.max_by(_state(F.lit(False), "flips", "fixed"), "at").alias("from_out"),
+        F.max_by(_state(F.lit(True), "flips", "fixed"), "at").alias("from_in"),
+    )
+    over = Window.partitionBy(*file).orderBy("block")
+    starts = _composed(stage(ended, "dump-splits"), over)
+    starts = starts.withColumn("begins", F.lag(_state(F.lit(False), "flips", "fixed"), 1, False).over(over))
+    rows = rows.join(starts.select(*file, "block", "begins"), [F.col(f"record.{c}") == F.col(c) for c in [*file, "block"]])
+    rows = rows.withColumn("after", _state("begins", "flips", "fixed"))
+    rows = rows.withColumn("before", F.coalesce(F.lag("after").over(order), "begins"))
+    rows = rows.withColumn("head", F.last(F.when(~F.col("before"), F.col("at")), ignorenulls=True).over(order))
+    rows = stage(rows.select("record", "piece", "at", "before", "after", "begins", "head"), "dump-states")
+    heads = rows.groupBy(*split).agg(F.max_by("head", "at").alias("last_head"))
+    carried = F.last("last_head", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    heads = stage(heads.select(*file, "block", carried.alias("carried")), "dump-heads")
+    met = rows.where("before OR after").join(heads, [F.col(f"record.{c}") == F.col(c) for c in [*file, "block"]])
+    return met.select("record", "piece", F.coalesce("head", "carried").alias("head"), "after")
+
+
+def _exact(records: DataFrame) -> DataFrame:
+    """``record``, ``piece`` and ``text`` of the statements of ``records``, none of which is cut inside a quoted text.
+
+    Pieces that the automaton puts into one statement are joined if together they are a well-formed insert. If they aren't,
+    as after a quote that is never closed, each piece is a statement of its own: one bad statement does not take the rest
+    of the file with it. The texts of these pieces alone are shuffled.
+    """
+    last = F.col("piece") == F.size("pieces") - 1
+    pieces = records.select("record", "end", "pieces", F.posexplode("pieces").alias("piece", "text"))
+    pieces = pieces.withColumn("text", F.when(last, F.concat("text", "end")).otherwise(F.col("text")))
+    inside = F.concat(F.lit("'"), F.col("text"))
+    pieces = stage(
+        pieces.select(
+            "record", "piece", "text",
+            _ends_inside(_uncommented(F.col("text"))).alias("from_out"),
+            _ends_inside(_uncommented(inside)).alias("from_in"),
+        ),
+        "dump-pieces",
+    )
+    cut = pieces.where("from_out").select("record.part", "record.file").distinct()
+    concerned = pieces.drop("text").join(
+        cut, [F.col("record.part") == cut["part"], F.col("record.file") == cut["file"]], "left_semi"
+    )
+    groups = stage(_quoted_groups(concerned), "dump-groups")
+    alone = pieces.join(groups, ["record", "piece"], "left_anti").select("record", "piece", "text")
+    parts = pieces.join(groups, ["record", "piece"]).select(
+        "record.part", "record.file", "head",
+        F.struct("record.block", "record.place", "piece", "after", "record", "text").alias("p"),
+    )
+    joined = parts.groupBy("part", "file", "head").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    text = F.array_join("ps.text", "")
+    body = F.rtrim(F.regexp_replace(_uncommented(text), HEADER, ""), F.lit(";" + SPACE))
+    closed = ~F.element_at("ps", -1)["after"] & text.rlike(INSERT)
+    joined = joined.select("ps", text.alias("text"), closed.alias("closed"), body.alias("body"))
+    tuples = F.regexp_extract_all("body", F.lit(TUPLE), F.lit(0))
+    joined = joined.withColumn("whole", F.col("closed") & (F.size(tuples) > 0) & _covers(tuples, F.col("body")))
+    one = joined.where("whole").select(F.col("ps")[0]["record"].alias("record"), F.col("ps")[0]["piece"].alias("piece"), "text")
+    many = joined.where("NOT coalesce(whole, false)").select(F.explode("ps").alias("p")).select("p.record", "p.piece", "p.text")
+    return alone.unionByName(one).unionByName(many)
+
+
+def dump_statements(
+    spark: SparkSession, parts: Sequence[str], exact: bool = False, cut: Observation | None = None
+) -> DataFrame:
     """Statements of the files in ``parts``: batch, table, column list (or empty) and text after VALUES.
 
     ``batch`` orders statements as a client would apply them: part, file, place in the file. It counts rows of one scan,
     so stage the result before using it twice. ``INSERT IGNORE`` is read like ``INSERT``: its batch loads or is refused as
     one. A statement that is neither an insert nor one known to add no rows has no table and its whole text as body.
+
+    A statement ends at a semicolon that ends a line. With ``exact``, one inside a quoted text does not count, which takes
+    further passes over places, not texts; without it, ``cut`` observes as ``inside`` whether any statement was so cut.
     """
     read = _records(spark, parts)
     if not read:  # no file in any part
@@ -93,10 +197,14 @@ def dump_statements(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
             "column_list string, body string, has_values boolean",
         )
     records = reduce(DataFrame.union, read)
-    has_comment = F.contains("text", F.lit("--")) & F.col("text").rlike(r"(?m)^[ \t]*--")
-    text = F.when(has_comment, F.regexp_replace("text", COMMENT_LINES, "$1")).otherwise(F.col("text"))
+    if exact:
+        records = _exact(records)
+    else:
+        records = records.select("record", F.posexplode("pieces").alias("piece", "text"))
     batch = F.struct("record.part", "record.file", "record.block", "record.place", "piece")
-    told = records.select(batch.alias("batch"), text.alias("text"))
+    told = records.select(batch.alias("batch"), _uncommented(F.col("text")).alias("text"))
+    if cut is not None:
+        told = told.observe(cut, F.max(_ends_inside(F.col("text"))).alias("inside"))
     told = told.withColumn("is_insert", F.col("text").rlike(INSERT))
     told = told.filter(F.col("is_insert") | ~F.rtrim("text", F.lit(";" + SPACE)).rlike(NO_ROWS))
     headed = told.withColumn("header", F.when(F.col("is_insert"), F.regexp_extract("text", HEADER, 0)).otherwise(""))
@@ -112,9 +220,10 @@ def dump_statements(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
     )
 
 
-def _covers(items: str, text: str) -> SparkColumn:
-    """Whether the matched items, each beginning where the one before ended, make up the whole text."""
-    return F.array_join(items, "") == F.col(text)
+def _covers(items: SparkColumn | str, text: SparkColumn | str) -> SparkColumn:
+    """Whether the matched items, each beginning where the one before ended, make up the whole text: their sizes tell."""
+    sizes = F.aggregate(items, F.lit(0), lambda n, item: n + F.octet_length(item))
+    return sizes == F.octet_length(text)
 
 
 def _bare(item: SparkColumn) -> SparkColumn:
@@ -202,9 +311,15 @@ def dump_rows(statements: DataFrame, spec: TableSpec, unit: str = "statement") -
 def dump_scan(spark: SparkSession, parts: Sequence[str], spec: TableSpec, unit: str = "statement") -> DataFrame:
     """Rows of one table from one or several dump files, appended without removing duplicates, ready for reuse.
 
-    Written once to the shared folder: the batch holds a scan position, which a second scan need not repeat.
+    Written once to the shared folder: the batch holds a scan position, which a second scan need not repeat. Semicolons that
+    end a line inside a quoted text are rare, so they are looked for on the way; only if there are any, the files are read
+    again and cut exactly.
     """
-    return stage(dump_rows(dump_statements(spark, parts), spec, unit), f"dump-{spec.name}")
+    cut = Observation()
+    loaded = stage(dump_rows(dump_statements(spark, parts, cut=cut), spec, unit), f"dump-{spec.name}")
+    if not any(_files_by_record_end(spark, part) for part in parts) or not cut.get["inside"]:
+        return loaded
+    return stage(dump_rows(dump_statements(spark, parts, exact=True), spec, unit), f"dump-{spec.name}")
 
 
 def dump_format_check(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
@@ -221,7 +336,7 @@ def dump_format_check(spark: SparkSession, parts: Sequence[str]) -> DataFrame:
         lines.filter((F.col("line") != "") & ~F.col("line").startswith("--"))
         .groupBy("file")
         .agg(
-            F.max(F.contains("line", F.lit("INSERT INTO"))).alias("has_insert"),
+            F.max(F.col("line").rlike(INSERT)).alias("has_insert"),
             F.max_by(F.col("line").endswith(";"), "place").alias("ended"),
         )
     )

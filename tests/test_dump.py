@@ -238,3 +238,60 @@ def test_statement_order_survives_file_splits(spark, tmp_path):
         assert [r["customer_id"] for r in loaded.orderBy("batch").collect()] == list(range(2000))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("split", ["64", "100000"])
+def test_semicolons_that_end_lines_inside_quotes(spark, tmp_path, split):
+    """Whatever the splits: texts that hold the end of a statement, look like statements, or hold other quotes."""
+    bodies = {
+        1: "note;\nmore",
+        2: "a;\nINSERT INTO notes VALUES (99,\\'no\\');\nb",
+        3: "it\\'s;\n\\\\",
+        4: "''quoted'';\n-- no comment\n''",
+        5: ";\n;\n;\n",
+        6: "plain",
+        7: "x" * 300 + ";\n" + "y" * 300 + "; \n" + "z",
+    }
+    lines = ["-- it's a dump;"]
+    for i, body in bodies.items():
+        lines += [f"INSERT INTO `notes` VALUES ({i},'{body}');", f"INSERT INTO notes VALUES ({i + 10},'o');", "-- don't;"]
+    lines += ["INSERT INTO other VALUES ('x;\nINSERT INTO notes VALUES (98);\n');", "INSERT INTO notes VALUES (20,'last')"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        loaded = scan(spark, tmp_path, "\n".join(lines) + ";\n")
+        assert loaded.filter("size(errors) > 0").isEmpty()
+        found = by_id(loaded)
+        order = [r["id"] for r in loaded.orderBy("batch").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert order == [n for i in bodies for n in (i, i + 10)] + [20]
+    expected = {i: b.replace("\\\\", "\0").replace("\\'", "'").replace("''", "'").replace("\0", "\\") for i, b in bodies.items()}
+    assert {i: found[i] for i in bodies} == expected and found[20] == "last"
+
+
+def test_a_quote_that_is_never_closed_takes_one_statement(spark, tmp_path):
+    text = "".join(f"INSERT INTO notes VALUES ({i},'{'x;\ny' if i == 2 else 'x'}');\n" for i in range(4))
+    text += "INSERT INTO notes VALUES (4,'open);\n" + "".join(f"INSERT INTO notes VALUES ({i},'z');\n" for i in range(5, 9))
+    loaded = scan(spark, tmp_path, text)
+    good = by_id(loaded.filter("size(errors) = 0"))
+    assert sorted(good) == [0, 1, 2, 3, 5, 6, 7, 8] and good[2] == "x;\ny"
+    assert [r["raw"] for r in loaded.filter("size(errors) > 0").collect()] == ["(4,'open)"]
+
+
+def test_line_ends_of_both_kinds_inside_quotes(spark, tmp_path):
+    path = tmp_path / "dos.dump"
+    path.write_bytes(b"INSERT INTO notes VALUES (1,'a;\r\nb;\nc');\r\nINSERT INTO notes VALUES (2,'d');\r\n")
+    assert by_id(dump_scan(spark, [str(path)], NOTES)) == {1: "a;\r\nb;\nc", 2: "d"}
+
+
+def test_inserts_of_any_spelling_are_expected(spark, tmp_path):
+    files = [
+        write(tmp_path, f"{n}.dump", text)
+        for n, text in enumerate(
+            ["INSERT IGNORE INTO `t` VALUES (1);\n", "insert into t values (1);\n", "  Insert  Into db.t VALUES (1);\n", "UPDATE t;\n"]
+        )
+    ]
+    report = {r["file"].rsplit("/", 1)[1]: r["status"] for r in dump_format_check(spark, files).collect()}
+    assert report == {"0.dump": "ok", "1.dump": "ok", "2.dump": "ok", "3.dump": "unexpected_format"}
