@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeload.operators.components import components
@@ -25,6 +25,10 @@ from lakeload.specs import TableSpec
 from lakeload.workspace import stage
 
 
+#: So many contested pairs of key and batch one task walks by itself, in order; that bounds what it holds.
+WALKED_AT_ONCE = 20_000
+
+
 @dataclass(frozen=True)
 class Quarantine:
     good: DataFrame
@@ -88,16 +92,42 @@ def _contested(pairs: DataFrame) -> DataFrame:
     return stage(pairs.join(stage(shared.select("key"), "shared"), "key", "left_semi"), "contested")
 
 
-def _first_of_all(pairs: DataFrame) -> DataFrame:
-    """Batches that are the first holder of every key they contest."""
-    first = stage(pairs.groupBy("key").agg(F.min("batch").alias("first")), "first")
-    return (
-        pairs.join(first, "key")
-        .groupBy("batch")
-        .agg(F.bool_and(F.col("batch") == F.col("first")).alias("first_of_all"))
-        .filter("first_of_all")
-        .select("batch")
+def _claims(pairs: DataFrame) -> DataFrame:
+    """Per batch, which batches before it hold one of its keys: ``up``, if it is one alone; ``kind`` is root (none), single
+    (one) or joint (several, or keys with more than two holders)."""
+    keys = pairs.groupBy("key").agg(F.min("batch").alias("first"), F.count(F.lit(1)).alias("holders"))
+    held = pairs.join(stage(keys, "first"), "key")
+    before = F.when(F.col("first") < F.col("batch"), F.col("first"))
+    told = held.groupBy("batch").agg(
+        F.min(before).alias("up"),
+        F.max(before).alias("other"),
+        F.bool_or(before.isNotNull() & (F.col("holders") > 2)).alias("crowded"),
     )
+    kind = F.when(F.col("up").isNull(), "root").when(~F.col("crowded") & F.expr("up = other"), "single").otherwise("joint")
+    return stage(told.select("batch", kind.alias("kind"), F.when(kind == "single", F.col("up")).alias("up")), "claims")
+
+
+def _settle_chains(claims: DataFrame) -> DataFrame:
+    """(batch, loads) of the roots and of every batch from which single claims lead to a root.
+
+    Such a batch loads if and only if its one earlier claimant does not, so the number of steps to the root, odd or even,
+    decides. Pointer doubling: each round replaces a pointer by that of the batch it points to, so a chain of n batches takes
+    about log2(n) rounds, each a join of numbers that spreads over all tasks. A batch that reached an end leaves the rounds.
+    """
+    kinds = claims.select(F.col("batch").alias("up"), "kind")
+    now = claims.where("kind = 'single'").select("batch", "up").join(kinds, "up")
+    pointers = stage(now.select("batch", "up", F.lit(True).alias("odd"), F.col("kind").alias("end")), "pointers")
+    ended = [pointers.where("end <> 'single'")]
+    open_ones = pointers.where("end = 'single'")
+    while not open_ones.isEmpty():
+        known = reduce(DataFrame.union, ended).union(open_ones)
+        step = open_ones.alias("o").join(known.alias("k"), F.col("o.up") == F.col("k.batch"))
+        odd = F.col("o.odd") != F.col("k.odd")
+        pointers = stage(step.select("o.batch", "k.up", odd.alias("odd"), "k.end"), "pointers")
+        ended.append(pointers.where("end <> 'single'"))
+        open_ones = pointers.where("end = 'single'")
+    settled = reduce(DataFrame.union, ended).where("end = 'root'").select("batch", (~F.col("odd")).alias("loads"))
+    return settled.union(claims.where("kind = 'root'").select("batch", F.lit(True)))
 
 
 def _walk(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,33 +168,45 @@ def _settle_components(pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_walk, "batch bigint")
 
 
+def _walk_at_once(pairs: DataFrame) -> DataFrame:
+    """Batches refused among a bounded number of ``pairs``, walked in one task."""
+    number = F.dense_rank().over(Window.orderBy(F.asc_nulls_first("batch"))).cast("bigint")
+    numbered = stage(pairs.select("key", "batch", number.alias("number")), "numbered")
+    one = numbered.select(F.lit(0).alias("component"), F.col("number").alias("batch"), "key")
+    late = one.repartition(1).sortWithinPartitions("batch").mapInArrow(_walk, "batch bigint")
+    return numbered.select("batch", "number").distinct().join(late.select(F.col("batch").alias("number")), "number").select("batch")
+
+
 def _later_claims(pairs: DataFrame) -> DataFrame:
     """Batches refused because an accepted earlier batch took one of their keys; equals applying them one by one.
 
-    Contested batches are numbered in order once. A round accepts the batches that are first at all their keys and
-    refuses the others that hold a key so taken. That decides nearly all at once. Once a round decides less than half of
-    what is open, as with chains in which each batch overlaps the next, the rest is settled by connected component.
+    Up to WALKED_AT_ONCE contested pairs are walked in one task. More are numbered in order once and settled in rounds: a
+    round settles every batch that has no earlier claimant or a chain of single ones, however long, by pointer doubling, and
+    refuses the others that hold a key so taken. That decides nearly all at once. Once a round decides less than half of what
+    is open, which takes batches that each contest keys with several others, the rest is settled by connected component.
     """
     pairs = _contested(pairs)
+    left = pairs.count()
+    if left <= WALKED_AT_ONCE:
+        return _walk_at_once(pairs)
     named = pairs.select(F.col("batch").isNotNull().alias("present"), "batch").distinct()
     numbers = number_rows(named, ["present", "batch"], "number")
     numbers = stage(numbers.select("batch", "number"), "numbers")
     numbered = pairs.alias("p").join(numbers.alias("n"), _same_batch("p.batch", "n.batch"))
     pairs = stage(numbered.select("key", F.col("number").alias("batch")), "open")
-    refused, left = [], pairs.count()
+    refused = []
     while left > 0:
-        accepted = stage(_first_of_all(pairs), "accepted")
-        taken = stage(pairs.join(accepted, "batch", "left_semi").select("key").distinct(), "taken")
-        late = pairs.join(taken, "key", "left_semi").join(accepted, "batch", "left_anti")
+        settled = stage(_settle_chains(_claims(pairs)), "settled")
+        taken = stage(pairs.join(settled.where("loads"), "batch", "left_semi").select("key").distinct(), "taken")
+        late = pairs.join(taken, "key", "left_semi").join(settled.where("loads"), "batch", "left_anti")
         late = stage(late.select("batch").distinct(), "refused")
         refused.append(late)
-        pairs = _contested(pairs.join(accepted, "batch", "left_anti").join(late, "batch", "left_anti"))
+        known = settled.where("loads").select("batch").union(late)
+        pairs = _contested(pairs.join(known, "batch", "left_anti"))
         before, left = left, pairs.count()
         if left > before / 2:
             refused.append(stage(_settle_components(pairs), "refused"))
             break
-    if not refused:
-        return numbers.select("batch").limit(0)
     late = reduce(DataFrame.union, refused).select(F.col("batch").alias("number"))
     return numbers.join(late, "number").select("batch")
 

@@ -1,0 +1,61 @@
+"""The rows that differ, against sets of rows."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from lakeload.operators import difference
+from lakeload.operators.difference import differing_rows
+
+SCHEMA = "k int, part string, v double, note string"
+
+
+def brute(source, lake):
+    def by_key(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r[:2], Counter())[r] += 1
+        return out
+
+    left, right, told = by_key(source), by_key(lake), {}
+    for key in left.keys() | right.keys():
+        a, b = left.get(key, Counter()), right.get(key, Counter())
+        if a != b:
+            same = a.total() == b.total()
+            told[key] = "lost" if not b else "added" if not a else "changed" if same else "copies"
+    return told
+
+
+@pytest.mark.parametrize("leaf_rows", [1, 256])
+def test_lost_added_changed_and_copied_rows(spark, monkeypatch, leaf_rows):
+    monkeypatch.setattr(difference, "LEAF_ROWS", leaf_rows)
+    rng = random.Random(leaf_rows)
+    source = [(rng.choice([None, *range(500)]), rng.choice("ab"), rng.choice([None, 0.5, 1.0]), "x") for _ in range(900)]
+    lake = [r for r in source if rng.random() > 0.02]
+    lake += [(1000 + i, "a", 1.0, None) for i in range(7)] + source[:5]
+    lake = [(*r[:3], None) if rng.random() < 0.02 else r for r in lake]
+    found = differing_rows(spark.createDataFrame(source, SCHEMA), spark.createDataFrame(lake, SCHEMA), ["k", "part"])
+    assert {(r["k"], r["part"]): r["difference"] for r in found.collect()} == brute(source, lake)
+
+
+def test_columns_are_named_and_types_follow_the_source(spark):
+    source = spark.createDataFrame([(1, "a", 1.0, None), (2, "a", 1.0, "n"), (3, "a", None, "")], SCHEMA)
+    lake = source.selectExpr("CAST(k AS STRING) k", "part", "CAST(v AS STRING) v", "IF(k = 2, NULL, note) note", "1 AS audit")
+    assert [tuple(r) for r in differing_rows(source, lake, ["k"]).collect()] == [(2, "changed", "note")]
+    lacking = differing_rows(source, lake.drop("v"), ["k"]).orderBy("k").collect()
+    assert [tuple(r) for r in lacking] == [(1, "changed", "v"), (2, "changed", "v,note")]
+
+
+def test_equal_and_empty_tables(spark):
+    rows = spark.createDataFrame([(i, "a", 1.0, "x") for i in range(50)], SCHEMA)
+    assert differing_rows(rows, rows, ["k"]).isEmpty()
+    assert differing_rows(rows.limit(0), rows.limit(0), ["k"]).isEmpty()
+    assert {r["difference"] for r in differing_rows(rows, rows.limit(0), ["k"]).collect()} == {"lost"}
+    assert differing_rows(rows.limit(0), rows, ["k"]).count() == 50
+
+
+def test_swapped_values_do_not_cancel(spark):
+    source = spark.createDataFrame([(1, "a", 1.0, "x"), (2, "a", 2.0, "y")], SCHEMA)
+    lake = spark.createDataFrame([(1, "a", 2.0, "x"), (2, "a", 1.0, "y")], SCHEMA)
+    assert sorted(tuple(r) for r in differing_rows(source, lake, ["k"]).collect()) == [(1, "changed", "v"), (2, "changed", "v")]

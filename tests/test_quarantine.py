@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lakeload.operators import quarantine as module
 from lakeload.operators.quarantine import batch_summary, quarantine
 from lakeload.specs import Column, ForeignKey, TableSpec
 
@@ -45,8 +46,13 @@ def frames(spark, batches, parents, target):
     )
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_batches(spark, seed):
+@pytest.fixture(params=[0, 20_000], ids=["in rounds", "walked at once"])
+def way(request, monkeypatch):
+    monkeypatch.setattr(module, "WALKED_AT_ONCE", request.param)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_batches(spark, way, seed):
     rng = random.Random(seed)
     parents, target = [1, 2, 3], [(90, "t90", 1), (91, None, None)]
     batches = [
@@ -72,7 +78,7 @@ def test_random_batches(spark, seed):
     assert (summary["batches"], summary["loaded"]) == (60, len(expected))
 
 
-def test_chain_of_overlapping_batches(spark):
+def test_chain_of_overlapping_batches(spark, way):
     """Every batch repeats a key of the one before: each second one is refused."""
     batches = [(n, [(100 + n, None, None), (101 + n, None, None)]) for n in range(13)]
     rows, parents, target = frames(spark, batches, [1], [(1, None, None)])
@@ -118,7 +124,7 @@ def test_case_insensitive_keys(spark):
     assert quarantine(rows, TableSpec("t", columns, ignore_case=True, **refers), parents=parents).good.count() == 2
 
 
-def test_many_chains_are_walked_each_by_itself(spark):
+def test_many_chains_are_settled_each_by_itself(spark, way):
     """Forty chains of thirteen batches, mixed in order of application; and one batch that touches several chains."""
     batches = [(40 * n + c, [(1000 * c + n, None, None), (1000 * c + n + 1, None, None)]) for n in range(13) for c in range(2, 42)]
     batches.append((9999, [(2000, None, None), (3001, None, None), (99_000, None, None)]))
@@ -129,6 +135,23 @@ def test_many_chains_are_walked_each_by_itself(spark):
     assert len(expected) == 40 * 7
 
 
+def test_trees_joints_and_crowded_keys(spark, way):
+    """Chains that fork and meet, batches that contest several others, and a key that many claim."""
+    rng = random.Random(7)
+    batches = []
+    for n in range(120):
+        keys = {1000 + n}
+        if n and rng.random() < 0.9:
+            keys.add(1000 + n - rng.choice([1, 1, 1, 2, 7]))
+        if rng.random() < 0.1:
+            keys.add(rng.choice([77, 78]))
+        batches.append((n, [(k, None, None) for k in sorted(keys)]))
+    rows, parents, target = frames(spark, batches, [1], [(1, None, None)])
+    split = quarantine(rows, SPEC, parents=parents, target=target)
+    expected = one_by_one(batches, [1], [(1, None, None)])
+    assert sorted(r["batch"] for r in split.good.select("batch").distinct().collect()) == expected
+
+
 def test_rows_without_a_batch_are_one_batch_that_comes_first(spark):
     spec = TableSpec("t", (Column("k", "int", True), Column("v", "int")), primary_key=("k",), checks={"small": "v < 10"})
     rows = spark.createDataFrame([(None, 1, 99), (None, 2, 1), (7, 3, 99), (8, 4, 1)], "batch int, k int, v int")
