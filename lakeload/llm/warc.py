@@ -18,7 +18,11 @@ CRLF, END = "\r\n", "\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Headers of a 304 answer that replace those of the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-RECORD = "record_id string, kind string, uri string, date timestamp, status int, headers map<string,string>, payload string"
+#: A record; the body is bytes, whatever they mean. ``profile`` of a revisit says what it repeats.
+RECORD = (
+    "record_id string, kind string, uri string, date timestamp, status int, headers map<string,string>, payload binary, "
+    "profile string"
+)
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
@@ -31,13 +35,13 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
     reason = F.when(F.col("status") == 304, "Not Modified").when(F.col("status") == 200, "OK").otherwise("-")
     start = F.concat(F.lit("HTTP/1.1 "), F.col("status").cast("string"), F.lit(" "), reason, F.lit(CRLF))
     body = F.concat(start, F.when(lines != "", F.concat(lines, F.lit(CRLF))).otherwise(""), F.lit(CRLF))
-    body = F.concat(body, F.coalesce("payload", F.lit("")))
+    body = F.concat(body, F.coalesce(F.col("payload").cast("string"), F.lit("")))  # the bytes as they are
     fields = [
         ("WARC-Type", F.col("kind")),
         ("WARC-Record-ID", F.concat(F.lit("<"), F.col("record_id"), F.lit(">"))),
         ("WARC-Target-URI", F.col("uri")),
         ("WARC-Date", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        ("WARC-Profile", F.when(F.col("kind") == "revisit", REVISIT)),
+        ("WARC-Profile", F.when(F.col("kind") == "revisit", F.coalesce("profile", F.lit(REVISIT)))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", F.octet_length("body").cast("string")),
     ]
@@ -46,47 +50,53 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
     text.write.option("lineSep", END).option("compression", compression).text(path)
 
 
-def _field(head: Column, name: str) -> Column:
-    value = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
-    return F.when(value != "", value)
+def _fields(head: Column) -> Column:
+    """The named fields of a head, below its first line, by name in lower case; of equal names the last counts."""
+    lines = F.filter(F.split(head, CRLF), lambda x, i: (i > 0) & (F.instr(x, ":") > 1))
+    name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
+    value = lambda x: F.trim(F.substr(x, F.instr(x, ":") + 1), F.lit(" \t"))
+    named = F.transform(lines, lambda x, i: F.struct(name(x).alias("k"), i.alias("i"), value(x).alias("v")))
+    named = F.array_sort(named)  # equal names stand together, the last of them behind the others
+    last = lambda n: F.filter(n, lambda x, i: F.coalesce(x["k"] != F.get(n, i + 1)["k"], F.lit(True)))
+    kept = F.get(F.transform(F.array(named), last), F.lit(0))  # as a variable, the sorted array is made once
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
+
+
+def _binary_before(text: str) -> Column:
+    """Size in bytes of what lies before the first empty line."""
+    return F.octet_length(F.substring_index(text, END, 1))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records (RECORD) of WARC files, plain or gzip. A record is one row at any time, never a whole file.
 
     Records are cut at the empty line and version line between them; the stated length cuts the block, and a record whose
-    block is shorter than stated (cut off, or broken up by its own content) has kind ``broken``. Header names are in lower
-    case; of equal ones the last counts.
+    block is shorter than stated (cut off, or broken up by its own content) has kind ``broken``. Everything is cut by sizes in
+    bytes, so a body of any encoding, or of none, comes out as it went in. All lines of a head are read; header names are in
+    lower case, and of equal ones the last counts. A field that is absent or empty is null. No record gives no row.
     """
     rows = spark.read.option("lineSep", f"{END}WARC/1.").text(path)
-    rows = rows.select(F.regexp_replace("value", r"\A(WARC/1\.)?[01]\r\n", "").alias("v"))
-    rows = rows.select(F.substring_index("v", END, 1).alias("head"), "v")
-    rows = rows.withColumn("size", _field(F.col("head"), "Content-Length").cast("int"))
-    block = F.expr("substring(CAST(v AS BINARY), octet_length(head) + 5, size)")
-    rows = rows.select("head", "size", block.cast("string").alias("block"))
-    rows = rows.withColumn("http", F.substring_index("block", END, 1))
-    lines = F.expr("slice(split(http, '\\r\\n'), 2, 10000)")
-    pairs = F.filter(lines, lambda x: F.instr(x, ":") > 1)
-    name = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
-    empty = F.create_map().cast("map<string,string>")
-    headers = F.aggregate(
-        pairs,
-        empty,
-        lambda m, x: F.map_concat(
-            F.map_filter(m, lambda k, _: k != name(x)),
-            F.create_map(name(x), F.trim(F.regexp_replace(x, r"\A[^:]*:", ""))),
-        ),
-    )
-    whole = F.octet_length("block") == F.col("size")
-    kind = F.when(whole, _field(F.col("head"), "WARC-Type")).otherwise("broken")
+    # of the version line, all but the first record of a file have only its end
+    rows = rows.withColumn("size_of_head", _binary_before("value"))
+    rows = rows.withColumn("fields", _fields(F.substring_index("value", END, 1)))
+    field = lambda name: F.nullif(F.col("fields")[name], F.lit(""))
+    size = F.expr("try_cast(fields['content-length'] AS INT)")
+    block = F.expr("substring(CAST(value AS BINARY), size_of_head + 5, size)")
+    rows = rows.withColumn("size", size).withColumn("block", block).drop("value")
+    rows = rows.withColumn("http", F.substring_index(F.col("block").cast("string"), END, 1))
+    kind = F.when(F.octet_length("block") == F.col("size"), field("warc-type"))
+    rows = rows.withColumns({"kind": F.coalesce(kind, F.lit("broken")), "headers": _fields(F.col("http"))})
+    body = F.expr("substring(block, octet_length(http) + 5)")
+    first_line = F.substring_index("http", CRLF, 1)
     return rows.select(
-        F.regexp_replace(_field(F.col("head"), "WARC-Record-ID"), "[<>]", "").alias("record_id"),
-        F.coalesce(kind, F.lit("broken")).alias("kind"),
-        _field(F.col("head"), "WARC-Target-URI").alias("uri"),
-        F.try_to_timestamp(_field(F.col("head"), "WARC-Date"), F.lit("yyyy-MM-dd'T'HH:mm:ssX")).alias("date"),
-        F.expr("try_cast(regexp_extract(http, '\\\\AHTTP/[0-9.]+ ([0-9]{3})', 1) AS INT)").alias("status"),
-        headers.alias("headers"),
-        F.when(kind == "response", F.expr("substring(block, length(http) + 5)")).alias("payload"),
+        F.translate(field("warc-record-id"), "<>", "").alias("record_id"),
+        "kind",
+        field("warc-target-uri").alias("uri"),
+        F.try_to_timestamp(field("warc-date"), F.lit("yyyy-MM-dd'T'HH:mm:ssX")).alias("date"),
+        F.regexp_extract(first_line, r"\AHTTP/[0-9.]+ ([0-9]{3})", 1).try_cast("int").alias("status"),
+        F.col("headers").cast("map<string,string>").alias("headers"),
+        F.when(F.col("kind") == "response", body).alias("payload"),
+        field("warc-profile").alias("profile"),
     )
 
 
@@ -100,20 +110,23 @@ def _validators_agree(mine: Column, base: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit of ``records`` (RECORD): record_id, uri, date, outcome, base_id, headers, digest, n_bytes.
 
-    outcome: ``resolved``; ``no_base`` without an earlier full response (status 200, strictly earlier date, of two at one
+    outcome: ``other_profile`` if the revisit does not say that the server answered not modified (its WARC-Profile names
+    something else, such as an identical digest, or it has none and its status is not 304); ``resolved``; ``no_base`` without an earlier full response (status 200, strictly earlier date, of two at one
     date the one with the greater record_id); ``changed`` if the validators differ; ``unverified`` if there are none to
     compare. Only a resolved one has base_id, merged headers, and the md5 and size of the body that it stands for. A revisit
     without date or address is ``no_base``. Repeated records give repeated rows. Bodies aren't shuffled: only addresses,
     headers and digests are, dealt by range, so that an address with a third of all records spreads over tasks.
     """
     full = (F.col("kind") == "response") & (F.col("status") == 200)
+    modified_not = F.coalesce(F.col("profile").endswith("/server-not-modified"), F.col("status") == 304, F.lit(False))
+    body = F.coalesce("payload", F.lit("").cast("binary"))
     known = F.struct(
-        "record_id", "headers", F.md5(F.coalesce("payload", F.lit(""))).alias("digest"),
+        "record_id", "headers", F.md5(body).alias("digest"),
         F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("n_bytes"),
     )
     narrow = records.where(full | (F.col("kind") == "revisit")).select(
         F.when(F.col("uri").contains("://"), canonical(F.col("uri"))).otherwise(F.col("uri")).alias("address"), "date", full.alias("full"), "record_id", "kind", "uri",
-        F.when(F.col("kind") == "revisit", F.col("headers")).alias("mine"),
+        F.when(F.col("kind") == "revisit", F.col("headers")).alias("mine"), modified_not.alias("modified_not"),
         F.when(full & F.col("date").isNotNull(), known).alias("base"),
     )
     narrow = stage(narrow, "warc-narrow")  # dealing by range reads it twice
@@ -123,7 +136,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     base = F.when(named, F.col("_last"))
     agree = _validators_agree(F.col("mine"), base["headers"])
     outcome = (
-        F.when(base.isNull(), "no_base")
+        F.when(~F.col("modified_not"), "other_profile")
+        .when(base.isNull(), "no_base")
         .when(agree, "resolved")
         .when(agree.isNull(), "unverified")
         .otherwise("changed")
@@ -176,7 +190,8 @@ def visits_of(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"), F.lit(":"), F.col("m.n")).alias("record_id"),
         F.col("m.kind").alias("kind"), F.col("url").alias("uri"), date.alias("date"), F.col("m.status").alias("status"),
         F.when(F.col("m.status") == 200, fetched).otherwise(unchanged).alias("headers"),
-        F.when(F.col("m.status") == 200, F.coalesce("html", F.lit(""))).alias("payload"),
+        F.when(F.col("m.status") == 200, F.coalesce("html", F.lit("")).cast("binary")).alias("payload"),
+        F.when(F.col("m.kind") == "revisit", REVISIT).alias("profile"),
     )
 
 

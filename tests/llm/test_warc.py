@@ -1,6 +1,8 @@
 """Round trips through WARC files, and revisits against a plain search."""
 
 import datetime as dt
+import gzip
+import hashlib
 
 import pytest
 
@@ -10,9 +12,11 @@ SECOND = dt.timedelta(seconds=1)
 START = dt.datetime(2024, 1, 1)
 
 
-def record(n, kind, uri, at, headers, payload=None, status=None):
+def record(n, kind, uri, at, headers, payload=None, status=None, profile=None):
+    payload = payload.encode() if isinstance(payload, str) else payload
+    profile = profile or (w.REVISIT if kind == "revisit" else None)
     date = None if at is None else START + at * SECOND
-    return (f"urn:{n}", kind, uri, date, status or (304 if kind == "revisit" else 200), headers, payload)
+    return (f"urn:{n}", kind, uri, date, status or (304 if kind == "revisit" else 200), headers, payload, profile)
 
 
 @pytest.mark.parametrize("compression", ["none", "gzip"])
@@ -40,11 +44,50 @@ def test_records_that_are_cut_off_or_odd(spark, tmp_path):
     rows = w.read_warc(spark, str(tmp_path / "x.warc")).collect()
     got = {r.record_id: r for r in rows}
     assert len(rows) == 4 and got["urn:3"].kind == got[None].kind == "broken"  # a body that looks like a record's start
-    assert got["urn:1"].headers == {"etag": "two"} and got["urn:1"].payload == "body" and got["urn:1"].date == START
+    assert got["urn:1"].headers == {"etag": "two"} and got["urn:1"].payload == b"body" and got["urn:1"].date == START
     assert got["urn:2"].kind == "broken" and got["urn:2"].date is None and got["urn:2"].payload is None
     assert got["urn:1"].uri == "http://a.net/" and got["urn:1"].status == 200
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_bodies_of_any_bytes_stay_as_they_are(spark, tmp_path, compression):
+    latin = bytes.fromhex("636166E9206372E86D65")
+    bodies = [latin, gzip.compress(b"page" * 999), bytes(range(256)) * 40, b"\xff\xd8\xff\xe0 image \x00\xff", b"\xf0\x9f", b"\r\n\r\n\xe9"]
+    rows = [record(i, "response", f"http://a.net/{i}", i, {"etag": f'"{i}"'}, b) for i, b in enumerate(bodies)]
+    rows += [record(100 + i, "revisit", f"http://a.net/{i}", 50, {"etag": f'"{i}"'}) for i in range(len(bodies))]
+    w.write_warc(spark.createDataFrame(rows, w.RECORD).repartition(2), str(tmp_path / "w"), compression)
+    records = w.read_warc(spark, str(tmp_path / "w"))
+    got = {r.record_id: bytes(r.payload) for r in records.where("kind = 'response'").collect()}
+    assert got == {f"urn:{i}": b for i, b in enumerate(bodies)}
+    resolved = {r.record_id: (r.outcome, r.digest, r.n_bytes) for r in w.resolve_revisits(records).collect()}
+    expected = {f"urn:{100 + i}": ("resolved", hashlib.md5(b).hexdigest(), len(b)) for i, b in enumerate(bodies)}
+    assert resolved == expected
+
+
+def test_all_header_lines_are_read(spark, tmp_path):
+    headers = {f"x-{i:05}": str(i) for i in range(12_000)}
+    rows = [record(1, "response", "http://a.net/", 1, headers | {"etag": "1"}, "b")]
+    w.write_warc(spark.createDataFrame(rows, w.RECORD), str(tmp_path / "w"))
+    assert w.read_warc(spark, str(tmp_path / "w")).first().headers == headers | {"etag": "1"}
+
+
+def test_profiles_are_told_apart(spark):
+    same = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+    tag = {"etag": "1"}
+    rows = [
+        record("f", "response", "http://a.net/", 1, tag, "b"),
+        record("digest", "revisit", "http://a.net/", 2, tag, None, 200, same),
+        record("older", "revisit", "http://a.net/", 2, tag, None, 304, w.REVISIT.replace("1.1", "1.0")),
+        record("none", "revisit", "http://a.net/", 2, tag)[:-1] + (None,),
+        record("odd", "revisit", "http://a.net/", 2, tag, None, 200)[:-1] + (None,),
+    ]
+    got = {r.record_id: (r.outcome, r.base_id) for r in w.resolve_revisits(spark.createDataFrame(rows, w.RECORD)).collect()}
+    assert got == {
+        "urn:digest": ("other_profile", None), "urn:older": ("resolved", "urn:f"),
+        "urn:none": ("resolved", "urn:f"), "urn:odd": ("other_profile", None),
+    }
+
+
 RECORDS = [
     record("f1", "response", "http://a.net/x", 10, {"etag": '"1"', "content-type": "t", "date": "d1", "server": "s1"}, "one"),
     record("f2", "response", "https://www.a.net/x/#z", 20, {"etag": 'W/"2"', "content-type": "t"}, "two"),
@@ -81,7 +124,7 @@ def test_revisits_are_resolved_as_of_their_date(spark):
     }
     assert sum(r.record_id == "urn:r1" for r in rows) == 2
     bodies = {r.record_id: r.payload for r in w.with_payload(w.resolve_revisits(df), df).collect()}
-    assert bodies["urn:r1"] == "one" and bodies["urn:r3"] is None
+    assert bodies["urn:r1"] == b"one" and bodies["urn:r3"] is None
 
 
 def test_an_address_with_most_records(spark):
