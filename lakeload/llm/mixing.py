@@ -7,10 +7,11 @@ mapped through the cumulative targets. Slots are ranked per source, and the k-th
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeload.llm.common import WORD, table, text_tag
+from lakeload.llm.common import WORD_BYTES, small_batches, table, text_tag
 from lakeload.workspace import stage
 
 WEIGHTS = 3
@@ -131,9 +132,32 @@ def pieces(placed: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     ).drop("from", "upto", "take")
 
 
-def measured(documents: DataFrame, *more: str) -> DataFrame:
+def measured(documents: DataFrame) -> DataFrame:
     """What mixing needs to know of a document."""
-    return documents.select("doc_id", "source", word_count().alias("size"), text_tag("text").alias("tag"), *more)
+    return documents.select("doc_id", "source", word_count().alias("size"), text_tag("text").alias("tag"))
+
+
+def cut_words(text: str, firsts: list[int], counts: list[int]) -> list[str]:
+    """The runs of words of a text that begin at ``firsts``, with the blanks after them; the text is gone through once."""
+    data = text.encode("utf-8", "surrogatepass")
+    wanted = sorted({*firsts, *(f + n for f, n in zip(firsts, counts, strict=True))})
+    starts, open_ones = {}, iter(wanted)
+    word = next(open_ones, None)
+    for place, found in enumerate(WORD_BYTES.finditer(data)):
+        if place == word:
+            starts[place] = found.start()
+            if (word := next(open_ones, None)) is None:
+                break
+    ends = (starts.get(f + n, len(data)) for f, n in zip(firsts, counts, strict=True))
+    return [data[starts[f] : end].decode("utf-8", "surrogatepass") for f, end in zip(firsts, ends, strict=True)]
+
+
+def _cutter():
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, firsts: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([cut_words(t, list(f), list(n)) for t, f, n in zip(texts, firsts, counts, strict=True)])
+
+    return cut
 
 
 def mix(documents: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -141,17 +165,31 @@ def mix(documents: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
     Order by slot and at to read it. Columns of the documents besides these are left out. Null or empty texts hold no word
     and are in no block; a null source is a source of its own; equal rows are separate stock; an empty table gives no slot.
+    Everything is laid out on sizes alone; then each text meets its own cuts, all of which are made in one pass over it, so
+    the time that a text takes grows with its length, and texts that no cut divides aren't looked into at all.
     """
-    rows = measured(documents, "text")
-    targets = stage(source_targets(stage(measured(documents), "mix-sizes")), "mix-targets")
-    cut = pieces(laid_out(rows, targets), block)
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), F.lit(0))
-    whole = (F.col("first_word") == 0) & (F.col("n_words") == F.col("size"))
-    part = F.when(whole, F.col("text")).otherwise(
-        F.array_join(F.slice(words, (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int")), "")
+    small_batches(documents.sparkSession)
+    sized = stage(measured(documents), "mix-sizes")
+    targets = stage(source_targets(sized), "mix-targets")
+    cut = schedule(targets, block).join(pieces(laid_out(sized, targets), block), ["sid", "k"])
+    part = F.struct("slot", "at", "pass", "first_word", "n_words").alias("part")
+    cut = stage(cut.select("sid", "start", "source", "doc_id", "tag", "size", part), "mix-pieces")
+    rows = cut.groupBy("sid", "start", "source", "doc_id", "tag", "size").agg(F.collect_list("part").alias("parts"))
+    texts = documents.select("doc_id", text_tag("text").alias("tag"), "text")
+    texts = texts.groupBy("doc_id", "tag").agg(F.first("text").alias("text"))
+    texts = stage(texts, "mix-texts")  # equal rows have one text; a join on top of its own grouping can't be split
+    same = F.expr("r.doc_id <=> t.doc_id AND r.tag = t.tag")
+    met = rows.alias("r").join(texts.alias("t"), same).select("r.source", "r.doc_id", "r.size", "r.parts", "t.text")
+    met = stage(met, "mix-cuts")
+    undivided = F.forall("parts", lambda p: (p["first_word"] == 0) & (p["n_words"] == F.col("size")))
+    names = ["slot", "at", "pass", "source", "doc_id", "first_word", "n_words", "text"]
+    whole = met.where(undivided).select("source", "doc_id", F.explode("parts").alias("p"), "text")
+    made = met.where(~undivided).select(
+        "source", "doc_id", "parts", _cutter()("text", "parts.first_word", "parts.n_words").alias("texts")
     )
-    cut = cut.select("sid", "k", "at", "pass", "source", "doc_id", "first_word", "n_words", part.alias("text"))
-    return schedule(targets, block).join(cut, ["sid", "k"]).drop("sid", "k")
+    made = made.select("source", "doc_id", F.explode(F.arrays_zip("parts", "texts")).alias("z"))
+    made = made.select("source", "doc_id", F.col("z.parts").alias("p"), F.col("z.texts").alias("text"))
+    return whole.unionAll(made).select("source", "doc_id", "p.*", "text").select(*names)
 
 
 def mix_counts(documents: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:

@@ -120,3 +120,21 @@ def test_word_count_of_form_feeds_and_the_letter_f(spark):
     expected = [len(t.encode().split()) for t in texts]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", m.word_count().alias("n"))
     assert [r.n for r in df.orderBy("i").collect()] == expected
+
+
+def test_very_long_texts_are_cut_in_one_pass(spark):
+    """Half a million words in one text, cut at every block: linear, and word for word."""
+    long = "\n ".join(f"w{i}" for i in range(500_000))
+    df = spark.createDataFrame([(1, "a", long), (2, "a", "x y"), (2, "a", "x y"), (3, "b", long[:4000])], TYPE)
+    got = m.mix(df, block=512).collect()
+    words = long.split()
+    for r in got:
+        if r.doc_id == 1:
+            assert r.text.split() == words[r.first_word : r.first_word + r.n_words]
+    assert sum(r.doc_id == 2 and r.n_words == 2 for r in got) % 2 == 0
+
+
+def test_cuts_keep_the_blanks_after_words():
+    text = "  one two\n\nthree \x1cé four "
+    assert m.cut_words(text, [1, 0, 3], [2, 1, 2]) == ["two\n\nthree ", "one ", "\x1cé four "]
+    assert m.cut_words(text, [], []) == []

@@ -9,7 +9,7 @@ from lakeload.llm import decontaminate, quality
 from .test_decontaminate import brute_force as leaks
 from .test_simhash import shingles, similar
 from .test_substring import brute_force as repeats
-from .test_substring import plain
+from .test_substring import both_ways, plain
 from .test_common import union
 
 DATA = Path("/root/testdata/sf0.001")
@@ -54,7 +54,7 @@ def test_near_duplicates(staged):
 
 def test_repeats(staged):
     before, after = texts(staged[2]), texts(staged[3])
-    expected = {row[0]: plain("".join(left)) for row, left in repeats(list(before.items())).items()}
+    expected = {row[0]: plain("".join(left)) for row, left in repeats(list(before.items()), both_ways).items()}
     assert {i: plain(t) for i, t in after.items()} == {i: t for i, t in expected.items() if t}
 
 

@@ -24,7 +24,20 @@ def runs(parts):
                 break
 
 
-def brute_force(rows):
+def both_ways(parts):
+    """The shortest span from each sentence on, and the shortest up to each sentence."""
+    yield from runs(parts)
+    sizes = [len(p.split()) for p in parts]
+    for e in range(1, len(parts) + 1):
+        n = 0
+        for i in range(e - 1, -1, -1):
+            n += sizes[i]
+            if (e - i >= sub.SENTENCES and n >= sub.WORDS) or n >= sub.LONG:
+                yield i, e
+                break
+
+
+def brute_force(rows, runs=runs):
     """Sentences left of each distinct (doc_id, text)."""
     rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, sub.xxhash.xxh64_intdigest(r[1] or "")))
     seen, gone = {}, defaultdict(set)
