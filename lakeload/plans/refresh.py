@@ -57,7 +57,7 @@ def load_dumps(
     """Load each table's dump files into external tables, parents first; one row per table tells what came of it.
 
     Refused batches go to ``<root>/_rejected/<table>`` with their reasons and, for rows that could not be read, the
-    source text. Tables named in ``whole_files`` load or fail by the file, the others by the statement.
+    source text; each load replaces those of the load before. Tables named in ``whole_files`` load or fail by the file, the others by the statement.
 
     ``status`` is loaded, partial, failed or skipped. A table that holds rows is skipped unless ``refresh``, and
     ``earlier`` then tells how its load ended. ``format`` tells files that end within a statement (``unterminated``) or
@@ -81,8 +81,7 @@ def load_dumps(
             split = quarantine(rows, spec, parents=parents, unchecked=[spec.name])
             location = _fresh_folder(root, spec.name)
             snapshot_overwrite(split.good.select(*spec.column_names), location)
-            if not split.rejected.isEmpty():
-                snapshot_overwrite(split.bad, f"{root}/_rejected/{spec.name}")
+            snapshot_overwrite(split.bad, f"{root}/_rejected/{spec.name}")  # no rows too: those refused earlier go
             counts = batch_summary(spec.name, rows, split.rejected).first()
         except Exception as error:  # a table that fails must not stop the others
             kind = error_kind(error)

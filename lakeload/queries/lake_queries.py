@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lakeload.functions.audit import RUN_KEYS, audit_columns
 from lakeload.operators.load import load_if_unpopulated, seed_if_empty
-from lakeload.plans.catalog import external_table, file_schema, partition_repair, schema_diff, schema_evolution
+from lakeload.plans.catalog import create_database, external_table, file_schema, partition_repair, schema_diff, schema_evolution
+from lakeload.plans.changes import export_changes, latest_rows
 from lakeload.plans.export import Target, export_tables
 from lakeload.plans.refresh import full_refresh
 from lakeload.plans.reports import post_export_check, reconcile, run_rows, table_counts
@@ -253,6 +254,33 @@ def q_incremental_job(spark: SparkSession, sf: str) -> DataFrame:
     return latest_snapshot(spark, f"{target.database}.orders").drop("source_table", "source_database")
 
 
+def q_changed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Older orders without some that come late, then all, the finished ones changed: the latest state is the source.
+
+    A third run finds nothing new but what its overlap loads again.
+    """
+    orders = table(spark, sf, "orders").withColumn("changed_at", F.col("o_orderdate"))
+    last = F.lit(orders.agg(F.max("o_orderdate").cast("string")).first()[0]).cast(orders.schema["o_orderdate"].dataType)
+    middle = last - F.expr("INTERVAL 1000 DAYS")
+    late = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderdate") >= middle - F.expr("INTERVAL 20 DAYS"))
+    finished = F.col("o_orderstatus") == "F"
+    changed = orders.withColumns(
+        {
+            "changed_at": F.when(finished, last + F.expr("INTERVAL 1 DAY")).otherwise(F.col("changed_at")),
+            "o_totalprice": F.when(finished, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")),
+        }
+    )
+    target = _target(spark)
+    create_database(spark, target.database, f"{target.root}/_database")
+    runs = ((RUN_1, orders.filter((F.col("o_orderdate") < middle) & ~late)), (RUN_2, changed), (RUN_3, changed))
+    for run, source in runs:
+        export_changes(
+            spark, lambda _, df=source: df, "orders", "changed_at", "INTERVAL 30 DAYS", replace(target, run_time=run)
+        )
+    rows = latest_rows(spark, f"{target.database}.orders", ["o_orderkey"], "changed_at")
+    return rows.drop(*RUN_KEYS, "source_table")
+
+
 QUERIES = {
     "snapshot_append": q_snapshot_append,
     "external_table": q_external_table,
@@ -274,6 +302,7 @@ QUERIES = {
     "post_export_check": q_post_export_check,
     "reconcile": q_reconcile,
     "incremental_job": q_incremental_job,
+    "changed_rows": q_changed_rows,
 }
 
 _TWO_RUNS = f"""
@@ -359,4 +388,10 @@ ORACLE = {
     "incremental_job": f"""
         SELECT *, CASE WHEN o_orderkey > (SELECT max(o_orderkey) * 4 // 5 FROM orders) THEN '{RUN_2}-increment'
                        ELSE '{RUN_1}' END AS processing_time FROM orders""",
+    "changed_rows": """
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority,
+               CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice,
+               CASE WHEN o_orderstatus = 'F' THEN (SELECT max(o_orderdate) FROM orders) + INTERVAL 1 DAY
+                    ELSE o_orderdate END AS changed_at
+        FROM orders""",
 }

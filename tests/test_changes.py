@@ -1,0 +1,86 @@
+"""Increments that see late and changed rows, and the state merged from them."""
+
+from dataclasses import replace
+from datetime import datetime
+
+import pytest
+
+from lakeload.plans import changes
+from lakeload.plans.catalog import create_database
+from lakeload.plans.export import Target
+
+RUNS = [f"2024010{i}T000000Z" for i in range(1, 7)]
+COLUMNS = "id long, version long, value string"
+
+
+@pytest.fixture
+def target(spark, tmp_path):
+    made = Target(str(tmp_path), "changes_" + tmp_path.name.replace("-", "_"), RUNS[0], "src")
+    create_database(spark, made.database, f"{tmp_path}/_database")
+    return made
+
+
+def export(spark, target, run, rows, columns=COLUMNS, overlap="10", source="src"):
+    df = spark.createDataFrame(rows, columns)
+    to = replace(target, run_time=RUNS[run], source_database=source)
+    return changes.export_changes(spark, lambda _: df, "t", "version", overlap, to)
+
+
+def state(spark, target):
+    rows = changes.latest_rows(spark, f"{target.database}.t", ["id"], "version").collect()
+    return sorted(((r["source_database"], r["id"], r["version"], r["value"]) for r in rows), key=repr)
+
+
+def test_late_and_changed_rows_are_seen_and_old_ones_not_read_again(spark, target):
+    first = [(i, i, "a") for i in range(100)]
+    assert export(spark, target, 0, first)[:2] == ("ok", 100)
+    second = [*first[:50], (50, 120, "b"), *first[51:], (200, 92, "late"), (201, 130, "new")]
+    assert export(spark, target, 1, second)[1] == 11 + 3  # old versions from 89 to 99, three rows that are new
+    assert state(spark, target) == sorted((("src", *r) for r in second), key=repr)
+    assert export(spark, target, 2, second)[1] == 2  # only the overlap again
+    assert state(spark, target) == sorted((("src", *r) for r in second), key=repr)
+
+
+def test_a_failed_run_leaves_the_bookmark_and_is_repeated(spark, target, monkeypatch):
+    export(spark, target, 0, [(1, 1, "a")])
+
+    def broken(*_):
+        raise OSError
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(changes, "keep_bookmark", broken)
+        export(spark, target, 1, [(1, 50, "b")])
+    assert export(spark, target, 1, [(1, 50, "b")], overlap="0")[1] == 1  # the mark is still 1
+    assert export(spark, target, 2, [(1, 40, "older")], overlap="20")[1] == 1
+    assert state(spark, target) == [("src", 1, 50, "b")]
+    assert export(spark, target, 3, [(1, 45, "x")], overlap="0")[1] == 0  # it never moves back
+
+
+def test_nulls_ties_sources_and_repeated_rows(spark, target):
+    rows = [(1, None, "null"), (None, 3, "no key"), (2, 5, "x"), (2, 5, "y"), (3, 1, "r"), (3, 1, "r")]
+    export(spark, target, 0, rows)
+    export(spark, target, 1, [(1, None, "null again"), (2, 5, "a later run")])
+    export(spark, target, 2, [(2, 1, "other source")], source="other")
+    assert state(spark, target) == sorted(
+        [
+            ("other", 2, 1, "other source"),
+            ("src", 1, None, "null again"),
+            ("src", 2, 5, "a later run"),
+            ("src", 3, 1, "r"),
+            ("src", None, 3, "no key"),
+        ],
+        key=repr,
+    )
+
+
+def test_empty_source_and_times_in_another_time_zone(spark, target):
+    columns = "id long, version timestamp, value string"
+    assert export(spark, target, 0, [], columns, "INTERVAL 1 HOUR")[0] == "empty"
+    assert export(spark, target, 1, [(1, datetime(2024, 1, 1, 12), "a")], columns, "INTERVAL 1 HOUR")[1] == 1
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        mark = changes.bookmark(spark, f"{target.database}.t", "version", "src")
+        assert spark.range(1).select(mark.cast("string")).first()[0] == "2024-01-01 21:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -399,3 +399,12 @@ def test_a_refresh_that_fails_half_way_leaves_what_was_there(spark, tmp_path, ro
     counts = full_refresh(spark, specs, twice, root, database)
     assert rows(counts) == [("departments", 2), ("employees", 2)]
     assert not spark.catalog.tableExists(f"{database}.names")  # every view goes, whatever its name
+
+
+def test_a_clean_reload_leaves_no_refused_rows(spark, tmp_path):
+    spec = next(s for s in EMPLOYEE_DATABASE if s.name == "departments")
+    dump, root, database = tmp_path / "d.dump", str(tmp_path / "lake"), "reload_" + tmp_path.name.replace("-", "_")
+    for text, refused in (("('d001','A'),('d001','B');", 2), ("('d001','A'),('d002','B');", 0)):
+        dump.write_text(f"INSERT INTO `departments` VALUES {text}\n")
+        load_dumps(spark, [spec], {"departments": [str(dump)]}, root, database, refresh=True)
+        assert spark.read.parquet(f"{root}/_rejected/departments").count() == refused
