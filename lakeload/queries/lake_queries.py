@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeload.functions.audit import RUN_KEYS, audit_columns
+from lakeload.operators.difference import differing_rows
 from lakeload.operators.load import load_if_unpopulated, seed_if_empty
 from lakeload.plans.catalog import create_database, external_table, file_schema, partition_repair, schema_diff, schema_evolution
 from lakeload.plans.changes import export_changes, latest_rows
@@ -281,6 +282,20 @@ def q_changed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.drop(*RUN_KEYS, "source_table")
 
 
+def q_reconcile_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that lacks some orders, against a source that has lost some and changed the price of others: which they are."""
+    orders = table(spark, sf, "orders")
+    target = _target(spark)
+    lacking = F.col("o_orderstatus").eqNullSafe("O") & F.col("o_orderpriority").eqNullSafe("1-URGENT")
+    export_tables(spark, lambda _: orders.filter(~lacking), ["orders"], target, 1)
+    dearer = F.col("o_orderstatus").eqNullSafe("F") & F.col("o_orderpriority").eqNullSafe("2-HIGH")
+    now = orders.filter(~F.col("o_orderstatus").eqNullSafe("P")).withColumn(
+        "o_totalprice", F.when(dearer, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    )
+    found = differing_rows(now, run_rows(spark, f"{target.database}.orders", RUN_1, SOURCE), ["o_orderkey"])
+    return found.withColumnRenamed("columns", "differing_columns")
+
+
 QUERIES = {
     "snapshot_append": q_snapshot_append,
     "external_table": q_external_table,
@@ -303,6 +318,7 @@ QUERIES = {
     "reconcile": q_reconcile,
     "incremental_job": q_incremental_job,
     "changed_rows": q_changed_rows,
+    "reconcile_rows": q_reconcile_rows,
 }
 
 _TWO_RUNS = f"""
@@ -394,4 +410,11 @@ ORACLE = {
                CASE WHEN o_orderstatus = 'F' THEN (SELECT max(o_orderdate) FROM orders) + INTERVAL 1 DAY
                     ELSE o_orderdate END AS changed_at
         FROM orders""",
+    "reconcile_rows": """
+        SELECT o_orderkey, difference, CASE WHEN difference = 'changed' THEN 'o_totalprice' END AS differing_columns
+        FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'added'
+                                      WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'lost'
+                                      WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' AND o_totalprice IS NOT NULL
+                                      THEN 'changed' END AS difference FROM orders) d
+        WHERE difference IS NOT NULL""",
 }
