@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import partial
+from threading import Event, Timer
 
 from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
@@ -22,11 +24,13 @@ from lakeload.plans.catalog import (
     create_database,
     external_table,
     fit_to_table,
+    quoted,
     schema_evolution,
 )
 from lakeload.plans.reports import check_run
-from lakeload.sinks.lake import empty_marker, snapshot_append, write_with_metrics
-from lakeload.sources.lake import increment_mark
+from lakeload.sinks.lake import empty_marker, run_folder, snapshot_append, write_with_metrics
+from lakeload.sinks.manifest import MANIFEST_OF, Run, commit, manifest
+from lakeload.sources.lake import all_runs, increment_mark
 
 log = logging.getLogger(__name__)
 Reader = Callable[[str], DataFrame]
@@ -47,11 +51,36 @@ class CheckFailed(Exception):
     """What the run wrote can't be read back as it was written."""
 
 
+def _relative(run_time: str, source_database: str) -> str:
+    return run_folder("", run_time, source_database).lstrip("/")
+
+
+def _commit(spark: SparkSession, name: str, location: str, runs: Sequence[Run]) -> None:
+    if commit(spark, location, runs) == 1:
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({quoted(MANIFEST_OF)} = {quoted(location)})")
+
+
+def _take_back(spark: SparkSession, name: str, location: str, target: Target) -> None:
+    """Before a run is written (again): it is no committed run until it is complete.
+
+    Runs of a table that has no manifest yet are taken to be complete; their rows are not counted for it (-1).
+    """
+    version, runs = manifest(spark, location)
+    this = (target.run_time, target.source_database)
+    if version == 0:
+        schema = spark.table(name).schema.json()
+        found = [(run, source) for source, run in all_runs(spark, name) if (run, source) != this]
+        _commit(spark, name, location, [Run(*r, "", _relative(*r), -1, schema) for r in found])
+    elif this in {(run.run_time, run.source_database) for run in runs}:
+        commit(spark, location, [], [this])
+
+
 def export_table(spark: SparkSession, read: Reader, table: str, target: Target) -> tuple[str, int, int, str]:
     """One table to the lake and the catalog: its status, rows read, rows found by the check, and changes of its schema.
 
     The source is read once. Its schema is compared with the table's before anything is written; what was written is
-    queried through the catalog afterwards, and a difference fails the table.
+    counted through the catalog afterwards (``post_export_check`` reads every column), and a difference fails the table.
+    A run is committed last: until then, and after a failure, ``latest_snapshot`` doesn't know it.
     """
     source, changes = read(table), ""
     location, name = f"{target.root}/{table}", f"{target.database}.{table}"
@@ -60,6 +89,7 @@ def export_table(spark: SparkSession, read: Reader, table: str, target: Target)
         stamped = audit_columns(source, *run, table)
         fitted, changes = fit_to_table(spark, name, stamped)
         source = fitted.select(*source.columns)
+        _take_back(spark, name, location, target)
     schema = audit_columns(source, *run, table).schema
     write = partial(
         snapshot_append, path=location, run_time=run[0], source_database=run[1], source_table=table
@@ -70,9 +100,10 @@ def export_table(spark: SparkSession, read: Reader, table: str, target: Target)
     add_run(spark, name, *run)
     if rows == 0:
         empty_marker(spark, source.schema, target.root, table, *run)
-    found = check_run(spark, name, *run)
+    found = check_run(spark, name, *run, False)
     if found != rows:
         raise CheckFailed(f"{rows} rows written, {found} found")
+    _commit(spark, name, location, [Run(*run, table, _relative(*run), rows, schema.json())])
     return "ok" if rows else "empty", rows, found, changes
 
 
@@ -103,8 +134,34 @@ def error_kind(error: Exception) -> str:
     return type(error).__name__
 
 
+def _within_limit(
+    spark: SparkSession, read: Reader, table: str, key: str | None, target: Target, max_attempts: int, limit: float | None
+) -> tuple:
+    """``_attempt`` in a scheduler pool named as the table; its Spark jobs are cancelled when its time is up."""
+    context, tag, late = spark.sparkContext, f"lakeload-{uuid.uuid4().hex}", Event()
+
+    def stop():
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = Timer(limit, stop) if limit else None
+    pool = context.getLocalProperty("spark.scheduler.pool")
+    context.setLocalProperty("spark.scheduler.pool", table)
+    context.addJobTag(tag)
+    try:
+        if timer:
+            timer.daemon = True
+            timer.start()
+        return _attempt(spark, read, table, key, target, max_attempts, late)
+    finally:
+        if timer:
+            timer.cancel()
+        context.removeJobTag(tag)
+        context.setLocalProperty("spark.scheduler.pool", pool)
+
+
 def _attempt(
-    spark: SparkSession, read: Reader, table: str, key: str | None, target: Target, max_attempts: int
+    spark: SparkSession, read: Reader, table: str, key: str | None, target: Target, max_attempts: int, late: Event
 ) -> tuple:
     for attempt in range(1, max_attempts + 1):
         try:
@@ -112,9 +169,9 @@ def _attempt(
                 return (table, *export_increment(spark, read, table, key, target), None)
             return (table, *export_table(spark, read, table, target), None)
         except Exception as error:  # any failure belongs in the summary and must not stop the other tables
-            kind = error_kind(error)
+            kind = "timeout" if late.is_set() else error_kind(error)
             log.warning("export of %s failed (%s), attempt %d of %d", table, kind, attempt, max_attempts)
-            if isinstance(error, SchemaChanged):  # trying again would not help
+            if late.is_set() or isinstance(error, SchemaChanged):  # trying again would not help
                 break
             if attempt < max_attempts:
                 time.sleep(2 ** (attempt - 1))
@@ -129,6 +186,7 @@ def export_tables(
     max_attempts: int = 3,
     parallelism: int = 4,
     increments: dict[str, str] | None = None,
+    limits: dict[str, float] | None = None,
 ) -> DataFrame:
     """Export every table and report (table_name, status, rows_read, rows_written, changes, error), one row each.
 
@@ -138,12 +196,19 @@ def export_tables(
     ``read`` gives a table as a DataFrame, e.g. ``partial(jdbc_scan, spark, source)``. Threads only submit Spark jobs.
     Repeating a failed attempt is safe: a run replaces its own partition. ``increments`` names the growing key of tables
     of which only new rows are wanted.
+
+    ``limits`` are seconds that a table may take with all its attempts: then its Spark jobs are cancelled, it is failed
+    with the error ``timeout``, and the others go on. What happens outside Spark jobs, such as connecting, is not
+    interrupted. Each table's jobs run in a scheduler pool of its name, so with ``spark.scheduler.mode`` FAIR a large one
+    does not keep the small ones waiting.
     """
     create_database(spark, target.database, f"{target.root}/_database")
     with ThreadPoolExecutor(parallelism) as pool:
-        work = inheritable_thread_target(spark)(_attempt)
-        keys = increments or {}
-        outcome = list(pool.map(lambda t: work(spark, read, t, keys.get(t), target, max_attempts), tables))
+        work = inheritable_thread_target(spark)(_within_limit)
+        keys, seconds = increments or {}, limits or {}
+        outcome = list(
+            pool.map(lambda t: work(spark, read, t, keys.get(t), target, max_attempts, seconds.get(t)), tables)
+        )
     return spark.createDataFrame(outcome, SUMMARY)
 
 

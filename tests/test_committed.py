@@ -1,0 +1,177 @@
+"""Runs that are seen whole or not at all, versions, two writers at once, and columns that change their types."""
+
+import json
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import types as T
+
+from lakeload.plans import export
+from lakeload.plans.catalog import create_database, partition_repair
+from lakeload.sinks import manifest as m
+from lakeload.sources.committed import committed_history, committed_snapshot, common_type, present_runs
+from lakeload.sources.lake import current_runs, latest_snapshot
+
+RUNS = [f"2024010{i}T000000Z" for i in range(1, 7)]
+
+
+def frame(spark, n, start=0):
+    return spark.range(start, start + n).selectExpr("id", "CAST(id AS STRING) AS value")
+
+
+def ids(df):
+    return sorted(r["id"] for r in df.collect())
+
+
+def test_a_run_counts_from_its_commit_on(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert m.manifest(spark, path) == (0, [])
+    assert m.commit_run(frame(spark, 3), path, RUNS[0], "src", "t") == 1
+    written = m.write_run(frame(spark, 5), path, RUNS[1], "src", "t")  # a writer that dies before its commit
+    assert ids(committed_snapshot(spark, path)) == [0, 1, 2]
+    assert m.commit(spark, path, [written]) == 2
+    assert ids(committed_snapshot(spark, path)) == list(range(5))
+    assert ids(committed_snapshot(spark, path, version=1)) == [0, 1, 2]
+    assert m.commit_run(frame(spark, 1), path, RUNS[1], "src", "t") == 3  # repeated: replaced in one step
+    assert ids(committed_history(spark, path)) == [0, 0, 1, 2]
+    assert m.commit(spark, path, [], [(RUNS[1], "src")]) == 4
+    assert ids(committed_snapshot(spark, path)) == [0, 1, 2]
+
+
+def test_writers_at_once_lose_no_run(spark, tmp_path):
+    path = str(tmp_path / "t")
+    run = m.Run("", "src", "t", "f", 1, frame(spark, 1).schema.json())
+    with ThreadPoolExecutor(6) as pool:
+        done = list(pool.map(lambda i: m.commit(spark, path, [replace(run, run_time=f"r{i:02d}")]), range(12)))
+    version, runs = m.manifest(spark, path)
+    assert version == 12 and sorted(done) == list(range(1, 13))
+    assert sorted(r.run_time for r in runs) == [f"r{i:02d}" for i in range(12)]
+
+
+def test_a_beaten_writer_reads_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    run = m.Run(RUNS[0], "src", "t", "f", 1, "{}")
+    put, other = m._put, [replace(run, run_time=RUNS[1])]
+
+    def beaten(spark, name, text):
+        if other:
+            m_other = json.dumps([vars(other.pop())])
+            assert put(spark, name, m_other)
+        return put(spark, name, text)
+
+    monkeypatch.setattr(m, "_put", beaten)
+    assert m.commit(spark, path, [run]) == 2
+    assert {r.run_time for r in m.manifest(spark, path)[1]} == {RUNS[0], RUNS[1]}
+    assert not [f for f in (tmp_path / "t/_manifests").iterdir() if len(f.name) == 33]  # no draft is left
+
+
+def test_files_that_hold_other_rows_are_not_committed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(m, "write_with_metrics", lambda df, write: (write(df), 7)[1])
+    with pytest.raises(m.RunIncomplete):
+        m.commit_run(frame(spark, 3), str(tmp_path / "t"), RUNS[0], "src", "t")
+    assert m.manifest(spark, str(tmp_path / "t")) == (0, [])
+
+
+def test_present_runs_by_source():
+    def run(time, source="a"):
+        return m.Run(time, source, "t", "f", 1, "{}")
+
+    runs = [run("1"), run("2-increment"), run("3"), run("4-increment"), run("0-increment", "b"), run("1-increment", "b")]
+    assert [r.run_time for r in present_runs(runs)] == ["3", "4-increment", "0-increment", "1-increment"]
+
+
+@pytest.mark.parametrize(
+    ("types", "expected"),
+    [("int,int", "int"), ("tinyint,bigint,int", "bigint"), ("int,double", "double"), ("bigint,double", "string"),
+     ("int,decimal(5,2)", "decimal(12,2)"), ("decimal(38,0),decimal(38,10)", "string"), ("date,timestamp", "string"),
+     ("int,string", "string"), ("float,smallint", "double"), ("boolean,boolean", "boolean")],
+)
+def test_common_type(types, expected):
+    import re
+
+    given = [T.StructType.fromDDL(f"a {t}")[0].dataType for t in re.split(r",(?![^()]*\))", types)]
+    assert common_type(given).simpleString() == expected
+    assert common_type(given[::-1]).simpleString() == expected
+
+
+def test_history_over_changed_types(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([(1, 10, date(2024, 1, 1), "x")], "id int, code int, d date, gone string")
+    second = spark.createDataFrame([(2, "A-7", Decimal("1.50"))], "id long, code string, price decimal(5,2)")
+    third = spark.createDataFrame([(3, None, 2)], "id long, code string, price int")
+    for run, df in zip(RUNS, (first, second, third), strict=False):
+        m.commit_run(df, path, run, "src", "t")
+    got = committed_history(spark, path)
+    kinds = dict(got.dtypes)
+    assert (kinds["id"], kinds["code"], kinds["price"], kinds["d"]) == ("bigint", "string", "decimal(12,2)", "date")
+    rows = sorted(tuple(r[c] for c in ("id", "code", "price", "d", "gone", "processing_time")) for r in got.collect())
+    assert rows == [
+        (1, "10", None, date(2024, 1, 1), "x", RUNS[0]),
+        (2, "A-7", Decimal("1.50"), None, None, RUNS[1]),
+        (3, None, Decimal("2.00"), None, None, RUNS[2]),
+    ]
+    assert dict(committed_snapshot(spark, path).dtypes)["price"] == "int"
+
+
+def test_no_runs_and_empty_runs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(ValueError):
+        committed_history(spark, path)
+    m.commit_run(frame(spark, 0), path, RUNS[0], "src", "t")
+    assert committed_snapshot(spark, path).count() == 0
+
+
+@pytest.fixture
+def target(spark, tmp_path):
+    made = export.Target(str(tmp_path), "committed_" + tmp_path.name.replace("-", "_"), RUNS[0], "src")
+    create_database(spark, made.database, f"{tmp_path}/_database")
+    return made
+
+
+def test_exports_show_a_run_only_when_it_is_complete(spark, target, monkeypatch):
+    name = f"{target.database}.t"
+    export.export_table(spark, lambda _: frame(spark, 3), "t", target)
+    later = replace(target, run_time=RUNS[1])
+    with monkeypatch.context() as patched, pytest.raises(export.CheckFailed):
+        patched.setattr(export, "check_run", lambda *_: 1)
+        export.export_table(spark, lambda _: frame(spark, 5), "t", later)
+    partition_repair(spark, name)
+    assert spark.table(name).count() == 8  # the folder is there, and repair knows it
+    assert current_runs(spark, name) == [("src", RUNS[0])] and ids(latest_snapshot(spark, name)) == [0, 1, 2]
+    export.export_table(spark, lambda _: frame(spark, 5), "t", later)
+    assert ids(latest_snapshot(spark, name)) == list(range(5))
+    with monkeypatch.context() as patched, pytest.raises(OSError):  # a complete run that fails when it is repeated
+        patched.setattr(export, "write_with_metrics", lambda *_: (_ for _ in ()).throw(OSError()))
+        export.export_table(spark, lambda _: frame(spark, 9), "t", later)
+    assert ids(latest_snapshot(spark, name)) == [0, 1, 2]
+
+
+def test_runs_from_before_the_first_manifest_stay(spark, target, monkeypatch):
+    name = f"{target.database}.t"
+    with monkeypatch.context() as patched:
+        patched.setattr(export, "_commit", lambda *_: None)
+        export.export_table(spark, lambda _: frame(spark, 3), "t", target)
+    export.export_increment(spark, lambda _: frame(spark, 6), "t", "id", replace(target, run_time=RUNS[1]))
+    assert ids(latest_snapshot(spark, name)) == list(range(6))
+
+
+def test_a_table_that_hangs_ends_at_its_limit_and_the_others_go_on(spark, target):
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(120)
+            yield batch
+
+    def read(name):
+        df = frame(spark, 3)
+        return df.mapInPandas(slow, df.schema) if name == "hangs" else df
+
+    done = export.export_tables(spark, read, ["hangs", "quick"], target, 3, limits={"hangs": 4.0, "quick": 100.0})
+    got = {r["table_name"]: (r["status"], r["rows_written"], r["error"]) for r in done.collect()}
+    assert got == {"hangs": ("failed", None, "timeout"), "quick": ("ok", 3, None)}
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+    assert not spark.sparkContext.getJobTags()
