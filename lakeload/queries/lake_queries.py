@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 from lakeload.functions.audit import RUN_KEYS, audit_columns
 from lakeload.operators.difference import differing_rows
+from lakeload.operators.known_keys import keep_key_filter, known_keys
 from lakeload.operators.load import load_if_unpopulated, seed_if_empty
+from lakeload.plans.bucketed import bucketed_assignment, bucketed_sample_join, bucketed_table
 from lakeload.plans.catalog import create_database, external_table, file_schema, partition_repair, schema_diff, schema_evolution
 from lakeload.plans.changes import export_changes, latest_rows
 from lakeload.plans.export import Target, export_tables
 from lakeload.plans.refresh import full_refresh
 from lakeload.plans.reports import post_export_check, reconcile, run_rows, table_counts
-from lakeload.queries.inputs import RUN_1, RUN_2, RUN_3, SOURCE, fresh_database, spec_of, table
+from lakeload.plans.summaries import keep_partial, merged_maxima
+from lakeload.queries import check_queries
+from lakeload.queries.check_queries import interval_tables
+from lakeload.queries.inputs import ASSIGNMENTS_SQL, RUN_1, RUN_2, RUN_3, SOURCE, assignments, fresh_database, spec_of, table
 from lakeload.sinks.lake import empty_marker, marker_path, snapshot_append, snapshot_overwrite, write_with_metrics
+from lakeload.sinks.manifest import commit, commit_run, write_run
+from lakeload.sources.committed import committed_history, committed_snapshot
 from lakeload.sources.lake import lake_scan, latest_snapshot, sample_rows
 from lakeload.workspace import new_folder
 
@@ -296,6 +303,83 @@ def q_reconcile_rows(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumnRenamed("columns", "differing_columns")
 
 
+def q_committed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that count after each step: a run, one that failed before its commit, its repetition, and two writers that
+    were under way at once, the second repeating what the first of them wrote."""
+    orders, path = table(spark, sf, "orders"), new_folder(spark, "committed") + "/orders"
+    by_status = {s: orders.filter(F.col("o_orderstatus") == s) for s in "FOP"}
+    steps = [commit_run(by_status["F"], path, RUN_1, SOURCE, "orders")]
+    write_run(orders.limit(1), path, RUN_2, SOURCE, "orders")  # left half-way: nobody commits it
+    steps.append(commit_run(by_status["O"], path, RUN_2, SOURCE, "orders"))
+    under_way = [write_run(by_status[s], path, RUN_3, f"{SOURCE}_{s}", "orders") for s in "PF"]
+    steps += [commit(spark, path, [run]) for run in under_way]
+    steps.append(commit_run(by_status["F"], path, RUN_2, SOURCE, "orders"))
+    counted = [
+        committed_snapshot(spark, path, version)
+        .groupBy("source_database", "processing_time", "o_orderstatus")
+        .agg(F.count(F.lit(1)).alias("row_count"))
+        .withColumn("version", F.lit(version))
+        for version in steps
+    ]
+    return reduce(DataFrame.unionAll, counted)
+
+
+def q_changed_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts in three runs: sizes as numbers, then as text, and keys that grew from 32 to 64 bits: all of the history."""
+    part, path = table(spark, sf, "part"), new_folder(spark, "changed-types") + "/part"
+    short = part.select(F.col("p_partkey").cast("int"), F.col("p_size").cast("int"), "p_name")
+    sized = part.select(F.col("p_partkey").cast("int"), F.concat("p_size", F.lit(" cm")).alias("p_size"), "p_brand")
+    grown = part.select((F.col("p_partkey").cast("long") + 3_000_000_000).alias("p_partkey"), F.col("p_size").cast("string"))
+    for run, rows in ((RUN_1, short), (RUN_2, sized), (RUN_3, grown)):
+        commit_run(rows, path, run, SOURCE, "part")
+    return committed_history(spark, path).drop("source_database", "source_table")
+
+
+def q_maintained_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest dates over three runs of assignments, merged from what each run kept."""
+    rows, path = assignments(table(spark, sf, "lineitem")), new_folder(spark, "maintained")
+    group, columns = ["emp_no"], ["from_date", "to_date"]
+    for i, run in enumerate((RUN_1, RUN_2, RUN_3)):
+        keep_partial(rows.filter(F.pmod("dept_no", F.lit(3)) == i), group, columns, path, run, SOURCE)
+    return merged_maxima(spark, path, rows.schema, group, columns)
+
+
+def q_known_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of three runs against an increment that repeats the urgent ones and brings as many new keys."""
+    orders, path = table(spark, sf, "orders"), new_folder(spark, "known-keys") + "/orders"
+    name = fresh_database(spark, path) + ".orders"
+    for run, status in ((RUN_1, "F"), (RUN_2, "O"), (RUN_3, "P")):
+        rows = orders.filter(F.col("o_orderstatus") == status)
+        count = write_with_metrics(
+            rows, partial(snapshot_append, path=path, run_time=run, source_database=SOURCE, source_table="orders")
+        )
+        keep_key_filter(rows, ["o_orderkey"], count, path, run, SOURCE)
+    external_table(spark, name, audit_columns(orders, RUN_1, SOURCE, "orders").schema, path)
+    partition_repair(spark, name)
+    urgent = orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    new = urgent.unionAll(urgent.select(-F.col("o_orderkey") - 1))
+    return known_keys(spark, name, path, new, ["o_orderkey"])
+
+
+def q_bucketed_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "bucketed")
+    database = fresh_database(spark, folder)
+    bucketed_table(assignments(table(spark, sf, "lineitem")), f"{database}.dept_emp", "emp_no", 8, f"{folder}/dept_emp")
+    return bucketed_assignment(spark, database)
+
+
+def q_bucketed_sample_join(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "bucketed")
+    database = fresh_database(spark, folder)
+    made = interval_tables(*(table(spark, sf, n) for n in ("customer", "orders", "nation")))
+    for name, df in zip(("employees", "dept_emp", "departments", "titles"), made, strict=True):
+        if name == "departments":
+            df.write.option("path", f"{folder}/{name}").saveAsTable(f"{database}.{name}")
+        else:
+            bucketed_table(df, f"{database}.{name}", "emp_no", 8, f"{folder}/{name}")
+    return bucketed_sample_join(spark, database)
+
+
 QUERIES = {
     "snapshot_append": q_snapshot_append,
     "external_table": q_external_table,
@@ -319,6 +403,12 @@ QUERIES = {
     "incremental_job": q_incremental_job,
     "changed_rows": q_changed_rows,
     "reconcile_rows": q_reconcile_rows,
+    "committed_runs": q_committed_runs,
+    "changed_types": q_changed_types,
+    "maintained_dates": q_maintained_dates,
+    "known_keys": q_known_keys,
+    "bucketed_assignment": q_bucketed_assignment,
+    "bucketed_sample_join": q_bucketed_sample_join,
 }
 
 _TWO_RUNS = f"""
@@ -417,4 +507,24 @@ ORACLE = {
                                       WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' AND o_totalprice IS NOT NULL
                                       THEN 'changed' END AS difference FROM orders) d
         WHERE difference IS NOT NULL""",
+    "committed_runs": f"""
+        SELECT v AS version, s AS source_database, t AS processing_time, o_orderstatus, count(*) AS row_count
+        FROM orders JOIN (VALUES
+            (1, '{SOURCE}', '{RUN_1}', 'F'), (2, '{SOURCE}', '{RUN_2}', 'O'), (3, '{SOURCE}', '{RUN_2}', 'O'),
+            (3, '{SOURCE}_P', '{RUN_3}', 'P'), (4, '{SOURCE}', '{RUN_2}', 'O'), (4, '{SOURCE}_P', '{RUN_3}', 'P'),
+            (4, '{SOURCE}_F', '{RUN_3}', 'F'), (5, '{SOURCE}', '{RUN_2}', 'F'), (5, '{SOURCE}_P', '{RUN_3}', 'P'),
+            (5, '{SOURCE}_F', '{RUN_3}', 'F')) w(v, s, t, status) ON o_orderstatus = status GROUP BY ALL""",
+    "changed_types": f"""
+        SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size, p_name, NULL AS p_brand, '{RUN_1}' AS processing_time
+        FROM part
+        UNION ALL SELECT p_partkey, p_size || ' cm', NULL, p_brand, '{RUN_2}' FROM part
+        UNION ALL SELECT p_partkey + 3000000000, CAST(p_size AS VARCHAR), NULL, NULL, '{RUN_3}' FROM part""",
+    "maintained_dates": f"""
+        SELECT emp_no, max(from_date) AS from_date, max(to_date) AS to_date FROM ({ASSIGNMENTS_SQL}) a GROUP BY emp_no""",
+    "known_keys": f"""
+        SELECT DISTINCT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '{RUN_1}' WHEN 'O' THEN '{RUN_2}' ELSE '{RUN_3}' END
+               AS processing_time, '{SOURCE}' AS source_database
+        FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus IN ('F', 'O', 'P')""",
+    "bucketed_assignment": check_queries.ORACLE["current_assignment"],
+    "bucketed_sample_join": check_queries.ORACLE["sample_join"],
 }
