@@ -22,6 +22,8 @@ RULES = [
 ]
 #: Query parameters that name a visit, not a document.
 TRACKING = r"(utm_[a-z]+|gclid|fbclid|ref|source)"
+#: A refresh after more seconds is no redirect: the page itself is meant to be read.
+IMMEDIATE = 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,17 +48,57 @@ def canonical(url: Column) -> Column:
     return F.concat(F.lit("//"), host, path, F.when(rest != "", F.concat(F.lit("?"), rest)).otherwise(""))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; ``..`` above the root goes."""
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.split(path, "/"),
+        none,
+        lambda done, s: F.when(s == ".", done)
+        .when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    return F.array_join(kept, "/")
+
+
+def resolve(target: Column, url: Column) -> Column:
+    """The whole url that ``target`` names on the page ``url``; null for one without a place of its own.
+
+    A target may be whole, start at ``//`` (scheme of the page), ``/`` (its host), ``?`` (its path), or be relative to the
+    folder of the page's path. Other schemes (``mailto:``), fragments and empty targets name no page.
+    """
+    scheme = F.regexp_extract(url, r"(?s)\A(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    path, rest = F.regexp_extract(target, r"(?s)\A([^?#]*)", 1), F.regexp_extract(target, r"(?s)\A[^?#]*(.*)", 1)
+    folder = F.regexp_extract(path_of(url), r"(?s)\A/?(.*/)?", 1)
+    return (
+        F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"\A([A-Za-z][A-Za-z0-9+.-]*:|#|\z)"), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("?"), F.concat(site, path_of(url), target))
+        .when(target.startswith("/"), F.concat(site, F.lit("/"), _without_dots(F.substr(path, F.lit(2))), rest))
+        .otherwise(F.concat(site, F.lit("/"), _without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) of every page's canonical link and immediate redirect that names a whole url, in canonical form."""
+    """(src, dst) of every page's canonical link and immediate redirect, in canonical form; pages have url and html.
+
+    Targets are resolved against the page's url. A refresh counts if it states a delay of ``IMMEDIATE`` seconds at most.
+    """
     link = F.regexp_extract("html", r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
     meta = F.regexp_extract("html", r"(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
+    link, meta = (F.replace(tag, F.lit("&amp;"), F.lit("&")) for tag in (link, meta))
+    delay = F.regexp_extract(meta, r"(?i)\bcontent\s*=\s*[\"']?\s*(\d+)", 1).try_cast("long")
+    redirect = F.regexp_extract(meta, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
     targets = F.array(
         F.regexp_extract(link, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(meta, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1),
+        F.when(delay <= IMMEDIATE, redirect),
     )
     linked = pages.where(F.col("html").rlike(r"(?i)<(link|meta)\b[^>]*(canonical|refresh)"))
-    found = linked.select(F.col("url").alias("src"), F.explode(targets).alias("dst")).where("dst LIKE '%://%'")
-    return found.select("src", canonical(F.col("dst")).alias("dst"))
+    found = linked.select(F.col("url").alias("src"), F.explode(targets).alias("target"))
+    whole = resolve(F.col("target"), F.col("src"))
+    return found.select("src", canonical(whole).alias("dst")).where("dst IS NOT NULL AND dst <> '//'")
 
 
 def url_edges(pages: DataFrame) -> DataFrame:
@@ -94,6 +136,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, edges: DataFrame) -> DataFrame
 
     A url with a rule takes the rule's action. Any other takes what its aliases say: allow if one of them is allowed by a
     rule, else block if one is blocked, else allow. ``edges`` (src, dst) are redirects and canonical links.
+    Other columns of ``urls`` are not looked at, whatever their names; repeated urls give one row, no urls give none, and
+    without rules or edges everything is allowed or judged by rule alone.
     """
     judged = stage(rule_of(urls.select("url").where("url IS NOT NULL").distinct(), rules), "url-rules")
     # only what a decision can reach matters, but links may pass through urls that are not judged

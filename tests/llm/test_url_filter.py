@@ -74,12 +74,46 @@ def test_links_stated_by_pages(spark):
     ]
     df = spark.createDataFrame(pages, "url string, html string")
     assert {tuple(r) for r in page_links(df.where("url IS NOT NULL")).collect()} == {
-        ("http://a.net/1", "//a.net/c?a=1&b=2"), ("http://a.net/2", "//a.net/r"),
+        ("http://a.net/1", "//a.net/c?a=1&b=2"), ("http://a.net/2", "//a.net/r"), ("http://a.net/3", "//a.net/relative"),
     }
     assert url_edges(df).where("src IS NULL").count() == 0
     assert url_edges(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("target", "expected"),
+    [("/b", "https://a.net/b"), ("b.html?x=1", "https://a.net/d/e/b.html?x=1"), ("../b", "https://a.net/d/b"),
+     ("./../../../b/./c", "https://a.net/b/c"), ("//c.org/d", "https://c.org/d"), ("?p=2", "https://a.net/d/e/f?p=2"),
+     ("http://c.org/../x", "http://c.org/../x"), ("/x/../y#z", "https://a.net/y#z"), ("#top", None), ("", None),
+     ("mailto:a@b.net", None), ("javascript:go()", None), ("b:c/d", None), ("b/http://x", "https://a.net/d/e/b/http://x")],
+)
+def test_targets_are_resolved_against_the_page(spark, target, expected):
+    from pyspark.sql import functions as F
+
+    from lakeload.llm.url_filter import resolve
+
+    assert spark.range(1).select(resolve(F.lit(target), F.lit("https://A.net/d/e/f?q=1#r"))).first()[0] == expected
+    if expected:
+        bare = spark.range(1).select(resolve(F.lit("b"), F.lit("https://a.net"))).first()[0]
+        assert bare == "https://a.net/b"
+
+
+def test_relative_links_spread_decisions_and_delayed_refreshes_do_not(spark):
+    refresh = '<meta http-equiv=refresh content="{}; url={}">'
+    pages = [
+        ("http://a.net/x/1", '<link rel=canonical href="../blocked/1">'),
+        ("http://a.net/x/2", refresh.format(0, "//bad.net/2?a=1&amp;b=2")),
+        ("http://a.net/x/3", refresh.format(600, "http://bad.net/3")),
+        ("http://a.net/x/4", refresh.format(99999999999999999999, "http://bad.net/4")),
+        ("http://a.net/x/5", '<meta http-equiv=refresh content="url=http://bad.net/5">'),
+        ("http://a.net/blocked/1", ""), ("http://bad.net/2?b=2&a=1", ""), ("http://bad.net/3", ""),
+    ]
+    df = spark.createDataFrame(pages, "url string, html string")
+    rules = spark.createDataFrame([("bad.net", "/", "block"), ("a.net", "/blocked/", "block")], RULE_TYPE)
+    got = {r.url: r.verdict for r in judge_urls(df, rules, url_edges(df)).collect()}
+    assert {u[-1]: v for u, v in got.items() if "/x/" in u} == {"1": "block", "2": "block", "3": "allow", "4": "allow", "5": "allow"}
+
+
 @pytest.mark.parametrize(
     ("url", "expected"),
     [("http://www.A.net/x.html?utm_a=1#f", "//a.net/x"), ("https://m.a.net/x/", "//a.net/x"), ("https://a.net", "//a.net"),
