@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeload.llm.common import small_batches, table
+from lakeload.workspace import stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 #: Bounds of the model: documents it is fitted on, entries in all, letters of an entry; and of a worker's cache of words.
 SAMPLE_DOCUMENTS, MODEL_ENTRIES, ENTRY_CHARS, CACHE_WORDS = 20_000, 200_000, 32, 200_000
-SALTS = 16
+#: Values that a hash is reduced to when a share of rows is drawn by it: fine enough for any number of rows.
+HASHES = 1 << 53
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 
@@ -68,30 +70,54 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["lang", "kind", "gram", "n"])
 
 
+def level(sizes: list[int], total: int) -> float:
+    """The largest number of rows for each language, of which none has more than it has, that add up to ``total``."""
+    left = sorted(sizes)
+    while left and left[0] <= total / len(left):
+        total -= left.pop(0)
+    return total / len(left) if left else float("inf")
+
+
+def draw(labelled: DataFrame, sample: int) -> DataFrame:
+    """Some ``sample`` rows, drawn by hash of the doc_id and alike from every language; all rows of the rare ones."""
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    most = level(list(sizes.values()), sample)
+    shares = [(lang, int(min(1.0, most / n) * HASHES)) for lang, n in sizes.items()]
+    shares = labelled.sparkSession.createDataFrame(shares, "lang string, share long")
+    place = F.xxhash64("doc_id", F.lit(7)).bitwiseAND(F.lit(HASHES - 1))
+    return labelled.join(shares, "lang").where(place < F.col("share")).select("text", "lang")
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE_DOCUMENTS, entries: int = MODEL_ENTRIES) -> tuple[list[str], dict]:
     """The languages and, by (kind, gram), the log frequency in each: kind 0 for words, else the length of the run.
 
-    ``labelled`` has doc_id, text and lang without nulls. Of more than ``sample`` rows a share drawn by hash is used, and of
-    the grams the most frequent of each language and kind, so that the model has ``entries`` entries at most.
+    ``labelled`` has doc_id, text and lang without nulls. Of more than ``sample`` rows so many are drawn, by language, and
+    of the grams the most frequent of each language and kind are kept, so that the model has ``entries`` entries at most.
+    Where grams of one count don't all fit none of them is kept, unless nothing else would be: then a share, by hash.
     """
-    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    rows, langs = labelled.agg(F.count("*"), F.count_distinct("lang")).first()
-    if not rows:
+    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    drawn = stage(draw(labelled, sample).mapInPandas(_count_grams, GRAMS), "gram-counts")
+    counts = drawn.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "language-grams")
+    langs = counts.select("lang").distinct().count()
+    if not langs:
         return [], {}
-    share = int(min(1.0, sample / rows) * 1_000_000)
-    drawn = labelled.where(F.expr(f"pmod(xxhash64(doc_id, 7), 1000000) < {share}")).select("text", "lang")
-    counts = drawn.mapInPandas(_count_grams, GRAMS).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     most = max(1, entries // (langs * (LONGEST + 1)))
-    salt = F.expr(f"pmod(hash(gram), {SALTS})").alias("salt")
-    order = [F.col("n").desc(), F.col("gram")]
-    sizes = Window.partitionBy("lang", "kind", "salt")
-    part = counts.select("*", salt).select(
-        "*", F.row_number().over(sizes.orderBy(*order)).alias("r"), F.sum("n").over(sizes).alias("s")
+    # few different counts stand for very many grams, so nothing is ranked gram by gram
+    alike = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("grams"))
+    down = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc())
+    summed = alike.withColumn("upto", F.sum("grams").over(down))
+    fits = F.col("upto") <= most
+    cuts = summed.groupBy("lang", "kind").agg(
+        F.sum(F.col("n") * F.col("grams")).alias("all"),
+        F.min(F.when(fits, F.col("n"))).alias("cut"),
+        F.max("n").alias("top"),
+        F.min("upto").alias("first"),
     )
-    totals = part.where("r = 1").groupBy("lang", "kind").agg(F.sum("s").alias("all"))
-    top = part.where(F.col("r") <= most).drop("r", "s")
-    top = top.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(*order)))
-    found = top.where(F.col("r") <= most).join(totals, ["lang", "kind"]).select("lang", "kind", "gram", "n", "all").collect()
+    share = (F.lit(most / 2 * HASHES) / F.col("first")).cast("long")
+    drawn_by_hash = F.xxhash64("gram").bitwiseAND(F.lit(HASHES - 1)) < F.greatest(share, F.lit(1))
+    kept = (F.col("n") >= F.col("cut")) | (F.col("cut").isNull() & (F.col("n") == F.col("top")) & drawn_by_hash)
+    found = counts.join(cuts, ["lang", "kind"]).where(kept).select("lang", "kind", "gram", "n", "all").collect()
     names = sorted({r.lang for r in found}, key=lambda x: [*map(ord, x)])
     place = {name: i for i, name in enumerate(names)}
     sums = {(r.lang, r.kind): r["all"] for r in found}

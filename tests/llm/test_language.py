@@ -68,3 +68,69 @@ def test_model_is_bounded(spark):
     names, model = lang.learn(rows, entries=60)
     assert names == ["aa", "bb"] and len(model) <= 60
     assert lang.learn(rows, sample=10)[0] in ([], ["aa"], ["bb"], ["aa", "bb"])
+
+
+def test_every_language_is_drawn_however_rare(spark):
+    assert lang.level([10, 1000, 1000], 210) == 100 and lang.level([3, 4], 10) == float("inf") and lang.level([], 5) == float("inf")
+    rows = [(i, "kala maja", "aa") for i in range(3000)] + [(i, "wolf brom", "bb") for i in range(3000, 6000)]
+    rows += [(9000 + i, "ili oko zub", "cc") for i in range(3)]
+    df = spark.createDataFrame(rows, TYPE)
+    drawn = {r["lang"]: r["count"] for r in lang.draw(df, 203).groupBy("lang").count().collect()}
+    assert drawn["cc"] == 3 and 60 <= drawn["aa"] <= 145 and 60 <= drawn["bb"] <= 145
+    assert lang.draw(df, 10_000).count() == len(rows)
+    assert lang.learn(df, sample=203)[0] == ["aa", "bb", "cc"]
+
+
+def plain_predictions(df):
+    """The same method over plain lists: every labelled document learnt, every word scored by itself."""
+    import re
+    from collections import Counter
+
+    counts = {}
+    for r in df:
+        if r.lang is None or r.text is None or r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 == 2:
+            continue
+        for word in re.findall(r"[^\W\d_]+", r.text.lower()):
+            grams = [(0, word)] if len(word) <= 32 else []
+            grams += [(1, c) for c in word]
+            grams += [(n, f"<{word}>"[i : i + n]) for n in range(2, 6) for i in range(len(word) + 3 - n)]
+            for kind, gram in grams:
+                counts.setdefault((r.lang, kind), Counter())[gram] += 1
+    names = sorted({x for x, _ in counts})
+    totals = {key: sum(c.values()) for key, c in counts.items()}
+
+    def log(kind, gram):
+        if not any(gram in counts.get((x, kind), ()) for x in names):
+            return None
+        return [np.log(counts[x, kind][gram] + 1.0) - np.log(totals[x, kind] + 2.0) if gram in counts.get((x, kind), ())
+                else -np.log(totals.get((x, kind), 1) + 2.0) for x in names]
+
+    def word_score(word):
+        if (whole := log(0, word)) is not None:
+            return np.array(whole)
+        for n in range(5, 0, -1):
+            pieces = list(word) if n == 1 else [f"<{word}>"[i : i + n] for i in range(len(word) + 3 - n)]
+            known = [p for p in (log(n, piece) for piece in pieces) if p is not None]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(len(names))
+
+    for r in df:
+        words = re.findall(r"[^\W\d_]+", r.text.lower()) if r.text else []
+        if not words or not names:
+            yield r.doc_id, "und", 0.0
+            continue
+        total = sum(word_score(w) for w in words)
+        odds = np.exp(total - total.max())
+        yield r.doc_id, names[int(total.argmax())], float(odds.max() / odds.sum())
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+def test_every_prediction_equals_a_plain_model(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(100)
+    rows = df.collect()
+    df = spark.createDataFrame(rows, df.schema)
+    monkeypatch.setattr(lang, "learn", lambda labelled, learn=lang.learn: learn(labelled, entries=10**9))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang.identify(df).collect()}
+    for doc_id, name, score in plain_predictions(rows):
+        assert got[doc_id][0] == name and abs(got[doc_id][1] - score) < 1e-3, doc_id
