@@ -164,3 +164,60 @@ def test_pieces_cover_every_run_of_a_long_item_and_groups_are_bounded():
             assert any(at <= s and s + d.PIECE <= at + d.PIECE + d.BLOCK - 1 for s in starts)
     groups = d.grouped([d.Item(i, [b"w"] * 5000, []) for i in range(30)])
     assert all(len(g) <= d.INDEXED and sum(len(p.words) for p in g) <= d.INDEX_WORDS for g in groups)
+
+
+def test_the_index_is_fitted_on_every_document(spark, monkeypatch):
+    """Beside the same steps in plain matrices over the passages of all of them: 2,500, some without a word."""
+    draw = random.Random(5)
+    text = lambda n, of: " ".join(f"w{int(of * draw.random() ** 2)}" for _ in range(n))
+    benchmark = [(i, text(30, 900)) for i in range(70)]
+    documents = [(i, text(draw.randrange(150), 900)) for i in range(2497)] + [(None, None), (1, ""), (1, text(2000, 900))]
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    items = spark.createDataFrame(benchmark, "item_id long, text string")
+    monkeypatch.setattr(d, "_searcher", lambda spark, indexes: indexes)
+    ((index,),) = d.searchers(docs, items)
+
+    def dense(p, rows):
+        out = np.zeros((rows, int(index.column.max()) + 1))
+        out[p.row, p.column] = p.value
+        return out
+
+    terms = [d.terms_of(d.words_of(t)) for _, t in documents]
+    counts = np.zeros(d.TERMS, "i8")
+    for t in terms:
+        counts[t] += 1
+    weighed = index.weights > 0
+    assert index.weights[weighed] == pytest.approx(np.log1p(2500 / np.maximum(counts, 1))[weighed], rel=1e-5)
+    p = d.passages(terms, index.weights, index.column)
+    own = d._whole([d.terms_of(x.words) for x in index.items], index.weights, index.column)
+    m, x = dense(p, len(p.norm)), dense(own, len(index.items))
+    squares = m.T @ m + max(1.0, (m**2).sum() / (x**2).sum()) * x.T @ x
+    rank = len(index.items) + d.RANK
+    assert rank + d.SPARE < len(squares)
+    start = np.random.default_rng(d.SEED).standard_normal((len(squares), rank + d.SPARE))
+    q = np.linalg.qr(squares @ np.linalg.qr(start)[0])[0]
+    values, vectors = np.linalg.eigh(q.T @ squares @ q)
+    basis = q @ vectors[:, np.argsort(values)[::-1][:rank]]
+    assert index.shares == pytest.approx(basis @ (x @ basis / own.norm[:, None]).T, abs=1e-3)
+
+
+def test_texts_handled_at_once_are_whole_and_bounded():
+    for sizes in ([], [0], [d.WORDS_AT_ONCE + 1], [3, d.WORDS_AT_ONCE, 0, 1, 7], [d.WORDS_AT_ONCE // 2] * 5):
+        texts = [bytes(n) for n in sizes]
+        groups = list(d._at_once(texts))
+        assert [t for g in groups for t in g] == texts
+        assert all(len(g) == 1 or sum(map(len, g)) <= d.WORDS_AT_ONCE for g in groups)
+
+
+def test_many_passages_at_once_are_those_of_few():
+    draw = np.random.default_rng(4)
+    weights, column = draw.random(d.TERMS).astype("f4"), np.arange(d.TERMS)
+    few = [draw.integers(0, d.TERMS, n).astype("i4") for n in (3, 40, 200)]
+    many = ((1 << 31) // d.TERMS) // 3 + 1  # more passages than short keys have room for
+    one, all_ = d.passages(few, weights, column), d.passages(few * many, weights, column)
+    rows, entries = len(one.norm), len(one.row)
+    assert rows * many * d.TERMS > 1 << 31
+    assert (all_.norm.reshape(many, rows) == one.norm).all()
+    assert (all_.value.reshape(many, entries) == one.value).all()
+    assert (all_.column.reshape(many, entries) == one.column).all()
+    assert (all_.row.reshape(many, entries) == one.row + rows * np.arange(many)[:, None]).all()
